@@ -36,18 +36,10 @@ def source_rates(
         for name, w in weights.items():
             weight = F.when(F.col("mix_source").eqNullSafe(F.lit(name)), F.lit(float(w))).otherwise(weight)
     counts = materialize(counts.withColumn("weight", weight), "mix-sources")
-    totals = counts.agg(F.sum("n_docs").alias("all_docs"), F.sum("weight").alias("all_weight"))
-    # one total row; its join to the sources is a one-row broadcast
-    return counts.crossJoin(F.broadcast(totals)).select(
-        "mix_source",
-        "n_docs",
-        F.when(
-            F.col("all_weight") > 0,
-            F.lit(float(mean_repetition)) * F.col("all_docs") * F.col("weight") / F.col("all_weight") / F.col("n_docs"),
-        )
-        .otherwise(F.lit(0.0))
-        .alias("rate"),
-    )
+    totals = counts.agg(F.sum("n_docs").alias("docs"), F.sum("weight").alias("weight")).first()
+    copies_of_weight = float(mean_repetition) * totals["docs"] / totals["weight"] if totals["weight"] else 0.0
+    rate = F.lit(copies_of_weight) * F.col("weight") / F.col("n_docs")
+    return counts.select("mix_source", "n_docs", rate.alias("rate"))
 
 
 def _with_cdf(rates: DataFrame) -> DataFrame:

@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import langid, quality
 from .common import table
 from .mixing import poisson_mix
+from .tokens import read_token_shards, write_token_shards
+
+
+def _mod(n: int) -> F.Column:
+    """crc32 of the id as text, modulo n; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % n
 
 QUERIES = {}
 ORACLES = {}
@@ -37,3 +44,35 @@ copies AS (SELECT doc_id, source, lang, text, rate, unnest(range(1, n + 1))::INT
 SELECT doc_id, source, lang, text, copy, round(rate, 6) AS rate,
   ('0x' || substr(md5('mix|order|' || coalesce(doc_id::VARCHAR, 'null') || '|' || copy::VARCHAR), 1, 15))::BIGINT AS shuffle_key
 FROM copies"""
+
+
+def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as ids in binary shards, read back from them."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    return read_token_shards(write_token_shards(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1))
+
+
+QUERIES["op5_token_shards"] = op5_token_shards
+
+
+def op6_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by prototypes learned where the id's remainder is not 2."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (_mod(4) == 2).alias("held_out"))
+    langs, prototypes = langid.train(docs.where(~F.col("held_out")))
+    return langid.predict(docs.drop("lang"), langs, prototypes).drop("text")
+
+
+QUERIES["op6_hyperdimensional_language"] = op6_hyperdimensional_language
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by labels whose id's remainder is not 1."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (_mod(3) == 1).alias("held_out"))
+    weights = quality.train(docs, table(spark, sf_dir, "labels").where(_mod(3) != 1))
+    scored = quality.score(docs, weights).drop("text")
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+QUERIES["op9_quality"] = op9_quality
