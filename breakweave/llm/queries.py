@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import langid, quality
+from .ann import nearest_neighbours
 from .common import table
+from .html_text import extract_text
 from .mixing import poisson_mix
+from .pii import find_pii
 from .tokens import read_token_shards, write_token_shards
 
 
@@ -76,3 +79,29 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_quality"] = op9_quality
+
+
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document, with a digest of the base spans."""
+    found = find_pii(table(spark, sf_dir, "documents"))
+    return found.withColumn("base_sha256", F.sha2("base", 256)).drop("base")
+
+
+QUERIES["op1_personal_data"] = op1_personal_data
+
+
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+QUERIES["op4_main_text"] = op4_main_text
+
+
+def op10_tree_forest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every row whose id is divisible by 100."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest_neighbours(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
+QUERIES["op10_tree_forest_search"] = op10_tree_forest_search
