@@ -1,0 +1,43 @@
+"""Connected components of an edge table by min-label hooking and pointer jumping."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialize
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """``node, component`` for the ends of all edges ``(a, b)``: the smallest node of each component.
+
+    Each round every node takes the smallest label among its neighbours, hands it to the node that
+    its old label names, and then follows its label once more; labels settle in a number of rounds
+    that grows with the logarithm of the longest path. A round is written to the shared folder. Only
+    joins and minima are used, so a node with very many edges needs no list of them.
+    """
+    both = edges.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    both = materialize(both.union(both.select("v", "u")).distinct(), "cc-edges")
+    labels = materialize(
+        both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("component")), "cc"
+    )
+    for _ in range(max_rounds):
+        near = both.join(labels.select(F.col("node").alias("v"), F.col("component").alias("l")), "v")
+        near = near.groupBy(F.col("u").alias("node")).agg(F.min("l").alias("m"))
+        found = materialize(
+            labels.join(near, "node").select("node", "component", F.least("component", "m").alias("m")), "cc-near"
+        )
+        hooked = found.groupBy(F.col("component").alias("node")).agg(F.min("m").alias("h"))
+        stepped = found.join(hooked, "node", "left").select(
+            "node", F.col("component").alias("was"), F.least("m", F.coalesce("h", "m")).alias("l")
+        )
+        stepped = materialize(stepped, "cc-step")
+        jump = stepped.select(F.col("node").alias("l"), F.col("l").alias("j"))
+        new = materialize(
+            stepped.join(jump, "l", "left").select("node", "was", F.least("l", F.coalesce("j", "l")).alias("component")), "cc"
+        )
+        moved = new.where("component <> was").limit(1).count()
+        labels = new.select("node", "component")
+        if not moved:
+            return labels
+    raise RuntimeError("components did not settle")

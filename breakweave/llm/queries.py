@@ -9,6 +9,7 @@ from . import langid, quality
 from .ann import nearest_neighbours
 from .common import table
 from .html_text import extract_text
+from .jaccard import jaccard_components
 from .mixing import poisson_mix
 from .pii import find_pii
 from .tokens import read_token_shards, write_token_shards
@@ -105,3 +106,25 @@ def op10_tree_forest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_tree_forest_search"] = op10_tree_forest_search
+
+
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of four-word n-grams have a Jaccard similarity of 0.85."""
+    return jaccard_components(table(spark, sf_dir, "documents"), n=4, per_100=85)
+
+
+QUERIES["op7_jaccard_join"] = op7_jaccard_join
+ORACLES["op7_jaccard_join"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM words),
+grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+overlap AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS n_both FROM grams a JOIN grams b
+  ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM overlap WHERE 100 * n_both >= 85 * (na + nb - n_both)),
+edges AS (SELECT a AS u, b AS v FROM links UNION SELECT b, a FROM links),
+reach(id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.id, edges.v FROM reach JOIN edges ON edges.u = reach.r)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.component_id FROM sets s
+JOIN (SELECT id, min(r) AS component_id FROM reach GROUP BY id) c ON c.id = s.doc_id"""
