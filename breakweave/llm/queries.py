@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import langid, quality
 from .ann import nearest_neighbours
 from .common import table
+from .decontaminate import find_leaks
 from .html_text import extract_text
 from .jaccard import jaccard_components
 from .mixing import poisson_mix
@@ -128,3 +129,11 @@ edges AS (SELECT a AS u, b AS v FROM links UNION SELECT b, a FROM links),
 reach(id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.id, edges.v FROM reach JOIN edges ON edges.u = reach.r)
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.component_id FROM sets s
 JOIN (SELECT id, min(r) AS component_id FROM reach GROUP BY id) c ON c.id = s.doc_id"""
+
+
+def op8_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of ``benchmark`` that documents hold, whole or as paraphrases."""
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES["op8_latent_leaks"] = op8_latent_leaks
