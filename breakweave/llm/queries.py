@@ -11,6 +11,7 @@ from .common import table
 from .decontaminate import find_leaks
 from .html_text import extract_text
 from .jaccard import jaccard_components
+from .lines import dedup_lines
 from .mixing import poisson_mix
 from .pii import find_pii
 from .tokens import read_token_shards, write_token_shards
@@ -137,3 +138,11 @@ def op8_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_latent_leaks"] = op8_latent_leaks
+
+
+def op3_line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the blocks of lines that an earlier one has."""
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "removed", "text")
+
+
+QUERIES["op3_line_alignment"] = op3_line_alignment
