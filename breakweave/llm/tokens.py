@@ -15,8 +15,12 @@ another; the manifest, written by Spark, names the files of the attempts that co
 
 from __future__ import annotations
 
+import json
+import string
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +34,10 @@ from .common import materialize, shared_dir
 from .mph import MinimalPerfectHash, fingerprint
 
 MAGIC = b"BWT1"
-#: The piece cache of a worker is emptied at so many entries; longer pieces are never kept.
-CACHE_PIECES, CACHE_PIECE_CHARS = 400_000, 48
+#: A worker keeps the ids of so many pieces, and as many older ones; longer pieces are never kept.
+CACHE_PIECES, CACHE_PIECE_CHARS = 200_000, 40
+#: Marks that may end a plain piece; the apostrophe can start a token with letters, so it is not one.
+END_MARKS = string.punctuation.replace("'", "")
 #: Ids read at once when a shard is read back.
 READ_IDS = 4_000_000
 
@@ -44,7 +50,10 @@ class Encoder:
     """Encodes texts as the bytes of their ids, piece by piece between blanks.
 
     The tokenizer drops white space before it merges, so the ids of a text are those of its
-    blank-separated pieces one after another; pieces repeat, and each is encoded once.
+    blank-separated pieces one after another; pieces repeat, and each is encoded once. Where the
+    tokenizer lower-cases and cuts between letters and other characters, a new piece of Latin
+    letters and end punctuation is made of the ids of both, and its letters go to the merge model
+    directly; anything else goes through the whole tokenizer.
     """
 
     def __init__(self, path: str, split_blanks: bool = True):
@@ -52,29 +61,71 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code, self.model = "H" if self.dtype.itemsize == 2 else "I", self.tokenizer.model
         self.split_blanks = split_blanks
-        self.cache: dict[str, bytes] = {}
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        spec = json.loads(self.tokenizer.to_str())
+        steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        cuts = json.dumps(spec["pre_tokenizer"])
+        self.words = steps == ["NFC", "Replace", "Lowercase"] and r"|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in cuts
+        self.specials = [t["content"].lower() for t in spec["added_tokens"]]
+        if self.words:
+            cut = self.tokenizer.pre_tokenizer.pre_tokenize_str
+            self.letters = {c: cut(chr(c))[0][0] for c in range(256) if chr(c).isalpha()}
+
+    def whole(self, text: str) -> bytes:
+        return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def packed(self, ids: list[int]) -> bytes:
+        out = array(self.code, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
+    def piece(self, text: str, plain: bool) -> bytes:
+        """Ids of a piece that is not kept; plain: it is lower-case Latin-1 of a word tokenizer."""
+        if plain:
+            if text.isalpha():
+                if not text.isascii():
+                    text = text.translate(self.letters)
+                return self.packed([t.id for t in self.model.tokenize(text)])
+            core = text.rstrip(END_MARKS)
+            if len(core) < len(text) and core.isalpha():
+                return self.kept(core, True) + self.kept(text[len(core) :], False)
+        return self.whole(text)
+
+    def kept(self, text: str, plain: bool) -> bytes:
+        found = self.new.get(text)
+        if found is None:
+            found = self.old.get(text)
+            if found is None:
+                found = self.piece(text, plain)
+            if len(text) <= CACHE_PIECE_CHARS:
+                if len(self.new) >= CACHE_PIECES:
+                    self.old, self.new = self.new, {}
+                self.new[text] = found
+        return found
 
     def encode(self, text: str) -> bytes:
         if not self.split_blanks:
-            return self.batch([text])[0]
-        if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
+            return self.whole(text)
+        plain = False
+        if self.words:
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                pass
+            else:
+                low = text.lower()
+                plain = not any(s in low for s in self.specials)
+                text = low if plain else text
         pieces = text.replace("\n", " ").split(" ")
-        cache = self.cache
-        try:
-            return b"".join([cache[p] for p in pieces])
-        except KeyError:
-            pass
-        new = list({p for p in pieces if p not in cache})
-        known = dict(zip(new, self.batch(new)))
-        out = b"".join([cache[p] if p in cache else known[p] for p in pieces])
-        cache.update((p, v) for p, v in known.items() if len(p) <= CACHE_PIECE_CHARS)
-        return out
+        found = list(map(self.new.get, pieces))
+        if None in found:
+            kept = self.kept
+            found = [kept(p, plain) if f is None else f for p, f in zip(pieces, found)]
+        return b"".join(found)
 
 
 def encoder(path: str, split_blanks: bool = True) -> Encoder:
