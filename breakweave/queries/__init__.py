@@ -33,9 +33,5 @@ def query(key: str, sql: str | None = None):
 
 def load() -> None:
     """Import every module of queries, which registers them."""
-    for name in ("expressions", "filtering", "joining", "aggregating", "ordering", "graphs", "statistics", "io", "streams"):
-        try:
-            import_module(f"{__name__}.{name}")
-        except ModuleNotFoundError as e:
-            if e.name != f"{__name__}.{name}":
-                raise
+    for name in ("flagship", "expressions", "filtering", "joining", "aggregating", "ordering", "graphs", "statistics", "io", "streams"):
+        import_module(f"{__name__}.{name}")
