@@ -109,7 +109,8 @@ def open_leaves(forest: list[Tree], query: np.ndarray, search: int) -> list[tupl
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), dtype=np.float64).reshape(len(column), -1)
+    """The vectors of a list column, which holds no nulls, as rows."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
 def usable_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
