@@ -158,12 +158,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     plans = materialize(overlaps(docs, id_col, text_col, rare), "dedup-plans")
     trimmed = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: F.xxhash64(F.trim(x)))
     sizes = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: (F.length(F.trim(x)) >= MIN_CHARS).cast("int"))
-    joined = docs.join(plans.withColumnRenamed("id", "__id"), F.col(id_col).cast("long") == F.col("__id"), "left")
+    plans = plans.withColumnsRenamed({"id": "__id", "whole": "__whole", "earlier": "__earlier"})
+    joined = docs.join(plans, F.col(id_col).cast("long") == F.col("__id"), "left")
     touched = F.col("__id").isNotNull()
     joined = joined.select(
         *docs.columns,
-        "whole",
-        "earlier",
+        "__whole",
+        "__earlier",
         F.when(touched, trimmed).alias("__h"),
         F.when(touched, sizes).alias("__w"),
     )
