@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
+from .wordhash import CHUNK, column_bytes, word_codes
 
 #: Log2 of the number of weights.
 BITS = 18
@@ -21,7 +22,7 @@ EPOCHS = 3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.002, 0.01
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_codes: dict[str, tuple[int, int]] = {}
+_EMPTY = np.array([0], dtype=np.int64), np.array([1.0])
 
 
 def _hash(s: str) -> int:
@@ -30,46 +31,33 @@ def _hash(s: str) -> int:
     return xxhash.xxh64_intdigest(s)
 
 
-def shape(word: str) -> str:
-    """The word with letters as a or A, digits as 0, other characters kept, runs cut to two."""
-    out = []
-    for c in word[:64]:
-        k = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
-        if out[-2:] != [k, k]:
-            out.append(k)
-    return "".join(out)
-
-
-def _code(word: str) -> tuple[int, int]:
-    found = _codes.get(word)
-    if found is None:
-        found = _hash(word.lower()), _hash("\x00" + shape(word))
-        if len(word) <= 40:
-            if len(_codes) > 300_000:
-                _codes.clear()
-            _codes[word] = found
-    return found
-
-
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and values of a text's n-grams: words and word pairs, shapes up to triples.
-
-    A value is the square root of the n-gram's share, so each text has length 1. An empty text has
-    one feature of its own.
-    """
-    words = (text or "").split()
-    if not words:
-        return np.array([0], dtype=np.int64), np.array([1.0])
-    codes = np.array([_code(w) for w in words], dtype=np.uint64)
-    w, s = codes[:, 0], codes[:, 1]
+def _grams(w: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         same = (w[1:] == w[:-1]).astype(np.uint64)
         w2 = (w[:-1] * _MIX) ^ w[1:] ^ np.uint64(1)
         s2 = (s[:-1] * _MIX) ^ s[1:] ^ (same << np.uint64(7))
         s3 = (s2[:-1] * _MIX) ^ s[2:]
         grams = np.concatenate([w, w2, s, s2, s3]) * np.uint64(0xBF58476D1CE4E5B9)
-    at, n = np.unique((grams >> np.uint64(64 - BITS)).astype(np.int64), return_counts=True)
-    return at, np.sqrt(n / len(grams))
+    at, n = np.unique((grams >> np.uint64(64 - BITS)).astype(np.int32), return_counts=True)
+    return at.astype(np.int64), np.sqrt(n / len(grams))
+
+
+def features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indices and values of each text's n-grams: words and word pairs, shapes up to triples.
+
+    A value is the square root of the n-gram's share, so each text has length 1. An empty or null
+    text has one feature of its own.
+    """
+    if not len(column):
+        return
+    data, off = column_bytes(column)
+    i = 0
+    while i < len(column):
+        j = max(i + 1, int(np.searchsorted(off, off[i] + CHUNK, "right")) - 1)
+        w, s, first = word_codes(data[off[i] : off[j]], off[i : j + 1] - off[i])
+        for a, z in zip(first[:-1].tolist(), first[1:].tolist()):
+            yield _grams(w[a:z], s[a:z]) if z > a else _EMPTY
+        i = j
 
 
 def sigmoid(x: float) -> float:
@@ -125,7 +113,8 @@ def train(
 
     def fit(part: pa.Table) -> pa.Table:
         ids, texts, ys = (part.column(c).to_pylist() for c in ("train_id", "text", "y"))
-        cases = [(*features(texts[i]), ys[i]) for i in sorted(range(len(ids)), key=lambda i: _hash(f"{ids[i]}|{texts[i]}"))]
+        order = sorted(range(len(ids)), key=lambda i: _hash(f"{ids[i]}|{texts[i]}"))
+        cases = [(*x, ys[i]) for i, x in zip(order, features(pa.array([texts[i] for i in order], pa.string())))]
         model = Ftrl()
         for _ in range(EPOCHS):
             for at, x, y in cases:
@@ -158,8 +147,7 @@ def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", score_co
         w = shared.value
         for batch in batches:
             p = []
-            for t in batch.column(at_text):
-                at, x = features(t.as_py())
+            for at, x in features(batch.column(at_text)):
                 p.append(float(sigmoid(float(w[at] @ x) + float(w[-1]))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], [*names, score_col])
 
