@@ -2,41 +2,27 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.scratch import materialize, shared_dir
 from ..session import ship_package
 
+__all__ = ["materialize", "md5_long", "md5_unit", "shared_dir", "table", "with_free_names"]
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship_package(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests on one machine), a temporary one is set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+#: Rows of one Arrow batch between Spark and a Python worker, where the session has Spark's default.
+BATCH_ROWS, DEFAULT_BATCH_ROWS = 1_000, "10000"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder once and read it back, which cuts its lineage.
-
-    Unlike a local checkpoint the rows survive the loss of any executor.
-    """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder. Also readies the session for the operators' Python tasks: the package is
+    sent to the executors, and batches of whole texts are kept small, which bounds a task's memory."""
+    ship_package(spark)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(batch) == DEFAULT_BATCH_ROWS:
+        spark.conf.set(batch, BATCH_ROWS)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def with_free_names(df: DataFrame, *names: str) -> DataFrame:
@@ -54,5 +40,3 @@ def md5_long(*parts) -> F.Column:
     """A non-negative 60-bit long from the md5 of the ``|``-joined parts (JVM only)."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("long")
 
-
-LETTERS = re.compile(r"[^\W\d_]")
