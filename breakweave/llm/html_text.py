@@ -40,7 +40,10 @@ MARKS = frozenset(
     " disqus replies respond share sharing social related recommended newsletter subscribe subscription signup login"
     " search pagination pager contentinfo complementary skip widget toolbar".split()
 )
-HEADINGS = re.compile(r"<h[1-6][\s>]", re.I)
+#: So do words that begin like these.
+MARK_STEMS = ("comment", "advert", "cookie", "sidebar", "breadcrumb", "newsletter", "sponsor")
+#: And these outside an article, where they name the head of the page.
+PAGE_MARKS = frozenset("header topbar top".split())
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 TAG_END = re.compile(r"""(?:[^"'>]|"[^"]*"|'[^']*')*+>""")
@@ -103,22 +106,24 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             at = close.start() if close else n
 
 
-def is_furniture(tag: str, attributes: str, article: bool, page_has_article: bool) -> bool:
-    if tag in FURNITURE:
+def is_furniture(tag: str, attributes: str, article: bool) -> bool:
+    """Whether an element is page furniture by its name, or by the words of its attributes."""
+    if tag in FURNITURE or tag == "header" and not article:
         return True
-    if tag == "header" and not article:
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        if not (attributes and tag in ("article",)):
-            return False
+    if not attributes or tag in ("html", "body", "main"):
+        return False
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m.group(1).lower(), (m.group(2) or "").strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
             return True
         if name == "style" and "display:none" in value.replace(" ", ""):
             return True
-        if name in ("class", "id", "role") and not MARKS.isdisjoint(WORDS.findall(value)):
-            return True
+        if name in ("class", "id", "role"):
+            words = WORDS.findall(value)
+            if not MARKS.isdisjoint(words) or any(w.startswith(MARK_STEMS) for w in words):
+                return True
+            if not article and not PAGE_MARKS.isdisjoint(words):
+                return True
     return False
 
 
@@ -130,7 +135,6 @@ def _hash(text: str) -> int:
 
 def parse(page: str) -> Page:
     """Blocks outside page furniture, and every element subtree that holds some."""
-    has_article = bool(re.search(r"<(?:article|main)[\s>]", page, re.I))
     root = Node("#", False, False, 0)
     stack, blocks, nodes, text = [root], [], [], []
 
@@ -183,7 +187,7 @@ def parse(page: str) -> Page:
                 continue
             top = stack[-1]
             article = top.article or value in ("article", "main")
-            off = top.furniture or is_furniture(value, attributes, top.article, has_article)
+            off = top.furniture or is_furniture(value, attributes, top.article)
             stack.append(Node(value, off, article, len(blocks)))
             if attributes.endswith("/") and value in ("svg", "path"):
                 pop()
