@@ -35,7 +35,7 @@ from .mph import MinimalPerfectHash, fingerprint
 
 MAGIC = b"BWT1"
 #: A worker keeps the ids of so many pieces, and as many older ones; longer pieces are never kept.
-CACHE_PIECES, CACHE_PIECE_CHARS = 200_000, 40
+CACHE_PIECES, CACHE_PIECE_CHARS = 80_000, 40
 #: Marks that may end a plain piece; the apostrophe can start a token with letters, so it is not one.
 END_MARKS = string.punctuation.replace("'", "")
 #: Ids read at once when a shard is read back.
