@@ -263,6 +263,26 @@ def test_leaks_and_paraphrases(spark):
     assert decontaminate.find_leaks(docs.limit(0), spark.createDataFrame(bench, "item_id long, text string")).count() == 0
 
 
+def test_copies_of_a_large_benchmark_are_found_without_the_cosine(spark):
+    r = random.Random(8)
+    vocabulary = [f"{a}{b}{e}" for a in "mo ta ri ke su la ne vo".split() for b in "nda sker plin troo".split() for e in "mik gar fess".split()]
+    text = lambda n: " ".join(r.choices(vocabulary, k=n))
+    lengths = [1, 2, 3, 5, 8, 14, 20, 21, 22, 30, 45, 59]
+    bench = [(i, text(n)) for i, n in zip(range(480), lengths * 40)]
+    rows = [(i, text(150)) for i in range(50)]
+    for i, item in bench:
+        w = item.split()
+        if i >= 240:  # three in ten of the words are replaced, each third at worst
+            for k in range(2, len(w), 3)[: int(len(w) * 0.3 + 1e-9)] if len(w) > 9 else []:
+                w[k] = "other" + "abcdefgh"[k % 8]
+        rows.append((1000 + i, " ".join([text(40), *w, text(40)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = decontaminate.find_leaks(docs, spark.createDataFrame(bench, "item_id long, text string"), min_cosine=2.0).collect()
+    got = {(x.doc_id, x.item_id) for x in found}
+    assert {(1000 + i, i) for i, _ in bench} <= got
+    assert all(x.share >= 0.5 for x in found)
+
+
 def test_common_subsequence_matches_dynamic_programming():
     r = random.Random(6)
     for _ in range(200):
