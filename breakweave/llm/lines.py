@@ -17,8 +17,9 @@ from .common import materialize
 MIN_CHARS = 20
 #: A line of so many words makes documents overlap however often it occurs.
 LONG_WORDS = 50
-#: Another line does so where at most this many documents have it. Beyond that, pairs of neighbouring
-#: lines do, so that blocks in large groups of near copies are found and lone stock lines are not.
+#: Another line does so where at most this many documents have it. Beyond that, pairs of lines do that
+#: have at most short lines between them, so that blocks in large groups of near copies are found and
+#: lone stock lines are not.
 RARE = 10
 
 
@@ -78,16 +79,25 @@ def patience_blocks(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
     return blocks
 
 
-def deleted_lines(h: list[int], w: list[int], earlier: list[tuple[list[int], set[int]]]) -> list[int]:
-    """Lines of a document that aligned blocks cover. ``earlier``: hashes of each earlier document, and
-    the lone lines that made the two overlap. A block counts if it has one of them or two lines that
-    are not short."""
+def deleted_lines(h: list[int], w: list[int], earlier: list[tuple[list[int], set[int], list[bool]]]) -> list[int]:
+    """Lines of a document that aligned blocks cover. ``earlier``: hashes of each earlier document, the
+    lone lines that made the two overlap, and which of its lines are not short. A block counts if it
+    has one of them or two lines that are not short; one such line is enough where the next block
+    has another and only short lines lie between, in both documents."""
     gone: set[int] = set()
-    for other, keys in earlier:
-        for _, start, n in patience_blocks(other, h):
+    for other, keys, plain in earlier:
+        reached, lone = (0, 0), range(0)
+        for a, start, n in patience_blocks(other, h):
             block = range(start, start + n)
-            if any(h[i] in keys for i in block) or sum(w[i] > 0 for i in block) >= 2:
+            plain_lines = sum(w[i] > 0 for i in block)
+            if any(plain[reached[0] : a]) or any(x > 0 for x in w[reached[1] : start]):
+                lone = range(0)
+            if any(h[i] in keys for i in block) or plain_lines >= 2 or plain_lines and lone:
                 gone.update(block)
+                gone.update(lone)
+            if plain_lines:
+                lone = block
+            reached = a + n, start + n
     return sorted(gone)
 
 
@@ -106,29 +116,25 @@ def overlaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     """``id, whole, earlier``: what each document that shares lines with an earlier one is aligned with.
 
     ``whole`` documents equal an earlier one line by line. The others are aligned with the first
-    document that has each of their shared keys: lines and pairs of neighbouring lines. One
-    partner a key keeps the number of pairs below the number of lines, however large the group.
+    document that has each of their shared keys: lines and pairs of lines with at most short ones
+    between. One partner a key keeps the number of pairs below the number of lines, however large
+    the group.
     """
-    lines = materialize(_lines(docs, id_col, text_col).where("id is not null"), "dedup-lines")
-    lines = lines.where(F.exists("w", lambda x: x > 0)).withColumn("all", F.xxhash64("h"))
+    written = docs.where(F.col(id_col).cast("long").isNotNull() & F.col(text_col).rlike(r"\S"))
+    lines = materialize(_lines(written, id_col, text_col), "dedup-lines").withColumn("all", F.xxhash64("h"))
     classes = materialize(lines.groupBy("all").agg(F.min("id").alias("first")), "dedup-classes")
     placed = lines.join(classes, "all")
     copies = placed.where("id <> first").select("id").distinct()
-    own = placed.where("id = first").select("id", "h", "w").dropDuplicates(["id"])
+    own = placed.where("id = first").where(F.exists("w", lambda x: x > 0)).select("id", "h", "w").dropDuplicates(["id"])
     own = materialize(own, "dedup-own")
 
-    zipped = F.arrays_zip("h", "w")
-    single = F.transform(
-        F.filter(zipped, lambda x: x["w"] > 0), lambda x: F.struct(x["h"].alias("k"), (x["w"] - 1).alias("kind"))
-    )
+    long_enough = own.select("id", F.filter(F.arrays_zip("h", "w"), lambda x: x["w"] > 0).alias("l"))
+    single = F.transform("l", lambda x: F.struct(x["h"].alias("k"), (x["w"] - 1).alias("kind")))
     pair = F.transform(
-        F.filter(
-            F.when(F.size("h") > 1, F.sequence(F.lit(1), F.size("h") - 1)).otherwise(F.array().cast("array<int>")),
-            lambda i: (F.element_at("w", i) > 0) & (F.element_at("w", i + 1) > 0),
-        ),
-        lambda i: F.struct(F.xxhash64(F.element_at("h", i), F.element_at("h", i + 1)).alias("k"), F.lit(2).alias("kind")),
+        F.when(F.size("l") > 1, F.sequence(F.lit(1), F.size("l") - 1)).otherwise(F.array().cast("array<int>")),
+        lambda i: F.struct(F.xxhash64(F.element_at("l", i)["h"], F.element_at("l", i + 1)["h"]).alias("k"), F.lit(2).alias("kind")),
     )
-    keys = own.select("id", F.explode(F.array_distinct(F.concat(single, pair))).alias("key")).select("id", "key.*")
+    keys = long_enough.select("id", F.explode(F.array_distinct(F.concat(single, pair))).alias("key")).select("id", "key.*")
     shared = (
         keys.groupBy("k", "kind")
         .agg(F.min("id").alias("first"), F.count("*").alias("n"))
@@ -137,8 +143,9 @@ def overlaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     )
     met = keys.join(shared, ["k", "kind"]).where("id <> first")
     pairs = met.groupBy("id", "first").agg(F.collect_set(F.when(F.col("kind") < 2, F.col("k"))).alias("keys"))
-    with_lines = pairs.join(own.select(F.col("id").alias("first"), F.col("h").alias("other")), "first")
-    earlier = with_lines.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("first", "keys", "other"))).alias("earlier"))
+    plain = F.transform("w", lambda x: x > 0)
+    with_lines = pairs.join(own.select(F.col("id").alias("first"), F.col("h").alias("other"), plain.alias("plain")), "first")
+    earlier = with_lines.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("first", "keys", "other", "plain"))).alias("earlier"))
     kind = dict(earlier.dtypes)["earlier"]
     return earlier.select("id", F.lit(False).alias("whole"), "earlier").unionByName(
         copies.select("id", F.lit(True).alias("whole"), F.lit(None).cast(kind).alias("earlier"))
@@ -150,8 +157,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Adds ``n_lines``, ``n_removed`` and ``removed`` (line numbers from 0); ``text`` keeps the other
     lines. Documents equal to an earlier one lose all lines. Lines are compared trimmed. A null text
-    stays null and counts as one empty line; documents without an id or without a line that is
-    long enough stay whole; rows that share an id are one document and none is earlier; input
+    stays null and counts as one empty line; documents without an id or without any text stay whole,
+    those without a line that is long enough go only where they equal an earlier one; rows that share an id are one document and none is earlier; input
     columns named like the added ones are replaced.
     """
     docs = docs.drop("n_lines", "n_removed", "removed")
@@ -185,7 +192,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     if whole.as_py() is True:
                         lost = list(range(n))
                     elif earlier.is_valid:
-                        others = [(e["other"], {k for k in e["keys"] if k is not None}) for e in earlier.as_py()]
+                        others = [(e["other"], {k for k in e["keys"] if k is not None}, e["plain"]) for e in earlier.as_py()]
                         lost = deleted_lines(h.as_py(), w.as_py(), others)
                     if lost:
                         drop = set(lost)

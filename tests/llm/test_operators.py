@@ -124,6 +124,20 @@ def test_blocks_are_deleted_from_the_later_document(spark):
     assert found[55].n_removed == found[55].n_lines == 6 and found[12].removed == "1-3"
 
 
+def test_paragraphs_between_short_lines_are_deleted_in_large_groups(spark):
+    paragraph = lambda k: f"this is paragraph {k} of the notice that many documents hold"
+    rows = [(i, "\n\n".join([f"a line that only document {i} holds", *map(paragraph, range(5))])) for i in range(15)]
+    rows += [(20 + i, f"own line of document {i} and more\n* {i}\n{paragraph(7)}\n* {i}\n{paragraph(8)}\nshort") for i in range(15)]
+    rows += [(40 + i, f"{paragraph(9)}\nanother line that only document {i} holds") for i in range(15)]
+    rows += [(60, "short\nlines"), (61, "short\nlines"), (62, "short\n lines "), (63, "other"), (64, ""), (65, " \n\t"), (66, " \n\t"), (67, "")]
+    found = {r.doc_id: r for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(found) == len(rows) and found[0].n_removed == found[20].n_removed == 0
+    assert all(found[i].removed == "1-10" for i in range(1, 15))
+    assert all(found[i].removed == "2,4-5" for i in range(21, 35))
+    assert all(found[i].n_removed == 0 for i in [*range(40, 55), 60, 63, 64, 65, 66, 67])  # a lone stock line stays
+    assert found[61].n_removed == found[62].n_removed == 2
+
+
 def test_patience_aligns_in_order():
     assert lines.patience_blocks([1, 2, 3, 4, 5], [9, 2, 3, 8, 5]) == [(1, 1, 2), (4, 4, 1)]
     assert lines.patience_blocks([1, 2, 3], [3, 1, 2]) == [(0, 1, 2)]
