@@ -14,8 +14,10 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import materialize
 
-#: A subtree is a template where it recurs on so many different pages of its host, and on this share of them.
+#: A subtree is a template where it recurs on so many different pages of its host, and on this share of them ...
 MIN_PAGES, MIN_SHARE = 5, 0.25
+#: ... or, a container, on so many pages, however large the host is.
+MANY_PAGES = 20
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp".split())
@@ -33,6 +35,8 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 SCOPES = frozenset("ul ol dl table td th article section div aside body main".split())
 #: Text of these inside an article is the article's own, however often it recurs.
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dd dt td th b i em strong a span code sup sub br u small mark".split())
+#: Single lines, items and rows of any text can recur by chance: for these the share decides alone.
+ITEMS = TEXTUAL | frozenset("li tr caption figcaption summary".split())
 #: Words of class, id or role attributes that mark furniture.
 MARKS = frozenset(
     "ad ads advert advertisement advertising adbox banner sponsor sponsored promo cookie cookies consent gdpr notice popup"
@@ -62,7 +66,7 @@ class Node:
 
 @dataclass
 class Page:
-    """``blocks``: (text, is article text); ``nodes``: (hash, first block, end, deletable)."""
+    """``blocks``: (text, is article text); ``nodes``: (hash, odd for one of ITEMS, first block, end, deletable)."""
 
     blocks: list[tuple[str, bool]]
     nodes: list[tuple[int, int, int, bool]]
@@ -154,7 +158,7 @@ def parse(page: str) -> Page:
         stack[-1].holds_article |= node.holds_article or node.tag in ("article", "main")
         if len(blocks) > node.first_block:
             whole = node.holds_article or node.tag in ("html", "body", "article", "main")
-            nodes.append((h, node.first_block, len(blocks), not (whole or node.article and node.tag in TEXTUAL)))
+            nodes.append((h & ~1 | (node.tag in ITEMS), node.first_block, len(blocks), not (whole or node.article and node.tag in TEXTUAL)))
 
     for kind, value, attributes in tokens(page):
         top = stack[-1]
@@ -227,7 +231,12 @@ def page_key(url_col: str, html_col: str) -> F.Column:
 
 
 def template_subtrees(
-    pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE
+    pages: DataFrame,
+    url_col: str = "url",
+    html_col: str = "html",
+    min_pages: int = MIN_PAGES,
+    min_share: float = MIN_SHARE,
+    many_pages: int = MANY_PAGES,
 ) -> DataFrame:
     """``key, subtrees``: for each page that holds some, the hashes of its subtrees which recur on its host."""
 
@@ -249,7 +258,7 @@ def template_subtrees(
         .agg(F.count("*").alias("n"))
         .where(F.col("n") >= min_pages)
         .join(on_host, "host")
-        .where(F.col("n") >= min_share * F.col("host_pages"))
+        .where((F.col("n") >= min_share * F.col("host_pages")) | (F.col("n") >= many_pages) & (F.col("subtree").bitwiseAND(1) == 0))
         .select("host", "subtree")
     )
     often = materialize(often, "page-templates")
@@ -262,17 +271,19 @@ def extract_text(
     html_col: str = "html",
     min_pages: int = MIN_PAGES,
     min_share: float = MIN_SHARE,
+    many_pages: int = MANY_PAGES,
 ) -> DataFrame:
     """``pages`` without its html, with ``text`` (blocks joined by newlines) and ``n_chars``.
 
     Page furniture goes by element name and by the words of class, id and role; then subtrees that
-    recur on at least ``min_pages`` different pages and ``min_share`` of the pages of a host go,
-    whatever they are called, except the article and its paragraphs and headings. A null or empty
+    recur on at least ``min_pages`` different pages and ``min_share`` of the pages of a host go, and
+    containers that recur on ``many_pages``, whatever their share and whatever they are called,
+    except the article and its paragraphs and headings. A null or empty
     page gives an empty text; a null address has an empty host; input columns named text and
     n_chars are replaced; repeated rows all stay, and count as one page.
     """
     pages = pages.drop("text", "n_chars")
-    templates = materialize(template_subtrees(pages, url_col, html_col, min_pages, min_share), "page-deletions")
+    templates = materialize(template_subtrees(pages, url_col, html_col, min_pages, min_share, many_pages), "page-deletions")
     keyed = pages.withColumn("__key", page_key(url_col, html_col))
     joined = keyed.join(templates.withColumnRenamed("key", "__key"), "__key", "left")
     kept = [f for f in pages.schema.fields if f.name != html_col]

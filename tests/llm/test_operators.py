@@ -176,6 +176,19 @@ def test_templates_of_a_host_go_and_articles_stay(spark):
     assert html_text.extract_text(df.limit(0)).count() == 0
 
 
+def test_rotating_boxes_of_a_large_host_go_and_chance_repeats_stay(spark):
+    box = lambda k: f"<div><p>box {k} that rotates</p><ul><li>more of {k}</li></ul></div>"
+    body = lambda i: f"<h2>Part {i % 6}</h2><p>page {i} says its own words</p><ul><li>item {i % 6}</li><li>own item {i}</li></ul>"
+    rows = [(i, f"http://h.example/{'abc'[i % 3]}/{i}", f"<body>{box(i % 8)}{body(i)}</body>") for i in range(240)]
+    rows += [(1000 + i, f"http://g.example/{i}", f"<article>{box(i % 8)}{body(i)}</article>") for i in range(240)]
+    rows += [(2000 + i, f"http://few.example/{i}", f"<body>{box(i % 8)}{body(i)}</body>") for i in range(24)]
+    found = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(240):
+        own = f"Part {i % 6}\npage {i} says its own words\nitem {i % 6}\nown item {i}"
+        assert found[i] == own and found[1000 + i] == own
+    assert "box 3 that rotates" in found[2003]  # on three pages: not many
+
+
 # tokens
 
 
