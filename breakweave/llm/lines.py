@@ -23,14 +23,22 @@ LONG_WORDS = 50
 RARE = 10
 
 
+#: What a line is trimmed of.
+BLANKS = " \t\r\x0b\x0c"
+
+
+def _trimmed(text_col: str) -> F.Column:
+    return F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(BLANKS)))
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, h, w``: hashes of the trimmed lines, and 0 for short, 1 for plain, 2 for long lines."""
-    trimmed = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: F.trim(x))
+    """``id, t, h, w, all``: the text's hash, hashes of its trimmed lines, 0 for short, 1 for plain and 2
+    for long lines, and a hash of all lines, equal for documents that are equal line by line."""
     words = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1
     weight = lambda x: F.when(F.length(x) < MIN_CHARS, 0).when(words(x) < LONG_WORDS, 1).otherwise(2)
-    return docs.select(F.col(id_col).cast("long").alias("id"), trimmed.alias("t")).select(
-        "id", F.transform("t", lambda x: F.xxhash64(x)).alias("h"), F.transform("t", weight).alias("w")
-    )
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"), _trimmed(text_col).alias("l"))
+    hashed = rows.select("id", "t", F.transform("l", lambda x: F.xxhash64(x)).alias("h"), F.transform("l", weight).alias("w"))
+    return hashed.withColumn("all", F.xxhash64("h"))
 
 
 def patience_blocks(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
@@ -79,25 +87,24 @@ def patience_blocks(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
     return blocks
 
 
-def deleted_lines(h: list[int], w: list[int], earlier: list[tuple[list[int], set[int], list[bool]]]) -> list[int]:
-    """Lines of a document that aligned blocks cover. ``earlier``: hashes of each earlier document, the
-    lone lines that made the two overlap, and which of its lines are not short. A block counts if it
-    has one of them or two lines that are not short; one such line is enough where the next block
-    has another and only short lines lie between, in both documents."""
+def deleted_lines(h: list[int], w: list[int], other: list[int], other_w: list[int], keys: set[int]) -> list[int]:
+    """Lines of a document that blocks aligned with an earlier one cover. ``keys``: the lone lines that
+    made the two overlap. A block counts if it has one of them or two lines that are not short; one
+    such line is enough where the next block has another and only short lines lie between, in both
+    documents."""
     gone: set[int] = set()
-    for other, keys, plain in earlier:
-        reached, lone = (0, 0), range(0)
-        for a, start, n in patience_blocks(other, h):
-            block = range(start, start + n)
-            plain_lines = sum(w[i] > 0 for i in block)
-            if any(plain[reached[0] : a]) or any(x > 0 for x in w[reached[1] : start]):
-                lone = range(0)
-            if any(h[i] in keys for i in block) or plain_lines >= 2 or plain_lines and lone:
-                gone.update(block)
-                gone.update(lone)
-            if plain_lines:
-                lone = block
-            reached = a + n, start + n
+    reached, lone = (0, 0), range(0)
+    for a, start, n in patience_blocks(other, h):
+        block = range(start, start + n)
+        plain_lines = sum(w[i] > 0 for i in block)
+        if any(x > 0 for x in other_w[reached[0] : a]) or any(x > 0 for x in w[reached[1] : start]):
+            lone = range(0)
+        if any(h[i] in keys for i in block) or plain_lines >= 2 or plain_lines and lone:
+            gone.update(block)
+            gone.update(lone)
+        if plain_lines:
+            lone = block
+        reached = a + n, start + n
     return sorted(gone)
 
 
@@ -112,69 +119,83 @@ def ranges(lines: list[int]) -> str:
     return ",".join(f"{a}-{b}" if a < b else f"{a}" for a, b in out)
 
 
-def overlaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE) -> DataFrame:
-    """``id, whole, earlier``: what each document that shares lines with an earlier one is aligned with.
+def overlapping_pairs(own: DataFrame, rare: int = RARE) -> DataFrame:
+    """``all, first, keys``: each document with the first one that has each of its shared keys, and the
+    lone lines among these. ``own``: ``id, all, h, w``, one row a document.
 
-    ``whole`` documents equal an earlier one line by line. The others are aligned with the first
-    document that has each of their shared keys: lines and pairs of lines with at most short ones
-    between. One partner a key keeps the number of pairs below the number of lines, however large
-    the group.
+    Keys are lines and pairs of lines with at most short ones between. One partner a key keeps the
+    number of pairs below the number of lines, however large the group. The shared keys are a table
+    of their own, so that a key that very many documents have meets one row, and the join's crowded
+    partitions can be split.
     """
-    written = docs.where(F.col(id_col).cast("long").isNotNull() & F.col(text_col).rlike(r"\S"))
-    lines = materialize(_lines(written, id_col, text_col), "dedup-lines").withColumn("all", F.xxhash64("h"))
-    classes = materialize(lines.groupBy("all").agg(F.min("id").alias("first")), "dedup-classes")
-    placed = lines.join(classes, "all")
-    copies = placed.where("id <> first").select("id").distinct()
-    own = placed.where("id = first").where(F.exists("w", lambda x: x > 0)).select("id", "h", "w").dropDuplicates(["id"])
-    own = materialize(own, "dedup-own")
-
-    long_enough = own.select("id", F.filter(F.arrays_zip("h", "w"), lambda x: x["w"] > 0).alias("l"))
+    long_enough = own.select("id", "all", F.filter(F.arrays_zip("h", "w"), lambda x: x["w"] > 0).alias("l"))
     single = F.transform("l", lambda x: F.struct(x["h"].alias("k"), (x["w"] - 1).alias("kind")))
     pair = F.transform(
         F.when(F.size("l") > 1, F.sequence(F.lit(1), F.size("l") - 1)).otherwise(F.array().cast("array<int>")),
         lambda i: F.struct(F.xxhash64(F.element_at("l", i)["h"], F.element_at("l", i + 1)["h"]).alias("k"), F.lit(2).alias("kind")),
     )
-    keys = long_enough.select("id", F.explode(F.array_distinct(F.concat(single, pair))).alias("key")).select("id", "key.*")
+    keys = long_enough.select("id", "all", F.explode(F.array_distinct(F.concat(single, pair))).alias("key")).select("id", "all", "key.*")
     shared = (
         keys.groupBy("k", "kind")
-        .agg(F.min("id").alias("first"), F.count("*").alias("n"))
+        .agg(F.min(F.struct("id", "all")).alias("f"), F.count("*").alias("n"))
         .where((F.col("n") > 1) & ((F.col("kind") > 0) | (F.col("n") <= rare)))
-        .drop("n")
-    )
-    met = keys.join(shared, ["k", "kind"]).where("id <> first")
-    pairs = met.groupBy("id", "first").agg(F.collect_set(F.when(F.col("kind") < 2, F.col("k"))).alias("keys"))
-    plain = F.transform("w", lambda x: x > 0)
-    with_lines = pairs.join(own.select(F.col("id").alias("first"), F.col("h").alias("other"), plain.alias("plain")), "first")
-    earlier = with_lines.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("first", "keys", "other", "plain"))).alias("earlier"))
-    kind = dict(earlier.dtypes)["earlier"]
-    return earlier.select("id", F.lit(False).alias("whole"), "earlier").unionByName(
-        copies.select("id", F.lit(True).alias("whole"), F.lit(None).cast(kind).alias("earlier"))
+        .select("k", "kind", F.col("f.id").alias("first_id"), F.col("f.all").alias("first"))
     )
+    shared = materialize(shared, "dedup-shared")
+    met = keys.join(shared, ["k", "kind"]).where("id > first_id")
+    return met.groupBy("all", "first").agg(F.collect_set(F.when(F.col("kind") < 2, F.col("k"))).alias("keys"))
+
+
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``all, lines`` of the pairs in (all, keys, h, w, other, other_w)."""
+    for whole in batches:
+        for i in range(0, whole.num_rows, 256):
+            batch = whole.slice(i, 256)
+            keys, h, w, other, other_w = (c.to_pylist() for c in batch.columns[1:])
+            gone = [deleted_lines(b, c, d, e, set(a)) for a, b, c, d, e in zip(keys, h, w, other, other_w)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.list_(pa.int32()))], ["all", "lines"])
+
+
+def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE) -> DataFrame:
+    """``id, t, whole, lines``: for each document that loses lines, its id, its text's hash, and which go.
+
+    ``whole`` documents equal an earlier one line by line. Of the others, one for each class of equal
+    ones, each pair is aligned in a row of its own; the lines that its pairs delete are then united.
+    """
+    written = docs.where(F.col(id_col).cast("long").isNotNull() & F.col(text_col).rlike(r"\S"))
+    lines = materialize(_lines(written, id_col, text_col), "dedup-lines")
+    classes = materialize(lines.groupBy("all").agg(F.min("id").alias("first_id")), "dedup-classes")
+    firsts = lines.join(classes, "all").where("id = first_id")
+    own = firsts.where(F.exists("w", lambda x: x > 0)).select("id", "all", "h", "w").dropDuplicates(["all"])
+    own = materialize(own, "dedup-own")
+    pairs = materialize(overlapping_pairs(own, rare), "dedup-pairs")
+    mine = own.select("all", "h", "w")
+    theirs = own.select(F.col("all").alias("first"), F.col("h").alias("other"), F.col("w").alias("other_w"))
+    rows = pairs.join(theirs, "first").join(mine, "all").select("all", "keys", "h", "w", "other", "other_w")
+    gone = rows.mapInArrow(_aligned, "`all` long, lines array<int>").select("all", F.explode("lines").alias("line"))
+    gone = gone.groupBy("all").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    texts = lines.select("id", "t", "all").distinct().join(classes, "all")
+    whole = texts.where("id <> first_id").select("id", "t", F.lit(True).alias("whole"), F.lit(None).cast("array<int>").alias("lines"))
+    return whole.unionByName(texts.where("id = first_id").join(gone, "all").select("id", "t", F.lit(False).alias("whole"), "lines"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE) -> DataFrame:
     """``docs`` with blocks of lines deleted that an earlier document (by id) has too.
 
     Adds ``n_lines``, ``n_removed`` and ``removed`` (line numbers from 0); ``text`` keeps the other
-    lines. Documents equal to an earlier one lose all lines. Lines are compared trimmed. A null text
-    stays null and counts as one empty line; documents without an id or without any text stay whole,
-    those without a line that is long enough go only where they equal an earlier one; rows that share an id are one document and none is earlier; input
-    columns named like the added ones are replaced.
+    lines. Documents equal to an earlier one lose all lines. Lines are compared without blanks and
+    carriage returns at their ends. The result has the input's rows. A null text stays null and
+    counts as one empty line; documents without an id or without any text stay whole, those without a
+    line that is long enough go only where they equal an earlier one. Rows that share an id have one
+    place in the order: none of them is earlier than another, and equal ones lose the same lines;
+    different texts of one id are documents of their own (told apart by a 64-bit hash), each compared
+    with those of smaller ids. Input columns named like the added ones are replaced.
     """
     docs = docs.drop("n_lines", "n_removed", "removed")
-    plans = materialize(overlaps(docs, id_col, text_col, rare), "dedup-plans")
-    trimmed = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: F.xxhash64(F.trim(x)))
-    sizes = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: (F.length(F.trim(x)) >= MIN_CHARS).cast("int"))
-    plans = plans.withColumnsRenamed({"id": "__id", "whole": "__whole", "earlier": "__earlier"})
-    joined = docs.join(plans, F.col(id_col).cast("long") == F.col("__id"), "left")
-    touched = F.col("__id").isNotNull()
-    joined = joined.select(
-        *docs.columns,
-        "__whole",
-        "__earlier",
-        F.when(touched, trimmed).alias("__h"),
-        F.when(touched, sizes).alias("__w"),
-    )
+    plans = materialize(deletions(docs, id_col, text_col, rare), "dedup-plans")
+    plans = plans.withColumnsRenamed({"id": "__id", "t": "__t", "whole": "__whole", "lines": "__lines"})
+    same = (F.col(id_col).cast("long") == F.col("__id")) & (F.xxhash64(text_col) == F.col("__t"))
+    joined = docs.join(plans, same, "left").select(*docs.columns, "__whole", "__lines")
     at_text = docs.columns.index(text_col)
     added = [("n_lines", LongType()), ("n_removed", LongType()), ("removed", StringType())]
     schema = StructType([*docs.schema.fields, *(StructField(n, t) for n, t in added)])
@@ -185,15 +206,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for i in range(0, whole_batch.num_rows, 256):
                 batch = whole_batch.slice(i, 256)
                 texts, counts, gone, said = [], [], [], []
-                for t, whole, earlier, h, w in zip(batch.column(at_text), *(batch.column(width + k) for k in range(4))):
+                for t, whole, lines in zip(batch.column(at_text), batch.column(width), batch.column(width + 1)):
                     text = t.as_py()
                     n = (text or "").count("\n") + 1
-                    lost: list[int] = []
-                    if whole.as_py() is True:
-                        lost = list(range(n))
-                    elif earlier.is_valid:
-                        others = [(e["other"], {k for k in e["keys"] if k is not None}, e["plain"]) for e in earlier.as_py()]
-                        lost = deleted_lines(h.as_py(), w.as_py(), others)
+                    lost = list(range(n)) if whole.as_py() else lines.as_py() or []
                     if lost:
                         drop = set(lost)
                         text = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in drop)

@@ -138,6 +138,18 @@ def test_paragraphs_between_short_lines_are_deleted_in_large_groups(spark):
     assert found[61].n_removed == found[62].n_removed == 2
 
 
+def test_texts_that_share_an_id_are_documents_of_their_own(spark):
+    text = lambda k, sep="\n": sep.join(f"line {j} of the text number {k}, which is long enough" for j in range(6))
+    rows = [(1, text(1)), (4, text(1)), (4, text(2)), (0, text(3)), (5, text(3, "\r\n") + "\r"), (4, text(2)), (7, "own line of the document seven\n" + text(2))]
+    rows += [(None, text(1)), (8, text(3) + "\n" + text(1))]
+    found = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == len(rows)
+    got = sorted(((r.doc_id, r.text, r.n_removed) for r in found), key=str)
+    seven = (7, "own line of the document seven", 6)
+    want = [(1, text(1), 0), (4, "", 6), (4, text(2), 0), (4, text(2), 0), (0, text(3), 0), (5, "", 6), seven, (None, text(1), 0), (8, "", 12)]
+    assert got == sorted(want, key=str)
+
+
 def test_patience_aligns_in_order():
     assert lines.patience_blocks([1, 2, 3, 4, 5], [9, 2, 3, 8, 5]) == [(1, 1, 2), (4, 4, 1)]
     assert lines.patience_blocks([1, 2, 3], [3, 1, 2]) == [(0, 1, 2)]
