@@ -21,24 +21,26 @@ from .common import materialize
 #: The forest is fitted on about so many vectors at most, chosen by a hash of the id.
 MAX_FIT = 60_000
 TREES, LEAF = 24, 24
-#: A query opens leaves until they hold this share of the fitting sample, all trees together. Vectors
-#: without any structure need this much for a recall of 0.9; clustered ones need far less.
-SEARCH_SHARE = 0.4
+#: A query opens leaves, of all trees together, until they hold so many different vectors and this share
+#: of all. Vectors without any structure need this much for a recall of 0.95; clustered ones need far less.
+SEARCH_LEAST, SEARCH_SHARE = 3_000, 0.22
 #: Queries and vectors of one block of the reranking, about.
 QUERY_BLOCK, VECTOR_BLOCK = 1_024, 4_096
 
 
 class Tree:
-    """A split plane per inner node; a child below 0 is leaf ``-child - 1``."""
+    """A split plane per inner node; a child below 0 is leaf ``-child - 1``. ``members`` has the fitted
+    points leaf by leaf, ``sizes`` of them in each."""
 
-    def __init__(self, normals: np.ndarray, offsets: np.ndarray, children: np.ndarray, sizes: np.ndarray):
-        self.normals, self.offsets, self.children, self.sizes = normals, offsets, children, sizes
+    def __init__(self, normals: np.ndarray, offsets: np.ndarray, children: np.ndarray, sizes: np.ndarray, members: np.ndarray):
+        self.normals, self.offsets, self.children, self.sizes, self.members = normals, offsets, children, sizes, members
+        self.ends = np.cumsum(sizes)
 
     @classmethod
     def fit(cls, x: np.ndarray, seed: int, leaf: int = LEAF) -> Tree:
         """Split each node midway between two of its own points; a node of equal points is a leaf."""
         rng = np.random.default_rng(seed)
-        normals, offsets, children, sizes = [], [], [], []
+        normals, offsets, children, sizes, members = [], [], [], [], []
 
         def plane(rows: np.ndarray) -> tuple[np.ndarray, float, np.ndarray] | None:
             for _ in range(8):
@@ -65,6 +67,7 @@ class Tree:
             split = plane(rows) if len(rows) > leaf else None
             if split is None:
                 sizes.append(len(rows))
+                members.append(rows)
                 me = -len(sizes)
             else:
                 me = len(normals)
@@ -81,6 +84,7 @@ class Tree:
             np.array(offsets, dtype=np.float32),
             np.array(children, dtype=np.int32).reshape(-1, 2),
             np.array(sizes, dtype=np.int64),
+            np.concatenate(members).astype(np.int32),
         )
 
     def leaves(self, x: np.ndarray) -> np.ndarray:
@@ -94,11 +98,13 @@ class Tree:
 
 
 def open_leaves(forest: list[Tree], query: np.ndarray, search: float) -> list[tuple[int, int]]:
-    """(tree, leaf) pairs of a query, by one priority queue over the branches of all trees."""
+    """(tree, leaf) pairs of a query, by one priority queue over the branches of all trees, until they
+    hold ``search`` different fitted points."""
     margins = [t.normals @ query - t.offsets for t in forest]
     heap = [(0.0, i, 0 if len(t.offsets) else -1) for i, t in enumerate(forest)]
     heapq.heapify(heap)
-    found, held = [], 0
+    seen, held = np.zeros(len(forest[0].members), bool), 0
+    found = []
     while heap and held < search:
         missed, i, node = heapq.heappop(heap)
         tree, margin = forest[i], margins[i]
@@ -107,8 +113,11 @@ def open_leaves(forest: list[Tree], query: np.ndarray, search: float) -> list[tu
             near, far = (1, 0) if m > 0 else (0, 1)
             heapq.heappush(heap, (missed + m * m, i, int(tree.children[node, far])))
             node = int(tree.children[node, near])
-        found.append((i, -node - 1))
-        held += int(tree.sizes[-node - 1])
+        leaf = -node - 1
+        found.append((i, leaf))
+        points = tree.members[tree.ends[leaf] - tree.sizes[leaf] : tree.ends[leaf]]
+        held += len(points) - int(seen[points].sum())
+        seen[points] = True
     return found
 
 
@@ -133,9 +142,10 @@ def fit_forest(rows: DataFrame, trees: int = TREES, max_fit: int = MAX_FIT) -> l
     n = rows.count()
     draw = F.pmod(F.xxhash64("vec_id", F.lit("forest")), F.lit(1 << 20))
     sample = rows.where(draw < int(np.ceil((1 << 20) * min(1.0, max_fit / max(n, 1))))).orderBy("vec_id").select("v")
-    x = np.array([r.v for r in sample.toLocalIterator()], dtype=np.float32)
-    if not len(x):
+    held = sample.toArrow().column("v").combine_chunks()  # max_fit vectors, as Arrow columns
+    if not len(held):
         return []
+    x = _matrix(held).astype(np.float32)
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(x)
 
@@ -143,12 +153,12 @@ def fit_forest(rows: DataFrame, trees: int = TREES, max_fit: int = MAX_FIT) -> l
         for batch in batches:
             for i in batch.column(0).to_pylist():
                 t = Tree.fit(shared.value, seed=1000 + i)
-                parts = [t.normals.tobytes(), t.offsets.tobytes(), t.children.tobytes(), t.sizes.tobytes()]
+                parts = [t.normals.tobytes(), t.offsets.tobytes(), t.children.tobytes(), t.sizes.tobytes(), t.members.tobytes()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([i], pa.int64()), *[pa.array([p], pa.binary()) for p in parts]], ["i", "a", "b", "c", "d"]
+                    [pa.array([i], pa.int64()), *[pa.array([p], pa.binary()) for p in parts]], ["i", "a", "b", "c", "d", "e"]
                 )
 
-    made = spark.range(0, trees, 1, trees).mapInArrow(fit, "i long, a binary, b binary, c binary, d binary")
+    made = spark.range(0, trees, 1, trees).mapInArrow(fit, "i long, a binary, b binary, c binary, d binary, e binary")
     dim = x.shape[1]
     return [
         Tree(
@@ -156,6 +166,7 @@ def fit_forest(rows: DataFrame, trees: int = TREES, max_fit: int = MAX_FIT) -> l
             np.frombuffer(r.b, np.float32),
             np.frombuffer(r.c, np.int32).reshape(-1, 2),
             np.frombuffer(r.d, np.int64),
+            np.frombuffer(r.e, np.int32),
         )
         for r in sorted(made.collect(), key=lambda r: r.i)
     ]
@@ -169,6 +180,7 @@ def nearest_neighbours(
     vec_col: str = "embedding",
     trees: int = TREES,
     search_share: float = SEARCH_SHARE,
+    search_least: int = SEARCH_LEAST,
     max_fit: int = MAX_FIT,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest vectors found for each query row.
@@ -196,7 +208,9 @@ def nearest_neighbours(
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     shared = spark.sparkContext.broadcast(forest)
 
-    search = search_share * float(forest[0].sizes.sum())
+    # in fitted points, each of which stands for so many vectors
+    fitted, n_classes = len(forest[0].members), classes.count()
+    search = fitted * (search_share + search_least / max(n_classes, 1))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,7 +249,7 @@ def nearest_neighbours(
     asked = usable_vectors(queries, id_col, vec_col).distinct().withColumn("q", F.xxhash64("vec_id", "v"))
     asked = materialize(asked, "ann-queries")
     n_query = -(-asked.count() // QUERY_BLOCK) or 1
-    n_vector = -(-classes.count() // VECTOR_BLOCK) or 1
+    n_vector = -(-n_classes // VECTOR_BLOCK) or 1
     block = lambda c, n: F.pmod(F.xxhash64(c, F.lit("block")), F.lit(n))
     dealt = classes.select("class_id", "v").mapInArrow(lambda it: deal(_blocks(it)), "class_id long, v array<double>, leaves array<int>")
     dealt = dealt.withColumn("vb", block("class_id", n_vector)).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_query - 1).cast("long"))))
