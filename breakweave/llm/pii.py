@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -15,11 +17,16 @@ from .common import materialize
 
 #: The base kinds, in the order of ties, then the kinds that only the method finds.
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "ssn", "iban", "name", "address", "birth")
+KINDS = (*BASE_KINDS, "ssn", "iban", "name", "address", "birth", "secret")
 #: Added spans need this probability.
 THRESHOLD = 0.9
-#: Characters before a span in which the context labelers look.
-CONTEXT = 40
+#: Characters before and after a span in which the context labelers look.
+BEFORE, AFTER = 40, 24
+#: EM sees each kind's candidates as so many votes, whatever the size of the corpus, with so many
+#: made-up ones of labelers that are right as often as ``START`` says.
+VOTES, MADE_UP = 1_000.0, 50.0
+#: The most terms of gazetteers, which every task holds.
+MAX_TERMS = 1_000_000
 
 AT_DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -42,29 +49,41 @@ STREET = re.compile(
 )
 NAME = re.compile(r"\b[A-ZÀ-Þ][a-zß-ÿ]{1,20} [A-ZÀ-Þ][a-zß-ÿ]{1,20}\b")
 
-# Fixed word lists: common given names, titles, and words that announce a kind.
-GIVEN = frozenset(
-    """james john robert michael william david richard joseph thomas charles mary patricia jennifer linda elizabeth
+SECRET = re.compile(r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+-]{16,200}={0,2}(?![A-Za-z0-9_/+=-])")
+
+# Fixed word lists: default gazetteers and words that announce a kind, or something else.
+GAZETTEERS = {
+    "name": """james john robert michael william david richard joseph thomas charles mary patricia jennifer linda elizabeth
     barbara susan jessica sarah karen nancy lisa margaret emily anna maria peter paul hans klaus jürgen wolfgang
     ursula monika petra sabine heike andreas stefan jean pierre michel philippe marie nathalie isabelle sophie
-    jose juan carlos luis antonio manuel francisco carmen isabel laura pablo miguel ana""".split()
-)
+    jose juan carlos luis antonio manuel francisco carmen isabel laura pablo miguel ana""".split(),
+    "email": "com org net edu gov de fr es uk io it nl eu info".split(),
+    "phone": "+1 +33 +34 +39 +44 +49".split(),
+    "iban": "AT BE CH DE ES FR GB IE IT LU NL PL PT SE".split(),
+    "secret": "AKIA ASIA ghp_ gho_ github_pat_ sk_live_ sk_test_ pk_live_ xoxb- xoxp- glpat- eyJ AIza".split(),
+}
 TITLES = ("mr", "mrs", "ms", "dr", "prof", "herr", "frau", "señor", "señora", "monsieur", "madame", "sir")
 CUES = {
-    "email": ("mail", "contact", "write to", "reach", "kontakt", "courriel", "correo"),
+    "email": ("mail", "email", "contact", "write", "reach", "kontakt", "courriel", "correo"),
     "ip": ("ip", "host", "server", "address", "from"),
     "card": ("card", "visa", "credit", "karte", "carte", "tarjeta"),
-    "phone": ("phone", "call", "tel", "mobile", "fax", "telefon", "teléfono", "cell"),
-    "ssn": ("ssn", "social security"),
-    "iban": ("iban", "account", "konto", "compte", "cuenta"),
-    "name": ("name", "signed", "regards", "i am", "called", "author", *TITLES),
+    "phone": ("phone", "call", "tel", "mobile", "fax", "telefon", "teléfono", "cell", "number", "ring"),
+    "ssn": ("ssn", "social", "security"),
+    "iban": ("iban", "account", "konto", "compte", "cuenta", "bank"),
+    "name": ("name", "signed", "regards", "called", "author", *TITLES),
     "address": ("address", "live", "lives", "street", "wohnt", "habite", "vive"),
     "birth": ("born", "birth", "dob", "geboren", "né", "née", "nacido", "nacida"),
+    "secret": ("token", "key", "apikey", "secret", "password", "passwd", "pwd", "auth", "bearer", "credential", "credentials"),
 }
-AGAINST = ("version", "isbn", "order", "invoice", "serial", "issue", "page", "figure", "build", "part no")
+AGAINST = frozenset(
+    """version isbn order invoice serial issue page figure build part item article model reference ref ticket commit sha md5
+    checksum digest hash uuid published updated posted date""".split()
+)
 
-#: Votes: 2 for, 1 against, 0 abstains. One labeler each: form, gazetteer, context for, context against.
-LABELERS = ("form", "gazetteer", "context", "against")
+#: Votes: 2 for, 1 against, 0 abstains.
+LABELERS = ("form", "gazetteer", "before", "after", "edges")
+#: How often each is taken to be right, when it votes, before EM has looked: a good form alone says little.
+START = (0.65, 0.8, 0.9, 0.8, 0.55)
 
 
 def luhn(digits: str) -> bool:
@@ -117,10 +136,20 @@ def _wide(text: str) -> Iterator[tuple[str, int, int]]:
         for kind, pattern in (("phone", NATIONAL), ("ssn", SSN), ("iban", IBAN), ("birth", DATE), ("address", STREET)):
             for m in pattern.finditer(text):
                 yield kind, m.start(), m.end()
+        for m in SECRET.finditer(text):
+            span = m.group()
+            if DIGIT.search(span) and any(c.isalpha() for c in span) and "-" not in (span[0], span[-1]):
+                yield "secret", m.start(), m.end()
     for m in NAME.finditer(text):
         yield "name", m.start(), m.end()
 
 
+def entropy(text: str) -> float:
+    """Bits a character."""
+    n = len(text)
+    return -sum(c / n * math.log2(c / n) for c in Counter(text).values())
+
+
 def _form(kind: str, span: str) -> int:
     """Whether the span is well formed beyond its pattern."""
     digits = re.sub("[^0-9]", "", span)
@@ -135,90 +164,147 @@ def _form(kind: str, span: str) -> int:
         return 2 if digits[0] in "3456" else 1
     if kind == "email":
         return 2 if "@" in span else 0
+    if kind == "birth":
+        a, b, c = (int(x) for x in re.split("[./-]", span))
+        year, rest = (a, (b, c)) if a > 31 else (c, (a, b))
+        return 2 if 1900 <= year <= 2025 and min(rest) in range(1, 13) and max(rest) in range(1, 32) else 1
+    if kind == "secret":
+        mixed = bool(digits) and any(c.isalpha() for c in span)
+        return 2 if mixed and len(span) >= 20 and entropy(span) >= 3.0 else 1
     return 0
 
 
-def _gazetteer(kind: str, span: str) -> int:
+def _gazetteer(kind: str, span: str, terms: Mapping[str, frozenset[str]]) -> int:
+    known = terms.get(kind, frozenset())
     if kind == "name":
-        return 2 if span.split()[0].lower() in GIVEN else 1
+        return 2 if span.split()[0].lower() in known else 1
     if kind == "email":
-        top = re.split(r"[.\s\])}]+", span.strip())[-1].lower()
-        return 2 if top in ("com", "org", "net", "edu", "gov", "de", "fr", "es", "uk", "io") else 0
-    if kind == "phone":
-        return 2 if span.startswith(("+1", "+33", "+34", "+44", "+49")) else 0
+        return 2 if re.split(r"[.\s\])}]+", span.strip(" )]}"))[-1].lower() in known else 0
+    if kind == "iban":
+        return 2 if span[:2] in known else 1
+    if kind in ("phone", "secret"):
+        return 2 if any(span[:n] in known for n in range(2, 12)) else 0
     return 0
 
 
-def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int, str]]:
+def _context(kind: str, around: str) -> int:
+    words = {w.lower() for w in re.findall(r"[^\W\d_]+", around)}
+    if not words.isdisjoint(CUES[kind]):
+        return 2
+    return 0 if words.isdisjoint(AGAINST) else 1
+
+
+def _edges(left: str, right: str) -> int:
+    """Whether a span stands alone: quoted, between blanks, or before a mark that ends a clause."""
+    if left.isalnum() or right.isalnum() or left in "/\\_#@&%=" and left.strip() or right in "/\\_#@&%" and right.strip():
+        return 1
+    return 2
+
+
+def candidates(
+    text: str, base: list[tuple[str, int, int]], terms: Mapping[str, frozenset[str]]
+) -> list[tuple[str, int, int, str]]:
     """Base spans and wider ones apart from them, each with its signature: kind, votes and outer form."""
-    out, taken = [], [(a, b) for _, a, b in base]
-    spans = [(k, a, b, True) for k, a, b in base]
+    starts, ends = [], []
+    for _, a, b in base:  # in order of their starts; spans that overlap become one range
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    spans = list(base)
     last = -1
     for k, a, b in sorted(set(_wide(text)), key=lambda s: (s[1], -s[2], KINDS.index(s[0]))):
-        if a >= last and not any(a < y and x < b for x, y in taken):
-            spans.append((k, a, b, False))
+        at = bisect_left(starts, b)  # the ranges before this index start before the span ends
+        if a >= last and not (at and ends[at - 1] > a):
+            spans.append((k, a, b))
             last = b
-    for k, a, b, _ in spans:
-        before = text[max(0, a - CONTEXT) : a].lower()
-        words = set(re.findall(r"[^\W\d_]+", before))
-        cue = any(c in words if " " not in c else c in before for c in CUES[k])
+    out = []
+    for k, a, b in spans:
+        span = text[a:b]
+        left, right = text[a - 1 : a] if a else " ", text[b : b + 1] or " "
         votes = (
-            _form(k, text[a:b]),
-            _gazetteer(k, text[a:b]),
-            2 if cue else 0,
-            1 if any(w in words for w in AGAINST) else 0,
+            _form(k, span),
+            _gazetteer(k, span, terms),
+            _context(k, text[max(0, a - BEFORE) : a]),
+            _context(k, text[b : b + AFTER]),
+            _edges(left, right),
         )
-        left, right = text[a - 1 : a] if a else " ", text[b : b + 1] or " "
         outer = "".join("w" if c.isalnum() else "s" if c.isspace() else "p" for c in (left, right))
         out.append((k, a, b, f"{k}|{''.join(map(str, votes))}|{outer}|{min(3, (b - a) // 8)}"))
     return out
 
 
-def em_reliabilities(patterns: Counter, rounds: int = 50) -> tuple[dict[str, float], np.ndarray, np.ndarray]:
-    """(prior by kind, P(vote | true), P(vote | false)) from counts of (kind, votes).
+class Reliabilities:
+    """What EM estimates. ``prior``: by kind; ``right``: labeler x class x (against, for), of those that vote;
+    ``voting``: kind x labeler x class, how often a labeler votes at all. Class 1 is personal data."""
+
+    def __init__(self, kinds: list[str]):
+        self.kinds = kinds
+        self.prior = np.full(len(kinds), 0.5)
+        self.right = np.array([[[p, 1 - p], [1 - p, p]] for p in START])
+        self.voting = np.full((len(kinds), len(LABELERS), 2), 0.5)
+
+    def posterior(self, kind: np.ndarray, votes: np.ndarray) -> np.ndarray:
+        """P(class 1) of candidates of these kinds (by index) and votes."""
+        total = np.log(self.prior[kind]) - np.log(1 - self.prior[kind])
+        for j in range(len(LABELERS)):
+            total = total + self.weight(j, kind, votes[:, j])
+        return 1 / (1 + np.exp(-np.clip(total, -60, 60)))
 
-    Abstaining carries no evidence. Labelers start as right in four of five votes, and smoothing by
-    a few made-up votes keeps them defined where the corpus has no vote of a labeler.
+    def weight(self, j: int, kind: np.ndarray, vote: np.ndarray) -> np.ndarray:
+        """Log ratio by which a labeler's vote, or its abstention, speaks for class 1."""
+        p = self.voting[kind, j]
+        spoke = np.log(p[:, 1] / p[:, 0])
+        silent = np.log((1 - p[:, 1]) / (1 - p[:, 0]))
+        said = np.log(self.right[j, 1] / self.right[j, 0])
+        # a labeler's presence alone must not outweigh what it says
+        return np.where(vote == 0, np.clip(silent, -1.5, 1.5), np.clip(spoke, -1.5, 1.5) + said[np.maximum(vote, 1) - 1])
+
+
+def em_reliabilities(patterns: Mapping[tuple[str, str], float], rounds: int = 100) -> Reliabilities:
+    """Reliabilities of the labelers from counts of (kind, votes), by expectation-maximisation.
+
+    Each labeler abstains, speaks against or for, with probabilities of their own for both classes:
+    how often it speaks depends on the kind, how often it is right does not. Counts enter as shares
+    of their kind, so the result does not change with the size of the corpus.
     """
     keys = sorted(patterns)
+    found = Reliabilities(sorted({k for k, _ in keys}))
+    kind = np.array([found.kinds.index(k) for k, _ in keys], dtype=int)
+    votes = np.array([[int(v) for v in vote] for _, vote in keys], dtype=int).reshape(len(keys), len(LABELERS))
     n = np.array([patterns[k] for k in keys], dtype=float)
-    votes = np.array([[int(v) for v in k[1]] for k in keys], dtype=int).reshape(len(keys), len(LABELERS))
-    kinds = [k[0] for k in keys]
-    prior = {k: 0.5 for k in KINDS}
-    yes = np.tile([0.2, 0.8], (len(LABELERS), 1))  # columns: against, for
-    no = np.tile([0.8, 0.2], (len(LABELERS), 1))
+    n *= VOTES / np.bincount(kind, n, minlength=len(found.kinds))[kind]
+    start = Reliabilities(found.kinds).right
     for _ in range(rounds):
-        post = _posterior(kinds, votes, prior, yes, no)
+        yes = found.posterior(kind, votes)
+        mass = np.stack([n * (1 - yes), n * yes], axis=1)
+        by_kind = np.stack([np.bincount(kind, mass[:, y], minlength=len(found.kinds)) for y in (0, 1)], axis=1)
+        found.prior = np.clip((by_kind[:, 1] + MADE_UP / 2) / (by_kind.sum(axis=1) + MADE_UP), 0.02, 0.98)
         for j in range(len(LABELERS)):
-            for v in (1, 2):
-                on = votes[:, j] == v
-                yes[j, v - 1] = 4 * (0.8 if v == 2 else 0.2) + (n * post)[on].sum()
-                no[j, v - 1] = 4 * (0.2 if v == 2 else 0.8) + (n * (1 - post))[on].sum()
-        yes, no = yes / yes.sum(axis=1, keepdims=True), no / no.sum(axis=1, keepdims=True)
-        for k in KINDS:
-            on = np.array([x == k for x in kinds], dtype=bool)
-            prior[k] = float((2 + (n * post)[on].sum()) / (4 + n[on].sum()))
-    return prior, yes, no
-
-
-def _posterior(kinds: list[str], votes: np.ndarray, prior: dict[str, float], yes: np.ndarray, no: np.ndarray) -> np.ndarray:
-    p = np.array([prior[k] for k in kinds])
-    a, b = np.log(p), np.log(1 - p)
-    for j in range(votes.shape[1]):
-        for v in (1, 2):
-            a = a + np.where(votes[:, j] == v, np.log(yes[j, v - 1]), 0.0)
-            b = b + np.where(votes[:, j] == v, np.log(no[j, v - 1]), 0.0)
-    return 1 / (1 + np.exp(np.clip(b - a, -60, 60)))
+            said = np.stack([mass[votes[:, j] == v].sum(axis=0) for v in (1, 2)], axis=1) + MADE_UP * start[j]
+            said /= said.sum(axis=1, keepdims=True)
+            if said[1, 1] < said[0, 1]:  # no labeler is worse than chance
+                said[:] = said.mean(axis=0)
+            found.right[j] = said
+            spoke = mass * (votes[:, j] > 0)[:, None]
+            overall = (spoke.sum() + 1) / (mass.sum() + 2)
+            for y in (0, 1):
+                of_kind = np.bincount(kind, spoke[:, y], minlength=len(found.kinds))
+                found.voting[:, j, y] = np.clip((of_kind + MADE_UP * overall) / (by_kind[:, y] + MADE_UP), 0.001, 0.999)
+    return found
 
 
 def _design(signatures: Iterable[str]) -> np.ndarray:
-    """0/1 features of signatures: kind, each vote, characters around, length."""
+    """0/1 features of signatures: kind, each vote, the kind's balance of votes, characters around, length."""
     rows = []
     for s in signatures:
         kind, votes, outer, size = s.split("|")
         row = [1.0, *(float(kind == k) for k in KINDS)]
         for v in votes:
             row += [float(v == "1"), float(v == "2")]
+        balance = sum((v == "2") - (v == "1") for v in votes)
+        row += [balance * float(kind == k) for k in KINDS]
         for c in outer:
             row += [float(c == "w"), float(c == "p")]
         row += [float(size == str(i)) for i in range(4)]
@@ -226,7 +312,7 @@ def _design(signatures: Iterable[str]) -> np.ndarray:
     return np.array(rows)
 
 
-def train_classifier(counts: dict[str, int], rounds: int = 400) -> dict[str, float]:
+def train_classifier(counts: Mapping[str, int], rounds: int = 400) -> dict[str, float]:
     """Probability of each signature: a logistic regression fitted to the posteriors that EM gives.
 
     ``counts`` holds every signature of the corpus; their number is bounded by the vote patterns,
@@ -239,19 +325,20 @@ def train_classifier(counts: dict[str, int], rounds: int = 400) -> dict[str, flo
     for s in names:
         kind, votes, *_ = s.split("|")
         patterns[kind, votes] += counts[s]
-    prior, yes, no = em_reliabilities(patterns)
-    kinds, votes = [s.split("|")[0] for s in names], np.array([[int(v) for v in s.split("|")[1]] for s in names])
-    y = _posterior(kinds, votes, prior, yes, no)
+    found = em_reliabilities(patterns)
+    kind = np.array([found.kinds.index(s.split("|")[0]) for s in names])
+    y = found.posterior(kind, np.array([[int(v) for v in s.split("|")[1]] for s in names]))
     x = _design(names)
-    # rare signatures count too: their weight grows with the logarithm of their count
-    weight = np.log1p(np.array([counts[s] for s in names], dtype=float))
+    # rare signatures count too: their weight is the root of their share of their kind
+    n = np.array([counts[s] for s in names], dtype=float)
+    weight = np.sqrt(n / np.bincount(kind, n)[kind])
     weight /= weight.sum()
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         hessian = x.T @ (x * (weight * p * (1 - p))[:, None]) + 1e-4 * np.eye(x.shape[1])
         step = np.linalg.solve(hessian, x.T @ (weight * (p - y)) + 1e-4 * w)
-        w -= step
+        w -= np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
     return dict(zip(names, (1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))).tolist()))
@@ -264,8 +351,24 @@ def _joined(spans: Iterable[tuple[str, int, int]]) -> str:
 SPAN = "array<struct<kind string, start int, `end` int, signature string>>"
 
 
-def label_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def gazetteer_terms(gazetteers: DataFrame | None = None) -> dict[str, frozenset[str]]:
+    """Terms by kind, from a table of ``kind, term`` or the default lists; at most ``MAX_TERMS``."""
+    if gazetteers is None:
+        return {k: frozenset(v) for k, v in GAZETTEERS.items()}
+    rows = gazetteers.where("kind is not null and term is not null").select("kind", "term").distinct().limit(MAX_TERMS + 1).collect()
+    if len(rows) > MAX_TERMS:
+        raise ValueError(f"more than {MAX_TERMS} terms")
+    found: dict[str, set[str]] = {}
+    for r in rows:
+        found.setdefault(r.kind, set()).add(r.term.lower() if r.kind in ("name", "email") else r.term)
+    return {k: frozenset(v) for k, v in found.items()}
+
+
+def label_spans(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gazetteers: DataFrame | None = None
+) -> DataFrame:
     """``id_col, n_email, n_ip, n_card, n_phone, base, candidates``: one pass over the whole texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(gazetteer_terms(gazetteers))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("signature", pa.string())]))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +379,7 @@ def label_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 base = base_spans(text)
                 counts.append([sum(s[0] == k for s in base) for k in BASE_KINDS])
                 bases.append(_joined(base))
-                found.append([dict(zip(("kind", "start", "end", "signature"), c)) for c in candidates(text, base)])
+                found.append([dict(zip(("kind", "start", "end", "signature"), c)) for c in candidates(text, base, shared.value)])
             columns = [pa.array([c[i] for c in counts], pa.int64()) for i in range(4)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *columns, pa.array(bases, pa.string()), pa.array(found, kind)],
@@ -288,16 +391,24 @@ def label_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(id_col, text_col).mapInArrow(apply, schema)
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def find_pii(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    threshold: float = THRESHOLD,
+    gazetteers: DataFrame | None = None,
+) -> DataFrame:
     """Personal data of each document: counts and spans of the base kinds, and the spans that the
     trained classifier adds.
 
     Returns one row per input row: ``id_col, n_email, n_ip, n_card, n_phone, base`` (base spans as
     ``kind:start:end``, code points, comma-joined), ``spans`` (the base spans and the added ones),
-    ``n_added``. Base spans always stay; an added span never overlaps one. A null text counts as
+    ``n_spans``, ``n_added``. Base spans always stay; an added span never overlaps one.
+    ``gazetteers`` (kind, term) replaces the default lists: lower-case given names, top-level domains,
+    calling codes, country codes of accounts, prefixes of secrets. A null text counts as
     empty; null ids and repeated rows keep their rows; an empty table gives an empty result.
     """
-    labelled = materialize(label_spans(docs, id_col, text_col), "pii-candidates")
+    labelled = materialize(label_spans(docs, id_col, text_col, gazetteers), "pii-candidates")
     seen = labelled.select(F.explode("candidates.signature").alias("s")).groupBy("s").count()
     probability = train_classifier({r["s"]: r["count"] for r in seen.collect()})  # a bounded set of signatures
     accepted = frozenset(s for s, p in probability.items() if p >= threshold)
@@ -305,7 +416,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = {n: i for i, n in enumerate(batch.schema.names)}
-            spans, added = [], []
+            spans, added, every = [], [], []
             for base, found in zip(batch.column(at["base"]).to_pylist(), batch.column(at["candidates"]).to_pylist()):
                 kept = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in base.split(",") if s)]
                 have = set(kept)
@@ -316,12 +427,13 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
                 ]
                 spans.append(_joined(sorted(kept + more, key=lambda s: (s[1], KINDS.index(s[0])))))
                 added.append(len(more))
+                every.append(len(kept) + len(more))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for n, i in at.items() if n != "candidates"), pa.array(spans), pa.array(added, pa.int64())],
-                [*(n for n in at if n != "candidates"), "spans", "n_added"],
+                [*(batch.column(i) for n, i in at.items() if n != "candidates"), pa.array(spans, pa.string()), pa.array(every, pa.int64()), pa.array(added, pa.int64())],
+                [*(n for n in at if n != "candidates"), "spans", "n_spans", "n_added"],
             )
 
     columns = [f"`{n}` {t}" for n, t in labelled.dtypes if n != "candidates"]
-    return labelled.mapInArrow(apply, ", ".join([*columns, "spans string", "n_added long"]))
+    return labelled.mapInArrow(apply, ", ".join([*columns, "spans string", "n_spans long", "n_added long"]))
 
 

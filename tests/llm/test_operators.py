@@ -2,16 +2,18 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from breakweave.llm import ann, decontaminate, html_text, langid, lines, mixing, pii, quality, tokens
+from breakweave.llm import ann, decontaminate, html_text, langid, lines, mixing, pii, quality, queries, tokens
 from breakweave.llm.mph import MinimalPerfectHash, fingerprint
 
 ODD = "doc_id long, text string, lang string, source string, copy int, score string, spans int, rate string, n_lines string, whole int"
@@ -67,6 +69,91 @@ def test_pii_adds_supported_spans_and_leaves_clean_text_alone(spark):
     assert all(found[200 + i].spans == "" for i in range(40))
 
 
+def planted(r, n):
+    """(text, spans to find beside the base ones) with forms that the base patterns lack, and decoys of the same forms."""
+    word = lambda k: " ".join(r.choices("the river ran by old stones and green hills under a pale sky".split(), k=k))
+    d = lambda k: "".join(r.choices("0123456789", k=k))
+    hexes = lambda: "".join(r.choices("0123456789abcdef", k=40))
+    phone = lambda: f"({r.randrange(2, 10)}{d(2)}) {r.randrange(2, 10)}{d(2)}-{d(4)}"
+    made = [
+        ("phone", "call me on my mobile ", phone, ""), ("phone", "phone: ", phone, ""), (None, "order ", phone, " of the invoice"), (None, "part ", phone, ""),
+        ("secret", 'token = "', hexes, '"'), ("secret", "the api key is ", hexes, ""), (None, "commit ", hexes, ""), (None, "with the checksum ", hexes, ""),
+        ("email", "write to ", lambda: f"user{d(3)} [at] mail{d(1)} [dot] com", ""), ("ssn", "social security ", lambda: f"{r.randrange(100, 600)}-{r.randrange(10, 99)}-{r.randrange(1000, 9999)}", ""),
+        (None, "version ", lambda: f"000-{d(2)}-{d(4)}", ""), ("birth", "born on ", lambda: f"{r.randrange(1, 13):02d}.{r.randrange(1, 13):02d}.19{r.randrange(30, 99)}", ""),
+    ]
+    out = []
+    for i in range(n):
+        kind, before, form, after = made[i % len(made)]
+        span, left = form(), f"{word(12)} {before}"
+        out.append((f"{left}{span}{after} {word(9)}", {(kind, len(left), len(left) + len(span))} if kind else set()))
+    return out
+
+
+def test_added_spans_are_found_and_decoys_left(spark):
+    rows = planted(random.Random(12), 600)
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    right = added = wanted = 0
+    for r in pii.find_pii(df).collect():
+        got = {(k, int(a), int(b)) for k, a, b in (s.split(":") for s in r.spans.split(",") if s)}
+        want = rows[r.doc_id][1]
+        assert r.n_spans == len(got) and r.n_added == len(got) - len([s for s in r.base.split(",") if s])
+        right, added, wanted = right + len(got & want), added + len(got), wanted + len(want)
+    assert right >= 0.9 * wanted and right >= 0.95 * added
+
+
+def test_reliabilities_do_not_change_with_the_size_of_the_corpus():
+    terms, counts = pii.gazetteer_terms(), Counter()
+    for text, _ in planted(random.Random(13), 1200):
+        for *_, s in pii.candidates(text, pii.base_spans(text), terms):
+            counts[s] += 1
+    one, ten = (pii.train_classifier({s: k * n for s, n in counts.items()}) for k in (1, 1000))
+    assert max(abs(one[s] - ten[s]) for s in one) < 1e-9
+    patterns = Counter()
+    for s, n in counts.items():
+        patterns[tuple(s.split("|")[:2])] += n
+    found = pii.em_reliabilities({k: 10**6 * n for k, n in patterns.items()})
+    kind = np.array([found.kinds.index("phone")])
+    before = pii.LABELERS.index("before")
+    assert found.weight(before, kind, np.array([2]))[0] > 1 > -1 > found.weight(before, kind, np.array([1]))[0]
+
+
+def test_gazetteers_come_from_a_table(spark):
+    df = spark.createDataFrame([(i, f"signed by Zork Miller{'abcdefghij'[i % 10]} at noon") for i in range(50)], "doc_id long, text string")
+    table = spark.createDataFrame([("name", "Zork"), ("name", None), (None, "x")], "kind string, term string")
+    terms = pii.gazetteer_terms(table)
+    assert terms == {"name": frozenset(["zork"])}
+    known, unknown = (pii.candidates("signed by Zork Miller at noon", [], t)[0][3].split("|")[1] for t in (terms, pii.gazetteer_terms()))
+    assert known[1] == "2" and unknown[1] == "1" and pii.find_pii(df, gazetteers=table).count() == 50
+
+
+def test_overlaps_are_found_in_a_long_text_of_many_spans():
+    import time
+
+    text = "+1 (555) 234-5678 or 4111111111111111 or 1.2.3.4 or (555) 234-5678 " * 8000
+    began = time.process_time()
+    base = pii.base_spans(text)
+    found = pii.candidates(text, base, pii.gazetteer_terms())
+    assert time.process_time() - began < 20 and len(base) == 24_000 and len(found) == 32_000
+    ranges = sorted((a, b) for _, a, b, _ in found)
+    assert all(b <= c for (_, b), (c, _) in zip(ranges, ranges[1:]))
+
+
+def test_query_digest_matches_the_plain_patterns(spark):
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data here")
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(path).select("doc_id", "text").collect()}
+    found = queries.op1_personal_data(spark, "/root/testdata/sf0.01").collect()
+    assert len(found) == len(texts)
+    for r in found:
+        base = base_brute(texts[r.doc_id])
+        said = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for k, *_ in base) for x in pii.BASE_KINDS]
+        assert {f"{k}:{a}:{b}" for k, a, b in base} <= set(r.spans.split(",")) | {""}
+    assert sum(r.n_added for r in found) > 0
+
+
 def test_pii_odd_rows(spark):
     df = odd(spark)
     found = pii.find_pii(df).collect()
@@ -172,9 +259,65 @@ def test_main_text():
     page = """<html><head><title>t</title><script>var a="</p>";</script></head><body><header>H</header><nav><ul><li>m</ul></nav>
     <div class="cookie-notice">C</div><article><header><h1>T &amp; U</h1></header><p>one <b>two</b><br>three<p>four <table><tr><td>a<td>b</table>
     <form><input><button>go</button></form><div class="comments"><p>me too</div></article><aside>S</aside><footer>&copy;</footer>"""
-    assert html_text.main_text(html_text.parse(page), set()) == "T & U\none two three\nfour\na\nb"
+    assert html_text.page_text(page) == "T & U\none two three\nfour\na\nb"
     for broken in ("", "<", "<p", "<p class='x", "a < b > c", "<a href=\"" * 2000, "<!-- x", "<p>" * 3000 + "x"):
-        html_text.main_text(html_text.parse(broken), set())
+        html_text.page_text(broken)
+
+
+def test_furniture_never_takes_the_article_along():
+    body = "<h1>T</h1><p>one</p><p class='related-work'>two</p><section id=search-methods><p>three</p></section><div class='commentary'>four</div>"
+    said = "T\none\ntwo\nthree\nfour"
+    for before, after in [
+        ('<div class="content has-sidebar">', "</div>"), ('<form id="aspnetForm">', "</form>"), ('<div id="sidebar">', "</div>"), ("<aside>", "</aside>"),
+        ('<body class="no-sidebar"><div class="menu">', "</div>"), ("<main><form>", "</form></main>"), ('<div class="modal">', ""), ("<title>x</title><nav>", ""),
+    ]:
+        page = f"<html><head><meta charset=utf-8>{before}<div class=ad>A</div><nav>N</nav><article>{body}</article><p>outside</p>{after}"
+        assert html_text.page_text(page) == said + "\noutside" * ("<main>" in before), before
+    comments = '<section id="comments"><article class="comment"><p>me</p></article><article><p>too</p></article></section>'
+    assert html_text.page_text(f"<article>{body}</article>{comments}") == said
+    assert html_text.page_text(f"<body>{body}{comments.replace('article', 'div')}") == said
+    assert html_text.page_text("<form><h1>T</h1><p>of no article</p></form><form><p>name <input></form>") == "T\nof no article"
+    for name in ("cookie-notice", "adSlot", "comments-area", "sidebar left", "breadcrumbTrail", "commentlist", "newsletter-box", "site-footer", "popup"):
+        assert html_text.page_text(f"<article><p>x</p><div class='y {name}'>gone <p>too</p></div>z</article>") == "x\nz", name
+    for name in ("admin", "loading", "has-sidebar", "no-comments", "additive", "notice-period", "social-history", "address", "searching"):
+        assert html_text.page_text(f"<article><p>x</p><div class='{name}'>stays</div></article>") == "x\nstays", name
+    assert html_text.page_text("<article><pre>a <span class='c comment'># b</span></pre>say <span class='ad'>x</span> it</article>") == "a # b\nsay it"
+    assert html_text.page_text('<p data-class="ad" title="class=ad id=nav">stays</p><header class="x">H</header><div class="page-header">H</div>') == "stays"
+
+
+def test_parsing_is_linear():
+    import time
+
+    def took(n):
+        began = time.process_time()
+        html_text.page_text("<x><article>" + "<div>" * n + "word" + "</x>" * n + "</y>" * n + "<p>" * n)
+        return time.process_time() - began
+
+    took(1000)
+    assert took(40_000) < 40 * max(took(4_000), 0.02)
+
+
+def test_subtree_counts_match_a_plain_count(spark):
+    r = random.Random(11)
+    boxes = [f"<div><p>box {k}</p><ul><li>of {k}</li><li>more</li></ul></div>" for k in range(6)]
+    rows, want = [], {}
+    for i in range(150):
+        mine = r.sample(boxes, 2)
+        text = f"<article><h1>title {i}</h1><p>own words of {i}</p></article>"
+        rows.append((i, f"http://h{i % 3}.example/{i}", f"<html><body>{mine[0]}{text}{mine[1]}</body></html>"))
+        want[i] = f"title {i}\nown words of {i}"
+    rows += [(1000 + i, *rows[i][1:]) for i in range(30)]  # repeated pages count once
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages = {(u.split("/")[2], h) for _, u, h in rows}
+    count, size = {}, {}
+    for host, page in pages:
+        size[host] = size.get(host, 0) + 1
+        for h in {n[0] for n in html_text.parse(page).nodes}:
+            count[host, h] = count.get((host, h), 0) + 1
+    plain = {k for k, n in count.items() if n >= 5 and (n >= 0.25 * size[k[0]] or n >= 20 and k[1] % 2 == 0)}
+    found = html_text.template_subtrees(html_text.parsed_pages(df)).collect()
+    assert plain and {(x.host, x.subtree) for x in found} == plain and len(found) == len(plain)
+    assert all(x.text == want[x.page_id % 1000] and x.n_chars == len(x.text) for x in html_text.extract_text(df).collect())
 
 
 def test_templates_of_a_host_go_and_articles_stay(spark):
@@ -360,5 +503,29 @@ def test_forest_search(spark):
     assert ann.nearest_neighbours(few, few.where("vec_id = 0")).count() == 3
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_recall_on_the_test_tables(spark, sf):
+    path = f"/root/testdata/{sf}/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data here")
+    df = spark.read.parquet(path).where("embedding is not null")
+    ids, x = zip(*[(r.vec_id, r.embedding) for r in df.collect()])
+    ids, x = np.array(ids), np.array(x, dtype=float)
+    found = {}
+    for least in (ann.SEARCH_LEAST, 300):  # the smaller one makes these small tables a search
+        rows = ann.nearest_neighbours(df, df.where("vec_id % 100 = 0"), search_least=least).collect()
+        for r in rows:
+            found.setdefault((least, r.query_id), []).append(r)
+    hit = {}
+    for (least, q), rows in found.items():
+        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(axis=1))
+        order = [i for i in np.lexsort((ids, d)) if ids[i] != q][:10]
+        rows.sort(key=lambda r: r.rank)
+        assert [r.rank for r in rows] == list(range(1, 11))
+        assert all(abs(r.score - d[ids == r.vec_id][0]) < 1e-12 for r in rows)
+        hit.setdefault(least, []).append(len({r.vec_id for r in rows} & set(ids[order].tolist())) / 10)
+    assert np.mean(hit[ann.SEARCH_LEAST]) >= 0.9 and np.mean(hit[300]) >= 0.6
+
+
 def test_sha_of_no_spans():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442") and math.isfinite(quality.sigmoid(1e9))
