@@ -195,7 +195,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     plans = materialize(deletions(docs, id_col, text_col, rare), "dedup-plans")
     plans = plans.withColumnsRenamed({"id": "__id", "t": "__t", "whole": "__whole", "lines": "__lines"})
     same = (F.col(id_col).cast("long") == F.col("__id")) & (F.xxhash64(text_col) == F.col("__t"))
-    joined = docs.join(plans, same, "left").select(*docs.columns, "__whole", "__lines")
+    # the same plan at every size: beyond a small corpus the plans are too many to broadcast
+    joined = docs.join(plans.hint("merge"), same, "left").select(*docs.columns, "__whole", "__lines")
     at_text = docs.columns.index(text_col)
     added = [("n_lines", LongType()), ("n_removed", LongType()), ("removed", StringType())]
     schema = StructType([*docs.schema.fields, *(StructField(n, t) for n, t in added)])
