@@ -14,33 +14,38 @@ from .ordered import dense_ids
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``node, component`` for the ends of all edges ``(a, b)``: the smallest node of each component.
 
-    Each round every node takes the smallest label among its neighbours, hands it to the node that
-    its old label names, and then follows its label once more; labels settle in a number of rounds
-    that grows with the logarithm of the longest path. A round is written to the shared folder. Only
-    joins and minima are used, so a node with very many edges needs no list of them.
+    The graph is contracted. Nodes have an order by hash; each round every node moves to its first
+    neighbour's first neighbour, if these come before it, and edges follow their ends. The image of a
+    connected graph stays connected, and a node that is not first among its neighbours moves, so few
+    nodes are left after some rounds, whatever the ids along a path. Each round is written to the
+    shared folder. Only joins and minima are used, so a node with very many edges needs no list of them.
     """
-    both = edges.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    both = materialize(both.union(both.select("v", "u")).distinct(), "cc-edges")
-    first = both.groupBy("u").agg(F.min("v").alias("m"))
-    labels = materialize(first.select(F.col("u").alias("node"), F.least("u", "m").alias("component")), "cc")
+    kind = edges.select("a").union(edges.select("b")).schema["a"].dataType
+    rank = lambda c: F.struct(F.xxhash64(c), F.col(c))
+    in_order = lambda df: df.where("a <> b").select(
+        F.when(rank("a") < rank("b"), F.col("a")).otherwise(F.col("b")).alias("a"),
+        F.when(rank("a") < rank("b"), F.col("b")).otherwise(F.col("a")).alias("b"),
+    )
+    left = materialize(in_order(edges.select(F.col("a").cast(kind), F.col("b").cast(kind))).distinct(), "cc-edges")
+    labels = left.select(F.col("a").alias("node")).union(left.select("b")).distinct().withColumn("component", F.col("node"))
     for _ in range(max_rounds):
-        near = both.join(labels.select(F.col("node").alias("v"), F.col("component").alias("l")), "v")
-        near = near.groupBy(F.col("u").alias("node")).agg(F.min("l").alias("m"))
-        found = labels.join(near, "node").select("node", "component", F.least("component", "m").alias("m"))
-        found = materialize(found, "cc-near")
-        hooked = found.groupBy(F.col("component").alias("node")).agg(F.min("m").alias("h"))
-        stepped = found.join(hooked, "node", "left").select(
-            "node", F.col("component").alias("was"), F.least("m", F.coalesce("h", "m")).alias("l")
+        if not left.limit(1).count():
+            break
+        up = left.groupBy("b").agg(F.min(F.struct(F.xxhash64("a").alias("h"), F.col("a").alias("n"))).alias("up")).select("b", F.col("up.n").alias("up"))
+        twice = up.join(up.select(F.col("b").alias("up"), F.col("up").alias("top")), "up", "left")
+        moved = materialize(twice.select(F.col("b").alias("was"), F.coalesce("top", "up").alias("now")), "cc-moved")
+        labels = labels.join(moved.withColumnRenamed("was", "component"), "component", "left").select(
+            "node", F.coalesce("now", "component").alias("component")
         )
-        stepped = materialize(stepped, "cc-step")
-        jump = stepped.select(F.col("node").alias("l"), F.col("l").alias("j"))
-        new = stepped.join(jump, "l", "left").select("node", "was", F.least("l", F.coalesce("j", "l")).alias("component"))
-        new = materialize(new, "cc")
-        moved = new.where("component <> was").limit(1).count()
-        labels = new.select("node", "component")
-        if not moved:
-            return labels
-    raise RuntimeError("components did not settle")
+        of_a = moved.select(F.col("was").alias("a"), F.col("now").alias("to_a"))
+        of_b = moved.select(F.col("was").alias("b"), F.col("now").alias("to_b"))
+        ends = left.join(of_a, "a", "left").join(of_b, "b").select(F.coalesce("to_a", "a").alias("a"), F.col("to_b").alias("b"))
+        left = materialize(in_order(ends).distinct(), "cc-edges")
+    else:
+        raise RuntimeError("components did not settle")
+    labels = materialize(labels, "cc-labels")
+    low = labels.groupBy("component").agg(F.min("node").alias("low"))
+    return materialize(labels.join(low, "component").select("node", F.col("low").alias("component")), "cc")
 
 
 def finalize_clusters(rows: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
