@@ -34,3 +34,48 @@ def test_stages_take_odd_and_empty_tables(spark):
         assert stage(spark, odd, SF).count() >= 0, name
     kept = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, odd, SF).collect() if r.doc_id is not None)
     assert kept == [1, 2, 3, 5]
+
+
+def test_other_texts_of_an_id_survive_and_copies_go(spark):
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    text = lambda k: " ".join(f"word{(7 * k + j) % 50} of {k * j}" for j in range(40))
+    a, b = text(1), text(2)
+    near = a.replace("word7 of 0", "other of 0", 1)
+    rows = [(1, a), (4, a), (4, b), (None, a), (None, text(3)), (9, near), (10, text(3)), (11, text(4)), (11, text(4)), (None, text(5)), (None, text(5))]
+    rows += [(12, None), (12, None), (None, " "), (13, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in rows], schema)
+    for df in (docs, docs.repartition(3), docs.union(docs.where("doc_id = 77"))):
+        kept = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, df, SF).collect()), key=str)
+        want = [(1, a), (4, b), (10, text(3)), (11, text(4)), (None, text(5)), (12, None), (12, None), (None, " "), (13, "")]
+        assert kept == sorted(want, key=str)
+
+
+def test_near_duplicates_match_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r.doc_id, (r.text or "").lower().split()) for r in docs.collect()]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(sets)
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            if sets[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect())
+    assert kept == [i for i in ids if find(i) == i] and len(kept) < len(ids)
+
+
+def test_leaks_go_with_or_without_an_id(spark):
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").collect()]
+    clean = "a plain text that nobody has seen in any benchmark of any kind at all"
+    rows = [(None, f"before {items[0]} after"), (1, clean), (1, f"x {items[1]}"), (2, f"x {items[2]} y"), (2, f"x {items[2]} y"), (None, clean), (3, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], schema)
+    kept = sorted(((r.doc_id, r.text) for r in corpus_pipeline.decontamination(spark, docs, SF).collect()), key=str)
+    assert kept == sorted([(1, clean), (None, clean), (3, None), (4, "")], key=str)
