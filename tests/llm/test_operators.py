@@ -465,11 +465,54 @@ def test_copies_of_a_large_benchmark_are_found_without_the_cosine(spark):
     assert all(x.share >= 0.5 for x in found)
 
 
+def test_long_items_are_searched_by_windows(spark):
+    r = random.Random(9)
+    vocabulary = [f"{a}{b}{e}" for a in "mo ta ri ke su la ne vo".split() for b in "nda sker plin troo".split() for e in "mik gar fess".split()]
+    text = lambda n: " ".join(r.choices(vocabulary, k=n))
+    long, other = text(3000), text(1200)
+    w = long.split()
+    rows = [(1, f"{text(200)} {long} {text(200)}"), (2, f"{text(300)} {' '.join(w[900:2100])}"), (3, text(3000)), (4, f"{other} {long}"), (5, " ".join(w[100:200]))]
+    docs = spark.createDataFrame([*rows, (6, text(70_000))], "doc_id long, text string")
+    bench = spark.createDataFrame([(10, long), (11, other), (10, long)], "item_id long, text string")
+    found = sorted((x.doc_id, x.item_id) for x in decontaminate.find_leaks(docs, bench).collect())
+    assert found == [(1, 10), (1, 10), (2, 10), (2, 10), (4, 10), (4, 10), (4, 11)]
+    parts = decontaminate.windows(10, long)
+    assert sum(i.length for _, i in parts) == 3000 and max(i.length for _, i in parts) <= decontaminate.WINDOW
+    assert [i.answer is None for _, i in parts] == [True] * (len(parts) - 1) + [False]
+
+
+def test_leaks_match_brute_force(spark):
+    """Every pair of document and item by the plain subsequence, at every place of the document."""
+    r = random.Random(10)
+    vocabulary = [f"{a}{b}{e}" for a in "mo ta ri ke su la ne vo".split() for b in "nda sker plin troo gul".split() for e in "mik gar fess".split()]
+    text = lambda n: " ".join(r.choices(vocabulary, k=n))
+    bench = [(i, f"{text(r.randrange(10, 40))}? {text(4)}") for i in range(60)]
+    rows = [(i, text(r.randrange(20, 200))) for i in range(40)]
+    for i, item in bench:  # from copies to paraphrases that keep half of the words, the answer whole
+        w = item.split()
+        keep = 0.5 + 0.1 * (i % 6)
+        changed = [x if k >= len(w) - 4 or r.random() < keep else "other" + "abcdefgh"[k % 8] for k, x in enumerate(w)]
+        rows.append((1000 + i, f"{text(60)} {' '.join(changed)} {text(60)}"))
+    want = set()
+    hashed = {i: decontaminate.words(t).tolist() for i, t in rows}
+    for number, (i, t) in enumerate(bench):
+        ((_, item),) = decontaminate.windows(i, t, number)
+        for d, h in hashed.items():
+            starts = range(0, max(1, len(h) - item.length), decontaminate.RUN)
+            regions = [h[max(0, s - item.length) : s + 2 * decontaminate.RUN + item.length] for s in starts]
+            if any(decontaminate.is_leak(*decontaminate.check(item, x)) for x in regions):
+                want.add((d, i))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontaminate.find_leaks(docs, spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    planted_ = {x for x in want if x[0] >= 1000}
+    assert got <= want and len(planted_) >= 40 and len(got & planted_) >= 0.95 * len(planted_) and len(got) >= 0.9 * len(want)
+
+
 def test_common_subsequence_matches_dynamic_programming():
     r = random.Random(6)
     for _ in range(200):
         a, b = ([r.choice("abcde") for _ in range(r.randrange(1, 30))] for _ in range(2))
-        item = decontaminate.prepare(1, " ".join(a))
+        item = decontaminate.prepare(1, decontaminate.words(" ".join(a)), None)
         d = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
         for i, x in enumerate(a):
             for j, y in enumerate(b):
