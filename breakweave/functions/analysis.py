@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .sequences import chars, common_prefix_length
@@ -137,7 +137,7 @@ def orient_by_gene(df: DataFrame, targets: DataFrame) -> DataFrame:
     Input: ``sv_id, name, side1, pos1, side2, pos2``; targets: ``name, start0, end1, strand``. On the
     minus strand offsets change sign, sides change, and the ends change places.
     """
-    t = F.broadcast(targets.select("name", ((F.col("start0") + F.col("end1")) / 2).alias("centre"), (F.col("strand") == "-").alias("minus")))
+    t = targets.select("name", ((F.col("start0") + F.col("end1")) / 2).alias("centre"), (F.col("strand") == "-").alias("minus"))
     x = df.join(t, "name")
     minus = F.col("minus")
     off = lambda c: F.when(minus, F.col("centre") - F.col(c)).otherwise(F.col(c) - F.col("centre"))
@@ -170,12 +170,6 @@ def signed_template_position(kind: Column, breakpoint_n: Column, distance: Colum
     return sign * distance, F.when(is_rc == 1, -1).otherwise(1)
 
 
-def distinct_rank(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Dense rank of a column over the whole table, by ranking its distinct values only."""
-    ids = df.select(column).distinct().withColumn(out, F.row_number().over(Window.orderBy(column)))
-    return df.join(ids, column)
-
-
 def base_rows(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
     """``keys, base_pos, base``: one row a base, from 1."""
     return df.select(*keys, F.posexplode(chars(F.col(seq))).alias("p", "base")).select(*keys, (F.col("p") + 1).alias("base_pos"), "base")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.analysis import base_rows, binomial_tail, poisson_success
 from ..functions.sequences import best_overlap
-from .joins import complete_grid, interval_join
-from .ordered import step_bins
+from .joins import complete_grid, interval_join, small
+from .ordered import depth_integral, step_bins
 
 
 def share(column: str, *keys: str) -> Column:
@@ -110,34 +110,37 @@ def weighted_bin_coverage(steps: DataFrame, size: int) -> DataFrame:
     return x.select("chrom", "bin_n", (F.col("s") / F.col("o")).alias("coverage"))
 
 
-def flank_coverage(calls: DataFrame, steps: DataFrame, flank: int, longest: int) -> DataFrame:
+def flank_coverage(calls: DataFrame, spans: DataFrame, flank: int, longest: int) -> DataFrame:
     """``sv_id, span_type, coverage``: mean depth of the outer and inner flanks of both ends and of the event.
 
     Translocations have no inner spans and no event; events beyond ``longest`` are skipped. A span
-    without coverage is 0.
+    without coverage is 0. ``spans`` (chrom, start0, end1) make the depth; its integral is looked up at
+    the two ends of each flank, so no stretch of a flank is listed.
     """
     same = (F.col("chrom1") == F.col("chrom2")) & (F.col("jxn_type") != "T") & (F.abs(F.col("pos2") - F.col("pos1")) <= longest)
     lo, hi = F.least("pos1", "pos2"), F.greatest("pos1", "pos2")
     out1, out2 = F.when(same, lo).otherwise(F.col("pos1")), F.when(same, hi).otherwise(F.col("pos2"))
     span = lambda k, c, a, b, ok: F.when(ok, F.struct(F.lit(k).alias("span_type"), c.alias("chrom"), F.greatest(F.lit(0), a).alias("start0"), b.alias("end1")))
     yes = F.lit(True)
-    spans = F.array(
+    flanks = F.array(
         span("outer1", F.col("chrom1"), out1 - flank, out1, yes), span("outer2", F.col("chrom2"), out2, out2 + flank, yes),
         span("inner1", F.col("chrom1"), lo, F.least(lo + flank, hi), same & (hi > lo)), span("inner2", F.col("chrom1"), F.greatest(hi - flank, lo), hi, same & (hi > lo)), span("event", F.col("chrom1"), lo, hi, same & (hi > lo)),
     )
-    x = calls.select("sv_id", F.explode(F.filter(spans, lambda s: s.isNotNull())).alias("s")).select("sv_id", "s.*").where("end1 > start0")
-    hit = interval_join(x, steps)
-    o = F.least("end1", "end1_r") - F.greatest("start0", "start0_r")
-    sums = hit.groupBy("sv_id", "span_type").agg(F.sum(F.col("depth") * o).alias("s"))
-    return x.join(sums, ["sv_id", "span_type"], "left").select("sv_id", "span_type", (F.coalesce("s", F.lit(0)) / (F.col("end1") - F.col("start0"))).alias("coverage"))
+    x = calls.select("sv_id", F.explode(F.filter(flanks, lambda s: s.isNotNull())).alias("s")).select("sv_id", "s.*").where("end1 > start0")
+    ends = x.select("chrom", F.explode(F.array("start0", "end1")).alias("pos"))
+    area = depth_integral(ends, spans)
+    at = lambda c: area.select("chrom", F.col("pos").alias(c), F.col("area").alias(f"area_{c}"))
+    x = x.join(at("start0"), ["chrom", "start0"]).join(at("end1"), ["chrom", "end1"])
+    return x.select("sv_id", "span_type", ((F.col("area_end1") - F.col("area_start0")) / (F.col("end1") - F.col("start0"))).alias("coverage"))
 
 
-def characterize_sv(df: DataFrame, sv: str, order: list[str]) -> DataFrame:
+def characterize_sv(df: DataFrame, sv: str, order: list[str], more: list[Column] = [], of_reference: list[str] = []) -> DataFrame:
     """One row a call: evidence by class, strands, samples, MAPQ lists, and the reference molecule's junction.
 
     The reference molecule is the greatest by ``order``; list columns are joined in molecule order.
+    ``more`` adds aggregates to the same pass, ``of_reference`` columns of the reference molecule.
     """
-    ref = F.max_by(F.struct("mol_id", "jxn_type", "chrom1", "side1", "pos1", "chrom2", "side2", "pos2"), F.struct(*order))
+    ref = F.max_by(F.struct("mol_id", "jxn_type", "chrom1", "side1", "pos1", "chrom2", "side2", "pos2", *of_reference), F.struct(*order))
     listed = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("mol_id", c))), lambda s: s[c].cast("string")), ",")
     x = df.groupBy(sv).agg(
         F.count("*").alias("n_total"),
@@ -149,6 +152,7 @@ def characterize_sv(df: DataFrame, sv: str, order: list[str]) -> DataFrame:
         F.count_distinct("sample").alias("n_samples"),
         listed("mapq1").alias("mapqs1"),
         listed("mapq2").alias("mapqs2"),
+        *more,
         ref.alias("ref"),
     )
     size = F.when(F.col("jxn_type") == "T", 0).otherwise(F.abs(F.col("pos2") - F.col("pos1")))
@@ -468,7 +472,7 @@ def cell_windows(df: DataFrame, finest: int) -> DataFrame:
 
 def cnv_flags(df: DataFrame, ranges: DataFrame) -> DataFrame:
     """``is_aneuploid`` (spans its whole chromosome) and ``is_telomeric`` (touches one end). Ranges: ``chrom, chrom_first, chrom_last``."""
-    x = df.join(F.broadcast(ranges), "chrom")
+    x = df.join(small(ranges), "chrom")
     at_start, at_end = F.col("first") == F.col("chrom_first"), F.col("last") == F.col("chrom_last")
     return x.withColumns({"is_aneuploid": at_start & at_end, "is_telomeric": (at_start | at_end) & ~(at_start & at_end)}).drop("chrom_first", "chrom_last")
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.scratch import materialize
+from ..plans.scratch import materialize, scratch_tables
 from .joins import distance_join
 from .ordered import dense_ids
 
@@ -20,6 +21,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     nodes are left after some rounds, whatever the ids along a path. Each round is written to the
     shared folder. Only joins and minima are used, so a node with very many edges needs no list of them.
     """
+    with scratch_tables(edges.sparkSession):
+        return materialize(_contracted(edges, max_rounds), "components", result=True)
+
+
+def _contracted(edges: DataFrame, max_rounds: int) -> DataFrame:
     kind = edges.select("a").union(edges.select("b")).schema["a"].dataType
     rank = lambda c: F.struct(F.xxhash64(c), F.col(c))
     in_order = lambda df: df.where("a <> b").select(
@@ -45,7 +51,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     labels = materialize(labels, "cc-labels")
     low = labels.groupBy("component").agg(F.min("node").alias("low"))
-    return materialize(labels.join(low, "component").select("node", F.col("low").alias("component")), "cc")
+    return labels.join(low, "component").select("node", F.col("low").alias("component"))
 
 
 def finalize_clusters(rows: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
@@ -60,53 +66,67 @@ def finalize_clusters(rows: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
 
 def purge_duplicates(df: DataFrame, id_col: str, keys: list[str], most: float, order: list, counts: list[str]) -> DataFrame:
     """One row of each set of colliding molecules (outer ends within ``most`` in the same keys, chained):
-    the first by ``order``, with the counts of all summed and ``n_collapsed``."""
-    pairs = distance_join(df, id_col, keys, "out_pos1", "out_pos2", most).select(F.col("id1").alias("a"), F.col("id2").alias("b"))
-    labels = connected_components(pairs)
-    x = df.join(labels.withColumnRenamed("node", id_col), id_col, "left").withColumn("component", F.coalesce("component", F.col(id_col)))
-    w = Window.partitionBy("component")
-    x = x.withColumns({**{c: F.sum(c).over(w) for c in counts}, "n_collapsed": F.count("*").over(w), "__k": F.row_number().over(w.orderBy(*order, id_col))})
-    return x.where("__k = 1").drop("__k", "component")
+    the first by ``order``, with the counts of all summed and ``n_collapsed``.
+
+    Molecules at one place are one place before pairs are formed, so a pile-up makes no pairs.
+    """
+    place = [*keys, "out_pos1", "out_pos2"]
+    places = materialize(df.groupBy(*place).agg(F.min(id_col).alias("__place")), "places")
+    pairs = distance_join(places, "__place", keys, "out_pos1", "out_pos2", most).select(F.col("id1").alias("a"), F.col("id2").alias("b"))
+    labels = connected_components(pairs).withColumnRenamed("node", "__place")
+    placed = places.join(labels, "__place", "left").select(*place, F.coalesce("component", "__place").alias("component"))
+    x = df.join(placed, place)
+    # the first row is kept in each partition before the shuffle, and the sums are added up there
+    first = x.withColumn("__k", F.row_number().over(Window.partitionBy("component").orderBy(*order, id_col))).where("__k = 1").drop("__k", *counts)
+    sums = x.groupBy("component").agg(*[F.sum(c).alias(c) for c in counts], F.count("*").alias("n_collapsed"))
+    return first.join(sums, "component").select(*df.columns, "n_collapsed")
 
 
-def _node_match(a_split: bool, b_split: bool, a: int, b: int, side: str, purge: int, tlen: int) -> bool:
-    if a_split and b_split:
-        return abs(a - b) <= purge
-    if not a_split and not b_split:
-        return abs(a - b) <= tlen
-    delta = a - b if a_split else b - a
-    return -purge <= delta <= tlen if side == "L" else -tlen <= delta <= purge
+def _node_match(is_split: np.ndarray, pos: np.ndarray, side: np.ndarray, seed: int, purge: int, tlen: int) -> np.ndarray:
+    """Which types match a seed at one end: splits and gaps among themselves by distance, a gap on a split's inner side."""
+    apart = pos[seed] - pos if is_split[seed] else pos - pos[seed]
+    low, high = (-purge, tlen) if side[seed] == "L" else (-tlen, purge)
+    alike = np.abs(apart) <= (purge if is_split[seed] else tlen)
+    return np.where(is_split == is_split[seed], alike, (apart >= low) & (apart <= high))
 
 
-def seed_group(types: list[dict], purge: int, tlen: int) -> list[tuple[int, int]]:
-    """(index of type, SV number) of one continuity group's junction types.
+def seed_group(types: pd.DataFrame, purge: int, tlen: int) -> list[tuple[int, int]]:
+    """(row of type, SV number) of one continuity group's junction types.
 
     Seeds are taken one by one among the types that no seed has matched: splits before gaps, then by
-    molecules and MAPQ. Seeds that share a matched split are one SV; a gap may match several.
+    molecules and MAPQ. Seeds that share a matched split are one SV; a gap may match several. An SV is
+    numbered by its last seed.
     """
-    left, seeds = set(range(len(types))), []
-    rank = sorted(left, key=lambda i: (not types[i]["is_split"], -types[i]["n"], -types[i]["mapq"], types[i]["pos1"], types[i]["pos2"]))
-    while left:
-        s = next(i for i in rank if i in left)
-        t = types[s]
-        match = {
-            i
-            for i, x in enumerate(types)
-            if (t["is_split"] or not x["is_split"])
-            and _node_match(t["is_split"], x["is_split"], t["pos1"], x["pos1"], t["side1"], purge, tlen)
-            and _node_match(t["is_split"], x["is_split"], t["pos2"], x["pos2"], t["side2"], purge, tlen)
-            and abs(t["pos1"] - x["pos1"]) + abs(t["pos2"] - x["pos2"]) <= tlen
-        } | {s}
-        seeds.append(match)
-        left -= match
-    merged: list[set[int]] = []
-    for match in seeds:
-        splits = {i for i in match if types[i]["is_split"]}
-        for other in [m for m in merged if splits & m]:
-            merged.remove(other)
-            match = match | other
-        merged.append(match)
-    return [(i, k) for k, m in enumerate(merged, 1) for i in sorted(m)]
+    is_split, n, mapq = types["is_split"].to_numpy(bool), types["n"].to_numpy(), types["mapq"].to_numpy()
+    pos1, pos2, side1, side2 = (types[c].to_numpy() for c in ("pos1", "pos2", "side1", "side2"))
+    rank = np.lexsort((pos2, pos1, -mapq, -n, ~is_split))
+    left = np.ones(len(types), bool)
+    seeds: list[np.ndarray] = []
+    root: list[int] = []
+    of_split: dict[int, int] = {}
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    for s in rank.tolist():
+        if not left[s]:
+            continue
+        match = _node_match(is_split, pos1, side1, s, purge, tlen) & _node_match(is_split, pos2, side2, s, purge, tlen)
+        match &= np.abs(pos1 - pos1[s]) + np.abs(pos2 - pos2[s]) <= tlen
+        if not is_split[s]:
+            match &= ~is_split
+        match[s] = True
+        left &= ~match
+        k = len(seeds)
+        seeds.append(np.flatnonzero(match))
+        root.append(k)
+        for i in seeds[k][is_split[seeds[k]]].tolist():
+            root[find(of_split.setdefault(i, k))] = k  # the later seed names the SV
+    number = {top: i for i, top in enumerate(sorted({find(k) for k in range(len(seeds))}), 1)}
+    return sorted({(i, number[find(k)]) for k, m in enumerate(seeds) for i in m.tolist()})
 
 
 TYPE_COLUMNS = ("is_split", "side1", "pos1", "side2", "pos2")
@@ -116,17 +136,17 @@ def parse_continuity_groups(df: DataFrame, group: str, purge: int = 5, max_tlen:
     """``df`` with ``sv_n`` and ``is_ambiguous``: junction molecules of a group assigned to SVs.
 
     Molecules are counted by junction type first. A group of one type is one SV and stays in SQL;
-    only the types of the other groups, few rows each, are seeded in Python. A molecule of several
-    SVs has a row in each and is ambiguous.
+    only the types of the other groups are seeded in Python, a group a task, in time proportional to
+    its types times its seeds. A molecule of several SVs has a row in each and is ambiguous.
     """
     types = df.groupBy(group, *TYPE_COLUMNS).agg(F.count("*").alias("n"), F.max(F.col("mapq1") + F.col("mapq2")).alias("mapq"))
     types = materialize(types.withColumn("n_types", F.count("*").over(Window.partitionBy(group))), "junction-types")
     single = types.where("n_types = 1").select(group, *TYPE_COLUMNS, F.lit(1).alias("sv_n"))
 
     def seed(part: pd.DataFrame) -> pd.DataFrame:
-        rows = part.sort_values(list(TYPE_COLUMNS)).to_dict("records")
+        rows = part.sort_values(list(TYPE_COLUMNS)).reset_index(drop=True)
         found = seed_group(rows, purge, max_tlen)
-        return pd.DataFrame([{**{c: rows[i][c] for c in (group, *TYPE_COLUMNS)}, "sv_n": k} for i, k in found])
+        return rows.loc[[i for i, _ in found], [group, *TYPE_COLUMNS]].assign(sv_n=[k for _, k in found])
 
     kinds = dict(types.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in (group, *TYPE_COLUMNS)) + ", sv_n int"

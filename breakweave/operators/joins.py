@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.scratch import materialize
+
 #: Bases of a bucket; intervals of about this length fall into one or two.
 BUCKET = 16_384
 #: Tables are broadcast up to so many rows, counted before.
@@ -40,33 +42,33 @@ def interval_join(
     """Pairs of half-open intervals of one key that overlap; right columns that clash get ``suffix``.
 
     ``how`` is inner, left, left_semi or left_anti. Both sides are spread over buckets; an inner pair
-    counts in the bucket of its greater start only. A left join adds the rows that an anti join
-    leaves; rows must be told apart by all their columns for that, equal ones stay equal.
+    counts in the bucket of its greater start only. Left rows are numbered, and one that no bucket has
+    a partner for comes once, whether its interval is valid or not. Equal rows stay as many.
     """
     r = right.select(*[F.col(c).alias(c + suffix if c in left.columns else c) for c in right.columns])
     name = lambda c: c + suffix if c in left.columns else c
     rk, rs, re_ = name(key), name(right_start), name(right_end)
-    lb = left.where(F.col(start) < F.col(end)).withColumn("__b", F.explode(buckets(F.col(start), F.col(end) - 1, size)))
     rb = r.where(F.col(rs) < F.col(re_)).withColumn("__rb", F.explode(buckets(F.col(rs), F.col(re_) - 1, size)))
     same = (F.col(key) == F.col(rk)) & (F.col("__b") == F.col("__rb")) & (F.col(start) < F.col(re_)) & (F.col(end) > F.col(rs))
+    once = F.floor(F.greatest(F.col(start), F.col(rs)) / size) == F.col("__b")
     if how == "inner":
-        once = F.floor(F.greatest(F.col(start), F.col(rs)) / size) == F.col("__b")
+        lb = left.where(F.col(start) < F.col(end)).withColumn("__b", F.explode(buckets(F.col(start), F.col(end) - 1, size)))
         return lb.join(rb, same & once).drop("__b", "__rb")
-    hit = lb.join(rb, same, "left_semi").drop("__b").dropDuplicates()
+    covered = F.when(F.col(start) < F.col(end), buckets(F.col(start), F.col(end) - 1, size)).otherwise(F.array(F.lit(None).cast("long")))
+    lb = left.withColumns({"__id": F.monotonically_increasing_id(), "__n": F.size(covered)}).withColumn("__b", F.explode(covered))
     if how == "left_semi":
-        return left.join(hit, _null_safe(left, hit), "left_semi")
-    rest = left.join(hit, _null_safe(left, hit), "left_anti")
+        return lb.join(rb, same, "left_semi").dropDuplicates(["__id"]).select(*left.columns)
     if how == "left_anti":
-        return rest
-    found = interval_join(left, right, key, start, end, right_start, right_end, "inner", size, suffix)
-    return found.unionByName(rest, allowMissingColumns=True)
+        return _in_no_bucket(lb.join(rb, same, "left_anti"), left.columns)
+    found = materialize(lb.join(rb, same & once, "left"), "interval-join")
+    lone = _in_no_bucket(found.where("__rb is null"), left.columns)
+    return found.where("__rb is not null").drop("__id", "__n", "__b", "__rb").unionByName(lone, allowMissingColumns=True)
 
 
-def _null_safe(a: DataFrame, b: DataFrame) -> Column:
-    cond = F.lit(True)
-    for c in a.columns:
-        cond = cond & a[c].eqNullSafe(b[c])
-    return cond
+def _in_no_bucket(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows (one a bucket, without a partner there) that are without one in all their buckets."""
+    x = rows.groupBy("__id").agg(F.count("*").alias("__k"), F.first("__n").alias("__n"), F.first(F.struct(*columns)).alias("__row"))
+    return x.where("__k = __n").select("__row.*")
 
 
 def interval_flag(left: DataFrame, right: DataFrame, out: str, key: str = "chrom", start: str = "start0", end: str = "end1") -> DataFrame:
@@ -204,7 +206,7 @@ def complete_grid(df: DataFrame, axes: dict[str, DataFrame], values: list[str],
     grid = None
     for name, axis in axes.items():
         one = axis.select(name).distinct()
-        grid = one if grid is None else grid.join(F.broadcast(one))
+        grid = one if grid is None else grid.crossJoin(small(one))
     out = grid.join(df, list(axes), "left")
     return out.withColumns({v: F.coalesce(F.col(v), F.lit(fill)) for v in values})
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.analysis import log_nbinom_pmf
 from .joins import overlap_fraction
-from .ordered import run_length_segments
+from .ordered import dense_ids, prefix_sum, run_length_segments
 
 
 def det3(m: list[list[Column]]) -> Column:
@@ -156,7 +156,7 @@ def rate_comparison(df: DataFrame, group: str, n: str, coverage: str) -> DataFra
     ``dispersion`` is Pearson's, by which standard errors are widened.
     """
     rates = df.groupBy(group).agg(F.sum(n).alias("n"), F.sum(coverage).alias("c"), F.count("*").alias("k")).withColumn("rate", F.col("n") / F.col("c"))
-    x = df.select(group, F.col(n).alias("y"), F.col(coverage).alias("cov")).join(F.broadcast(rates.select(group, "rate")), group)
+    x = df.select(group, F.col(n).alias("y"), F.col(coverage).alias("cov")).join(rates.select(group, "rate"), group)
     mu = F.col("rate") * F.col("cov")
     chi = x.groupBy().agg(F.sum((F.col("y") - mu) * (F.col("y") - mu) / mu).alias("chi"), F.count("*").alias("m"), F.count_distinct(group).alias("g"))
     out = rates.crossJoin(F.broadcast(chi))  # one row
@@ -195,9 +195,9 @@ def bootstrap_median(df: DataFrame, group: str, id_col: str, value: str, rounds:
 
 def rank_sum(df: DataFrame, group: str, value: str) -> DataFrame:
     """Rank sums with mid-ranks of ties: ``group, n, rank_sum``. Ranks come from counts of distinct values."""
-    n = df.groupBy(value).agg(F.count("*").alias("k"))
-    below = F.coalesce(F.sum("k").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = n.select(value, (below + (F.col("k") + 1) / 2).alias("mid"))
+    n = dense_ids(df.groupBy(value).agg(F.count("*").alias("k")), [value], "i")
+    # the running count by the rank of the value, in buckets of ranks: no task takes all values
+    ranks = prefix_sum(n.withColumn("all", F.lit(0)), "all", "i", "k", "upto").select(value, (F.col("upto") - F.col("k") + (F.col("k") + 1) / 2).alias("mid"))
     return df.groupBy(group, value).agg(F.count("*").alias("k")).join(ranks, value).groupBy(group).agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("mid")).alias("rank_sum"))
 
 

@@ -38,9 +38,33 @@ def coverage_breaks(spans: DataFrame, key: str = "chrom", start: str = "start0",
 
 def coverage_steps(spans: DataFrame, key: str = "chrom", start: str = "start0", end: str = "end1") -> DataFrame:
     """``chrom, start0, end1, depth`` of every stretch of equal depth above 0."""
-    breaks = coverage_breaks(spans, key, start, end)
-    w = Window.partitionBy(key).orderBy("pos")
-    return breaks.select(key, F.col("pos").alias("start0"), F.lead("pos").over(w).alias("end1"), "depth").where("depth > 0")
+    breaks = next_position(coverage_breaks(spans, key, start, end), key, "pos", "end1")
+    return breaks.select(key, F.col("pos").alias("start0"), "end1", "depth").where("depth > 0")
+
+
+def next_position(df: DataFrame, key: str, pos: str, out: str, size: int = SWEEP) -> DataFrame:
+    """``out``: the next greater position of the key, in two levels like :func:`prefix_sum`. ``pos`` is unique in its key."""
+    x = df.withColumn("__b", F.floor(F.col(pos) / size))
+    later = Window.partitionBy(key).orderBy("__b")
+    firsts = x.groupBy(key, "__b").agg(F.min(pos).alias("__f")).select(key, "__b", F.lead("__f").over(later).alias("__next"))
+    inside = F.lead(pos).over(Window.partitionBy(key, "__b").orderBy(pos))
+    return x.join(firsts, [key, "__b"]).withColumn(out, F.coalesce(inside, "__next")).drop("__b", "__next")
+
+
+def depth_integral(points: DataFrame, spans: DataFrame, key: str = "chrom", start: str = "start0", end: str = "end1", size: int = SWEEP) -> DataFrame:
+    """``chrom, pos, area`` for distinct ``points`` (chrom, pos): the depth of the spans summed over all positions before ``pos``.
+
+    Points take part in the sweep as changes of nothing. The area at a point is its position times the
+    depth there, less the sum of all changes before it, each times its position: two running sums.
+    """
+    change = spans.select(key, F.explode(F.array(F.struct(F.col(start).alias("pos"), F.lit(1).alias("d")), F.struct(F.col(end).alias("pos"), F.lit(-1).alias("d")))).alias("e"))
+    change = change.groupBy(key, F.col("e.pos").alias("pos")).agg(F.sum("e.d").alias("d"))
+    asked = points.select(key, F.col("pos").cast("long").alias("pos"), F.lit(0).cast("long").alias("d"), F.lit(True).alias("__asked")).distinct()
+    both = change.withColumn("__asked", F.lit(False)).unionByName(asked)
+    rows = both.groupBy(key, "pos").agg(F.sum("d").alias("d"), F.max("__asked").alias("__asked"))
+    rows = rows.withColumn("dp", F.col("d") * F.col("pos"))
+    summed = prefix_sum(prefix_sum(rows, key, "pos", "d", "depth", size), key, "pos", "dp", "moment", size)
+    return summed.where("__asked").select(key, "pos", (F.col("pos") * F.col("depth") - F.col("moment")).alias("area"))
 
 
 def step_bins(steps: DataFrame, size: int, key: str = "chrom") -> DataFrame:

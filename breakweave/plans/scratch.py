@@ -4,21 +4,62 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@dataclass
+class _Scope:
+    outer: _Scope | None
+    paths: list[str] = field(default_factory=list)
+
+
+_scope: ContextVar[_Scope | None] = ContextVar("scratch", default=None)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder is set only where it names none."""
+    """``spark.checkpoint.dir`` of the session. Where it names none, a local session gets a temporary
+    folder; on a cluster, whose executors would each write to their own disk, this is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` and read it back: the lineage is cut and no executor holds the only copy."""
+def materialize(df: DataFrame, name: str, result: bool = False) -> DataFrame:
+    """Write ``df`` and read it back: the lineage is cut and no executor holds the only copy.
+
+    Inside :func:`scratch_tables` the table goes with the innermost scope; the ``result`` of a scope
+    belongs to the one around it.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    scope = _scope.get()
+    if scope and result:
+        scope = scope.outer
+    if scope:
+        scope.paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that are materialized inside, at the end. What leaves the scope must be a
+    materialized ``result``, or have been written elsewhere."""
+    scope = _Scope(_scope.get())
+    token = _scope.set(scope)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for p in scope.paths:
+            path = jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(conf).delete(path, True)
