@@ -38,7 +38,7 @@ VIEWS = {
  group by user_id % 20, cast(event_id % 5 + 1 as int), (event_id * 13) % 200""",
     "fx_genome_bins": """select cast(p_partkey % 5 + 1 as int) as chrom, cast(floor(p_partkey / 5) as bigint) as bin_n,
  cast(floor(p_partkey / 5) as bigint) * 500 as start0, cast(floor(p_partkey / 5) as bigint) * 500 + 500 as end1,
- cast(p_size % 41 + 30 as double) / 100 as gc_fraction, cast(p_partkey % 10 as double) / 10 as excluded from part where p_partkey < 1000""",
+ cast(p_size % 41 + 30 as double) / 100 as gc_fraction, cast(p_partkey % 10 as double) / 10 as excluded from part""",
     "fx_targets": """select n_name as name, cast(n_nationkey % 5 + 1 as int) as chrom,
  cast(n_nationkey as bigint) * 20000 as start0, cast(n_nationkey as bigint) * 20000 + 8000 as end1 from nation""",
     "fx_sequences": """select o_orderkey as seq_id,

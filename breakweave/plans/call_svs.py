@@ -1,4 +1,4 @@
-"""Junction molecules to structural-variant calls with counts by sample, as one lazy plan."""
+"""Junction molecules to structural-variant calls with counts by sample, as one plan."""
 
 from __future__ import annotations
 
@@ -8,30 +8,79 @@ from pyspark.sql import functions as F
 from ..functions.junctions import junction_type
 from ..operators.aggregates import characterize_sv
 from ..operators.filters import sv_evidence, sv_size
-from ..operators.ordered import continuity_groups
+from ..operators.graph import parse_continuity_groups, purge_duplicates
+from ..operators.joins import outer_clip_evidence
+from ..operators.ordered import continuity_groups, dense_ids
+from .scratch import materialize
 
 KEYS = ["chrom1", "chrom2", "side1", "side2"]
 
 
+def node_name(k: int) -> F.Column:
+    """``chrom:side:pos`` of one end of a junction."""
+    return F.concat_ws(":", *(F.col(f"{c}{k}").cast("string") for c in ("chrom", "side", "pos")))
+
+
+def sv_molecules(
+    molecules: DataFrame, max_tlen: int, read_len: int, min_size: int, min_coverage: int, min_mapq_both: int, min_mapq_one: int, purge: int
+) -> DataFrame:
+    """``molecules`` of calls with ``jxn_type, group_id, sv_n, sv_id, is_ambiguous, n_collapsed``: one row for each
+    call and unique molecule.
+
+    Molecules are typed and filtered by size before the first shuffle, grouped by continuity, kept by
+    the group's evidence, assigned to SVs within their groups, and purged of duplicates within each
+    call and sample.
+    """
+    kind = junction_type(*[F.col(c) for c in ("chrom1", "side1", "pos1", "chrom2", "side2", "pos2", "node_class")], max_tlen, read_len)
+    typed = sv_size(molecules.withColumn("jxn_type", kind).where("jxn_type <> 'P'"), min_size)
+    grouped = sv_evidence(continuity_groups(typed, KEYS, max_tlen, min_coverage, "mol_id"), "group_id", min_coverage, min_mapq_both, min_mapq_one)
+    parsed = parse_continuity_groups(grouped.withColumn("is_split", F.col("node_class") == 1), "group_id", purge, max_tlen)
+    parsed = materialize(parsed, "sv-parsed")
+    ids = dense_ids(parsed.select("group_id", "sv_n").distinct(), ["group_id", "sv_n"], "sv_id")
+    placed = parsed.join(ids, ["group_id", "sv_n"]).withColumns(
+        {"row_id": F.concat_ws(":", "sv_id", "mol_id"), "__strands": F.col("strand_count1") + F.col("strand_count2"), "__mapq": F.col("mapq1") + F.col("mapq2")}
+    )
+    order = [F.desc("node_class"), F.desc("__strands"), F.desc("__mapq"), F.asc("mol_id")]
+    unique = purge_duplicates(placed, "row_id", ["sample", "sv_id"], float(purge), order, ["strand_count1", "strand_count2"])
+    if min_coverage > 1:
+        enough = unique.groupBy("sv_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_coverage)
+        unique = unique.join(enough.select("sv_id"), "sv_id", "left_semi")
+    return unique.drop("row_id", "__strands", "__mapq")
+
+
 def call_svs(
     molecules: DataFrame,
     samples: list[str],
+    clips: DataFrame | None = None,
     max_tlen: int = 762,
     read_len: int = 151,
     min_size: int = 1000,
     min_coverage: int = 1,
     min_mapq_both: int = 20,
     min_mapq_one: int = 30,
+    purge: int = 5,
 ) -> DataFrame:
-    """One row a call: evidence, reference junction, size and a count column for each sample.
+    """One row a call: evidence, reference junction, size, a count column for each sample, and ``n_clips``.
 
-    Molecules are typed and filtered by size before the first shuffle; continuity groups of one
-    junction type are calls (``parse_continuity_groups`` splits mixed ones), kept by evidence.
+    See :func:`sv_molecules`. The reference molecule is a split where there is one, the one with the
+    longest clip on its shorter side, else the gap with the longest clip on either side. Molecules of
+    ``clips`` (node, mol_id, sample, clip_len) that end at a clipped node of it, and are no evidence
+    of the call yet, are counted as outer clips.
     """
-    kind = junction_type(*[F.col(c) for c in ("chrom1", "side1", "pos1", "chrom2", "side2", "pos2", "node_class")], max_tlen, read_len)
-    typed = sv_size(molecules.withColumn("jxn_type", kind).where("jxn_type <> 'P'"), min_size)
-    grouped = continuity_groups(typed, KEYS, max_tlen, min_coverage, "mol_id")
-    good = sv_evidence(grouped, "group_id", min_coverage, min_mapq_both, min_mapq_one)
-    calls = characterize_sv(good, "group_id", ["node_class", "mapq1", "mol_id"])
-    counts = good.groupBy("group_id").agg(*[F.count_if(F.col("sample") == s).alias(f"n_{s}") for s in samples])
-    return calls.join(counts, "group_id")
+    unique = materialize(sv_molecules(molecules, max_tlen, read_len, min_size, min_coverage, min_mapq_both, min_mapq_one, purge), "sv-molecules")
+    split = F.col("node_class") == 1
+    scored = unique.withColumns(
+        {"ref_clip": F.when(split, F.least("clip_len1", "clip_len2")).otherwise(F.greatest("clip_len1", "clip_len2")), "ref_tie": -F.col("mol_id")}
+    )
+    more = [F.count_if("is_ambiguous").alias("n_ambiguous"), F.sum("n_collapsed").alias("n_collapsed"), F.first("group_id").alias("group_id")]
+    more += [F.count_if(F.col("sample") == s).alias(f"n_{s}") for s in samples]
+    calls = characterize_sv(scored, "sv_id", ["node_class", "ref_clip", "ref_tie"], more, ["clip_len1", "clip_len2"])
+    if clips is None:
+        return calls.drop("clip_len1", "clip_len2").withColumn("n_clips", F.lit(0).cast("long"))
+    calls = materialize(calls, "sv-calls")
+    ends = F.array(*(F.struct(F.lit(k).alias("node_n"), node_name(k).alias("node"), node_name(3 - k).alias("other_node"), F.col(f"clip_len{k}").alias("clip")) for k in (1, 2)))
+    references = calls.select("sv_id", F.explode(ends).alias("e")).select("sv_id", "e.*").where("clip > 0").drop("clip")
+    found = outer_clip_evidence(clips, references).select("sv_id", "mol_id").distinct()
+    found = found.join(unique.select("sv_id", "mol_id"), ["sv_id", "mol_id"], "left_anti").groupBy("sv_id").agg(F.count("*").alias("n_clips"))
+    out = calls.drop("clip_len1", "clip_len2").join(found, "sv_id", "left")
+    return out.withColumn("n_clips", F.coalesce("n_clips", F.lit(0)))

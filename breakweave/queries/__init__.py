@@ -33,5 +33,5 @@ def query(key: str, sql: str | None = None):
 
 def load() -> None:
     """Import every module of queries, which registers them."""
-    for name in ("flagship", "expressions", "filtering", "joining", "aggregating", "ordering", "graphs", "statistics", "io", "streams"):
+    for name in ("flagship", "expressions", "filtering", "joining", "aggregating", "ordering", "graphs", "statistics", "plans", "io", "streams"):
         import_module(f"{__name__}.{name}")

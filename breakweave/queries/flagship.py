@@ -3,24 +3,35 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..fixtures import Fixtures
-from ..plans.call_svs import call_svs
+from ..plans.call_svs import call_svs, node_name
 from . import query
 from .expressions import _DIST, _TYPE
+from .graphs import SAME_TYPE, grouped_sql, seeded_sql
 
-_KEYS = "chrom1, chrom2, side1, side2"
+_SAMPLES = ["S0", "S1", "S2", "S3"]
+_COUNTS = ", ".join(f"count(*) FILTER (WHERE sample = '{x}') AS n_{x}" for x in _SAMPLES)
 
 
-@query("call_svs", f"""WITH t AS (SELECT *, {_TYPE} AS jxn_type FROM {_DIST}), f AS (SELECT * FROM t WHERE jxn_type <> 'P' AND (jxn_type = 'T' OR abs(pos2 - pos1) >= 1000)),
- a AS (SELECT *, sum(g) OVER (PARTITION BY {_KEYS} ORDER BY pos1, mol_id) AS g1 FROM (SELECT *, coalesce((pos1 - lag(pos1) OVER (PARTITION BY {_KEYS} ORDER BY pos1, mol_id) > 762)::INT, 0) AS g FROM f)),
- b AS (SELECT *, sum(h) OVER (PARTITION BY {_KEYS}, g1 ORDER BY pos2, mol_id) AS g2 FROM (SELECT *, coalesce((pos2 - lag(pos2) OVER (PARTITION BY {_KEYS}, g1 ORDER BY pos2, mol_id) > 762)::INT, 0) AS h FROM a)),
- k0 AS (SELECT {_KEYS}, g1, g2, max(mapq1) AS m1, max(mapq2) AS m2 FROM b GROUP BY ALL), k AS (SELECT *, row_number() OVER (ORDER BY {_KEYS}, g1, g2) AS group_id FROM k0),
- q AS (SELECT b.*, k.group_id FROM b JOIN k USING ({_KEYS}, g1, g2) WHERE least(k.m1, k.m2) >= 20 AND greatest(k.m1, k.m2) >= 30),
- agg AS (SELECT group_id, count(*) AS n_total, count(*) FILTER (WHERE node_class = 0) AS n_gaps, count(*) FILTER (WHERE node_class = 1) AS n_splits, count(*) FILTER (WHERE strand_count1 > 0 AND strand_count2 > 0) AS n_duplex,
+@query("call_svs", f"""WITH RECURSIVE t AS (SELECT *, {_TYPE} AS jxn_type FROM {_DIST}), f AS (SELECT * FROM t WHERE jxn_type <> 'P' AND (jxn_type = 'T' OR abs(pos2 - pos1) >= 1000)),
+ {grouped_sql('f')}, q AS (SELECT * FROM groups WHERE least(m1, m2) >= 20 AND greatest(m1, m2) >= 30), {seeded_sql('q')},
+ p AS (SELECT g.*, amb.sv_n, amb.is_ambiguous FROM q g JOIN amb ON {SAME_TYPE}), ids AS (SELECT group_id, sv_n, row_number() OVER (ORDER BY group_id, sv_n) AS sv_id FROM (SELECT DISTINCT group_id, sv_n FROM p)),
+ pm AS (SELECT p.*, ids.sv_id FROM p JOIN ids USING (group_id, sv_n)), pr AS (SELECT x.sv_id, x.mol_id AS u, y.mol_id AS v FROM pm x JOIN pm y ON x.sample = y.sample AND x.sv_id = y.sv_id AND x.mol_id <> y.mol_id
+ AND sqrt(pow(x.out_pos1 - y.out_pos1, 2) + pow(x.out_pos2 - y.out_pos2, 2)) <= 5), pc(sv_id, u, v) AS (SELECT * FROM pr UNION SELECT pc.sv_id, pc.u, pr.v FROM pc JOIN pr ON pr.sv_id = pc.sv_id AND pr.u = pc.v),
+ cl AS (SELECT pm.*, least(pm.mol_id, coalesce(m.low, pm.mol_id)) AS comp FROM pm LEFT JOIN (SELECT sv_id, u AS mol_id, min(v) AS low FROM pc GROUP BY ALL) m USING (sv_id, mol_id)),
+ un AS (SELECT * EXCLUDE (strand_count1, strand_count2), s1 AS strand_count1, s2 AS strand_count2 FROM (SELECT *, row_number() OVER (PARTITION BY sample, sv_id, comp ORDER BY node_class DESC, strand_count1 + strand_count2 DESC, mapq1 + mapq2 DESC, mol_id) AS nth,
+ sum(strand_count1) OVER w AS s1, sum(strand_count2) OVER w AS s2, count(*) OVER w AS n_collapsed FROM cl WINDOW w AS (PARTITION BY sample, sv_id, comp)) WHERE nth = 1),
+ agg AS (SELECT sv_id, any_value(group_id) AS group_id, count(*) AS n_total, count(*) FILTER (WHERE node_class = 0) AS n_gaps, count(*) FILTER (WHERE node_class = 1) AS n_splits, count(*) FILTER (WHERE strand_count1 > 0 AND strand_count2 > 0) AS n_duplex,
  sum(strand_count1 + strand_count2)::BIGINT AS strand_count, string_agg(DISTINCT sample, ',' ORDER BY sample) AS samples, count(DISTINCT sample) AS n_samples, string_agg(mapq1::VARCHAR, ',' ORDER BY mol_id) AS mapqs1, string_agg(mapq2::VARCHAR, ',' ORDER BY mol_id) AS mapqs2,
- count(*) FILTER (WHERE sample = 'S0') AS n_S0, count(*) FILTER (WHERE sample = 'S1') AS n_S1, count(*) FILTER (WHERE sample = 'S2') AS n_S2, count(*) FILTER (WHERE sample = 'S3') AS n_S3 FROM q GROUP BY 1),
- ref AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY node_class DESC, mapq1 DESC, mol_id DESC) AS r FROM q) WHERE r = 1)
- SELECT agg.*, ref.mol_id AS ref_mol_id, ref.jxn_type, ref.chrom1, ref.side1, ref.pos1, ref.chrom2, ref.side2, ref.pos2, CASE WHEN ref.jxn_type = 'T' THEN 0 ELSE abs(ref.pos2 - ref.pos1) END AS sv_size FROM agg JOIN ref USING (group_id)""")
+ count(*) FILTER (WHERE is_ambiguous) AS n_ambiguous, sum(n_collapsed)::BIGINT AS n_collapsed, {_COUNTS} FROM un GROUP BY sv_id),
+ ref AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sv_id ORDER BY node_class DESC, CASE WHEN node_class = 1 THEN least(clip_len1, clip_len2) ELSE greatest(clip_len1, clip_len2) END DESC, mol_id) AS k FROM un) WHERE k = 1),
+ rn AS (SELECT sv_id, concat_ws(':', chrom1, side1, pos1) AS node FROM ref WHERE clip_len1 > 0 UNION ALL SELECT sv_id, concat_ws(':', chrom2, side2, pos2) FROM ref WHERE clip_len2 > 0),
+ oc AS (SELECT DISTINCT rn.sv_id, m.mol_id FROM (SELECT concat_ws(':', chrom1, side1, pos1) AS node, mol_id FROM fx_molecules WHERE clip_len1 >= 5) m JOIN rn USING (node)),
+ nc AS (SELECT oc.sv_id, count(*) AS n_clips FROM oc ANTI JOIN un USING (sv_id, mol_id) GROUP BY 1)
+ SELECT agg.*, ref.mol_id AS ref_mol_id, ref.jxn_type, ref.chrom1, ref.side1, ref.pos1, ref.chrom2, ref.side2, ref.pos2, CASE WHEN ref.jxn_type = 'T' THEN 0 ELSE abs(ref.pos2 - ref.pos1) END AS sv_size, coalesce(nc.n_clips, 0) AS n_clips
+ FROM agg JOIN ref USING (sv_id) LEFT JOIN nc USING (sv_id)""")
 def flagship(fx: Fixtures) -> DataFrame:
-    return call_svs(fx.molecules, ["S0", "S1", "S2", "S3"])
+    clips = fx.molecules.where("clip_len1 >= 5").select(node_name(1).alias("node"), "mol_id", "sample", F.col("clip_len1").alias("clip_len"))
+    return call_svs(fx.molecules, _SAMPLES, clips)

@@ -13,15 +13,14 @@ from . import query
 
 c = F.col
 
-_NODES = "n AS (SELECT event_id, strand_key, pos1, pos2 FROM fx_nodes_long WHERE event_id % 8 = 0)"
+_NODES = "n AS (SELECT event_id, strand_key, pos1, pos2 FROM fx_nodes_long)"
 _PAIRS = f"""{_NODES}, p AS (SELECT a.event_id AS a, b.event_id AS b FROM n a JOIN n b ON a.strand_key = b.strand_key AND a.event_id < b.event_id AND sqrt(pow(a.pos1 - b.pos1, 2) + pow(a.pos2 - b.pos2, 2)) <= 20),
  e AS (SELECT a AS u, b AS v FROM p UNION SELECT b, a FROM p), reach(id, r) AS (SELECT u, u FROM e UNION SELECT reach.id, e.v FROM reach JOIN e ON e.u = reach.r),
  comp AS (SELECT id AS node, min(r) AS component FROM reach GROUP BY id)"""
 
 
 def pairs(fx: Fixtures) -> DataFrame:
-    n = fx.nodes_long.where("event_id % 8 = 0")
-    return j.distance_join(n, "event_id", ["strand_key"], "pos1", "pos2", 20.0).select(c("id1").alias("a"), c("id2").alias("b"))
+    return j.distance_join(fx.nodes_long, "event_id", ["strand_key"], "pos1", "pos2", 20.0).select(c("id1").alias("a"), c("id2").alias("b"))
 
 
 @query("c1", f"WITH RECURSIVE {_PAIRS} SELECT node, component FROM comp")
@@ -32,11 +31,50 @@ def c1(fx: Fixtures) -> DataFrame:
 @query("c2", f"""WITH RECURSIVE {_PAIRS}, k AS (SELECT n.event_id, coalesce(component, n.event_id) AS k FROM n LEFT JOIN comp ON comp.node = n.event_id)
  SELECT event_id, dense_rank() OVER (ORDER BY k) AS cluster_n FROM k""")
 def c2(fx: Fixtures) -> DataFrame:
-    rows = fx.nodes_long.where("event_id % 8 = 0").select("event_id")
+    rows = fx.nodes_long.select("event_id")
     return g.finalize_clusters(rows, "event_id", pairs(fx)).select("event_id", "cluster_n")
 
 
-@query("c3")
+def seeded_sql(source: str, purge: int = 5, tlen: int = 762) -> str:
+    """Common table expressions from grouped molecules to ``amb``: junction types with their SV numbers, seed by seed."""
+
+    def match(s: dict, x: dict) -> str:
+        def node(side: str, a: str, b: str) -> str:
+            apart = f"(CASE WHEN {s['sp']} THEN {a} - {b} ELSE {b} - {a} END)"
+            half = f"{apart} BETWEEN (CASE WHEN {side} = 'L' THEN -{purge} ELSE -{tlen} END) AND (CASE WHEN {side} = 'L' THEN {tlen} ELSE {purge} END)"
+            return f"(CASE WHEN {s['sp']} AND {x['sp']} THEN abs({a} - {b}) <= {purge} WHEN NOT {s['sp']} AND NOT {x['sp']} THEN abs({a} - {b}) <= {tlen} ELSE {half} END)"
+
+        total = f"abs({s['a']} - {x['a']}) + abs({s['b']} - {x['b']}) <= {tlen}"
+        return f"({s['r']} = {x['r']} OR (({s['sp']} OR NOT {x['sp']}) AND {total} AND {node(s['d1'], s['a'], x['a'])} AND {node(s['d2'], s['b'], x['b'])}))"
+
+    of = lambda v: {k: f"{v}.{k}" for k in ("r", "sp", "d1", "a", "d2", "b")}
+    rest = lambda l: f"list_filter({l}, lambda x: NOT {match(of(f'{l}[1]'), of('x'))})"
+    return f"""ty AS (SELECT group_id, node_class = 1 AS sp, side1 AS d1, pos1 AS a, side2 AS d2, pos2 AS b, count(*) AS n, max(mapq1 + mapq2) AS q FROM {source} GROUP BY ALL),
+ rk AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY sp DESC, n DESC, q DESC, a, b) AS r FROM ty),
+ ls AS (SELECT group_id, list({{'r': r, 'sp': sp, 'd1': d1, 'a': a, 'd2': d2, 'b': b}} ORDER BY r) AS l FROM rk GROUP BY group_id),
+ op(group_id, k, s, l) AS (SELECT group_id, 1, l[1], {rest('l')} FROM ls UNION ALL SELECT group_id, k + 1, l[1], {rest('l')} FROM op WHERE len(l) > 0),
+ mt AS (SELECT o.group_id, o.k, t.r, t.sp, t.d1, t.a, t.d2, t.b FROM op o JOIN rk t ON t.group_id = o.group_id AND {match(of('o.s'), of('t'))}),
+ ed AS (SELECT DISTINCT x.group_id, x.k AS u, y.k AS v FROM mt x JOIN mt y ON x.group_id = y.group_id AND x.r = y.r WHERE x.sp),
+ rc(group_id, u, v) AS (SELECT group_id, u, v FROM ed UNION SELECT rc.group_id, rc.u, ed.v FROM rc JOIN ed ON ed.group_id = rc.group_id AND ed.u = rc.v),
+ tp AS (SELECT op.group_id, op.k, coalesce(max(rc.v), op.k) AS top FROM op LEFT JOIN rc ON rc.group_id = op.group_id AND rc.u = op.k GROUP BY op.group_id, op.k),
+ sv AS (SELECT group_id, k, dense_rank() OVER (PARTITION BY group_id ORDER BY top)::INT AS sv_n FROM tp),
+ asg AS (SELECT DISTINCT mt.group_id, mt.sp, mt.d1, mt.a, mt.d2, mt.b, sv.sv_n FROM mt JOIN sv USING (group_id, k)),
+ amb AS (SELECT *, count(*) OVER (PARTITION BY group_id, sp, d1, a, d2, b) > 1 AS is_ambiguous FROM asg)"""
+
+
+SAME_TYPE = "g.group_id = amb.group_id AND (g.node_class = 1) = amb.sp AND g.side1 = amb.d1 AND g.pos1 = amb.a AND g.side2 = amb.d2 AND g.pos2 = amb.b"
+_KEYS = "chrom1, chrom2, side1, side2"
+
+
+def grouped_sql(source: str) -> str:
+    """Common table expressions to ``groups``: the molecules of a table with their continuity group."""
+    return f"""ga AS (SELECT *, sum(g) OVER (PARTITION BY {_KEYS} ORDER BY pos1, mol_id) AS g1 FROM (SELECT *, coalesce((pos1 - lag(pos1) OVER (PARTITION BY {_KEYS} ORDER BY pos1, mol_id) > 762)::INT, 0) AS g FROM {source})),
+ gb AS (SELECT *, sum(h) OVER (PARTITION BY {_KEYS}, g1 ORDER BY pos2, mol_id) AS g2 FROM (SELECT *, coalesce((pos2 - lag(pos2) OVER (PARTITION BY {_KEYS}, g1 ORDER BY pos2, mol_id) > 762)::INT, 0) AS h FROM ga)),
+ gk AS (SELECT *, row_number() OVER (ORDER BY {_KEYS}, g1, g2) AS group_id FROM (SELECT {_KEYS}, g1, g2, max(mapq1) AS m1, max(mapq2) AS m2 FROM gb GROUP BY ALL)),
+ groups AS (SELECT gb.*, gk.group_id, gk.m1, gk.m2 FROM gb JOIN gk USING ({_KEYS}, g1, g2))"""
+
+
+@query("c3", f"WITH RECURSIVE {grouped_sql('fx_molecules')}, {seeded_sql('groups')} SELECT g.mol_id, g.group_id, amb.sv_n, amb.is_ambiguous FROM groups g JOIN amb ON {SAME_TYPE}")
 def c3(fx: Fixtures) -> DataFrame:
     """Junction molecules of continuity groups assigned to SVs by greedy seeding."""
     x = continuity_groups(fx.molecules, ["chrom1", "chrom2", "side1", "side2"], 762, 1, "mol_id")

@@ -55,19 +55,19 @@ def j6(fx: Fixtures) -> DataFrame:
     return j.position_in_target(fx.molecules, fx.targets, "chrom1", "pos1").select("mol_id", "name", c("index").alias("target_index"))
 
 
-@query("j7", """WITH p AS (SELECT mol_id, chrom1 AS chrom, o AS offset_, CASE WHEN side1 = 'L' THEN pos1 + o ELSE pos1 - o END AS p FROM fx_molecules, range(-5, 6) t(o) WHERE mol_id % 20 = 0)
+@query("j7", """WITH p AS (SELECT mol_id, chrom1 AS chrom, o AS offset_, CASE WHEN side1 = 'L' THEN pos1 + o ELSE pos1 - o END AS p FROM fx_molecules, range(-5, 6) t(o))
  SELECT mol_id, offset_, (EXISTS (SELECT 1 FROM fx_targets t WHERE t.chrom = p.chrom AND p.p > t.start0 AND p.p <= t.end1))::INT AS hit FROM p""")
 def j7(fx: Fixtures) -> DataFrame:
-    m = fx.molecules.where("mol_id % 20 = 0").select("mol_id", "chrom1", "side1", "pos1", F.explode(F.sequence(F.lit(-5), F.lit(5))).alias("offset_"))
+    m = fx.molecules.select("mol_id", "chrom1", "side1", "pos1", F.explode(F.sequence(F.lit(-5), F.lit(5))).alias("offset_"))
     p = m.withColumn("p", F.when(c("side1") == "L", c("pos1") + c("offset_")).otherwise(c("pos1") - c("offset_")))
     return j.position_in_target(p, fx.targets, "chrom1", "p").select("mol_id", "offset_", c("name").isNotNull().cast("int").alias("hit"))
 
 
-@query("j8", """WITH n AS (SELECT event_id, strand_key, pos1 + 0.5 * insert_size AS x, pos2 - 0.5 * insert_size AS y FROM fx_nodes_long WHERE event_id % 4 = 0)
+@query("j8", """WITH n AS (SELECT event_id, strand_key, pos1 + 0.5 * insert_size AS x, pos2 - 0.5 * insert_size AS y FROM fx_nodes_long)
  SELECT a.strand_key, a.event_id AS id1, b.event_id AS id2, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))::DOUBLE, 6) AS distance FROM n a JOIN n b
  ON a.strand_key = b.strand_key AND a.event_id < b.event_id AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 20""")
 def j8(fx: Fixtures) -> DataFrame:
-    n = fx.nodes_long.where("event_id % 4 = 0").withColumns({"x": c("pos1") + F.lit(0.5) * c("insert_size"), "y": c("pos2") - F.lit(0.5) * c("insert_size")})
+    n = fx.nodes_long.withColumns({"x": c("pos1") + F.lit(0.5) * c("insert_size"), "y": c("pos2") - F.lit(0.5) * c("insert_size")})
     return j.distance_join(n, "event_id", ["strand_key"], "x", "y", 20.0).withColumn("distance", F.round("distance", 6))
 
 
@@ -87,7 +87,7 @@ _SEEDS = "SELECT mol_id AS id, node_class = 1 AS is_split, chrom1, chrom2, side1
 
 
 @query("j11", f"""WITH m AS ({_SEEDS}), p AS (SELECT s.id AS seed_id, o.id AS id, s.is_split AS ss, o.is_split AS os, s.side1 AS d1, s.side2 AS d2, s.pos1 AS a1, o.pos1 AS b1, s.pos2 AS a2, o.pos2 AS b2
- FROM m s JOIN m o USING (chrom1, chrom2, side1, side2) WHERE s.id % 40 = 0),
+ FROM m s JOIN m o USING (chrom1, chrom2, side1, side2)),
  q AS (SELECT *, CASE WHEN ss THEN a1 - b1 ELSE b1 - a1 END AS e1, CASE WHEN ss THEN a2 - b2 ELSE b2 - a2 END AS e2 FROM p)
  SELECT seed_id, id FROM q WHERE (ss OR NOT os) AND abs(a1 - b1) + abs(a2 - b2) <= 762
  AND CASE WHEN ss AND os THEN abs(a1 - b1) <= 5 WHEN NOT ss AND NOT os THEN abs(a1 - b1) <= 762 WHEN d1 = 'L' THEN e1 BETWEEN -5 AND 762 ELSE e1 BETWEEN -762 AND 5 END
@@ -95,7 +95,7 @@ _SEEDS = "SELECT mol_id AS id, node_class = 1 AS is_split, chrom1, chrom2, side1
 def j11(fx: Fixtures) -> DataFrame:
     m = fx.sql(_SEEDS)
     keys = m.withColumn("k", F.concat_ws(":", "chrom1", "chrom2", "side1", "side2"))
-    return j.seed_match(keys.where("id % 40 = 0"), keys, ["k"], 5, 762)
+    return j.seed_match(keys, keys, ["k"], 5, 762)
 
 
 @query("j12", """WITH m AS (SELECT DISTINCT user_id AS seg, event_id % 300 AS k FROM events), f AS (SELECT k, min(seg) AS id1 FROM m GROUP BY k)
@@ -104,12 +104,15 @@ def j12(fx: Fixtures) -> DataFrame:
     return j.shared_member_pairs(fx.table("events").select(c("user_id").alias("seg"), (c("event_id") % 300).alias("k")).distinct(), "seg", "k")
 
 
-@query("j13", """WITH s AS (SELECT chrom, bin_n, sum(n) FILTER (WHERE cell_id = 0)::BIGINT AS n0, sum(n) FILTER (WHERE cell_id = 1)::BIGINT AS n1 FROM fx_bin_counts GROUP BY ALL)
- SELECT g.chrom, g.bin_n, g.gc_fraction, s.n0 AS cell_0, s.n1 AS cell_1 FROM fx_genome_bins g LEFT JOIN s USING (chrom, bin_n)""")
+_CELL_COLUMNS = ", ".join(f"sum(n) FILTER (WHERE cell_id = {k})::BIGINT AS cell_{k}" for k in range(20))
+
+
+@query("j13", f"""WITH s AS (SELECT chrom, bin_n, {_CELL_COLUMNS} FROM fx_bin_counts GROUP BY ALL)
+ SELECT g.chrom, g.bin_n, g.gc_fraction, {", ".join(f"s.cell_{k}" for k in range(20))} FROM fx_genome_bins g LEFT JOIN s USING (chrom, bin_n)""")
 def j13(fx: Fixtures) -> DataFrame:
-    wide = fx.bin_counts.where("cell_id in (0, 1)").groupBy("chrom", "bin_n").pivot("cell_id", [0, 1]).sum("n")
-    wide = wide.withColumnsRenamed({"0": "cell_0", "1": "cell_1"})
-    return fx.genome_bins.join(wide, ["chrom", "bin_n"], "left").select("chrom", "bin_n", "gc_fraction", "cell_0", "cell_1")
+    cells = list(range(20))
+    wide = fx.bin_counts.groupBy("chrom", "bin_n").pivot("cell_id", cells).sum("n").withColumnsRenamed({str(k): f"cell_{k}" for k in cells})
+    return fx.genome_bins.join(wide, ["chrom", "bin_n"], "left").select("chrom", "bin_n", "gc_fraction", *(f"cell_{k}" for k in cells))
 
 
 @query("j14", """SELECT m.mol_id, b.gc_fraction FROM fx_molecules m ASOF LEFT JOIN fx_genome_bins b ON m.chrom1 = b.chrom AND m.pos1 <= b.start0""")
@@ -123,13 +126,13 @@ def j14(fx: Fixtures) -> DataFrame:
 def j15(fx: Fixtures) -> DataFrame:
     calls_ = fx.table("orders").groupBy(c("o_custkey").alias("sv_id")).agg(F.array_join(F.collect_set(F.concat(F.lit("S"), (c("o_orderkey") % 4).cast("string"))), ",").alias("samples"))
     samples = fx.spark.range(3).select(F.concat(F.lit("S"), c("id").cast("string")).alias("sample"), (c("id") * 10).alias("depth"))
-    return j.list_members(calls_, "samples", "sample").join(F.broadcast(samples), "sample").select("sv_id", "sample", "depth")
+    return j.list_members(calls_, "samples", "sample").join(samples, "sample").select("sv_id", "sample", "depth")
 
 
-@query("j16", """WITH n AS (SELECT sample, (mol_id % 9 - 4) AS mh, count(*) AS n FROM fx_molecules WHERE mol_id % 7 = 0 GROUP BY ALL), s AS (SELECT DISTINCT sample FROM fx_molecules)
+@query("j16", """WITH n AS (SELECT sample, (mol_id % 9 - 4) AS mh, count(*) AS n FROM fx_molecules GROUP BY ALL), s AS (SELECT DISTINCT sample FROM fx_molecules)
  SELECT s.sample, g.mh, coalesce(n.n, 0) AS n FROM s CROSS JOIN (SELECT unnest(range(-6, 7)) AS mh) g LEFT JOIN n ON n.sample = s.sample AND n.mh = g.mh""")
 def j16(fx: Fixtures) -> DataFrame:
-    n = fx.molecules.where("mol_id % 7 = 0").groupBy("sample", (c("mol_id") % 9 - 4).alias("mh")).agg(F.count("*").alias("n"))
+    n = fx.molecules.groupBy("sample", (c("mol_id") % 9 - 4).alias("mh")).agg(F.count("*").alias("n"))
     return j.complete_grid(n, {"sample": fx.molecules.select("sample"), "mh": fx.spark.range(-6, 7).select(c("id").alias("mh"))}, ["n"])
 
 
@@ -142,11 +145,11 @@ def j17(fx: Fixtures) -> DataFrame:
     return j.overlap_fraction(a, b, ["k", "s"]).select("id", F.round("overlap", 6).alias("overlap"))
 
 
-@query("j18", """SELECT coalesce(a.p, b.p, d.p) AS p, coalesce(x, 0) AS x, coalesce(y, 0) AS y, coalesce(z, 0) AS z FROM (SELECT pos1 % 50 AS p, count(*) AS x FROM fx_molecules WHERE mol_id % 11 = 0 GROUP BY 1) a
- FULL JOIN (SELECT pos1 % 60 AS p, count(*) AS y FROM fx_molecules WHERE mol_id % 13 = 0 GROUP BY 1) b ON a.p = b.p FULL JOIN (SELECT pos1 % 70 AS p, count(*) AS z FROM fx_molecules WHERE mol_id % 17 = 0 GROUP BY 1) d ON coalesce(a.p, b.p) = d.p""")
+@query("j18", """SELECT coalesce(a.p, b.p, d.p) AS p, coalesce(x, 0) AS x, coalesce(y, 0) AS y, coalesce(z, 0) AS z FROM (SELECT pos1 % 50 AS p, count(*) AS x FROM fx_molecules GROUP BY 1) a
+ FULL JOIN (SELECT pos2 % 60 AS p, count(*) AS y FROM fx_molecules GROUP BY 1) b ON a.p = b.p FULL JOIN (SELECT out_pos2 % 70 AS p, count(*) AS z FROM fx_molecules GROUP BY 1) d ON coalesce(a.p, b.p) = d.p""")
 def j18(fx: Fixtures) -> DataFrame:
-    one = lambda m, k, out: fx.molecules.where(f"mol_id % {k} = 0").groupBy((c("pos1") % m).alias("p")).agg(F.count("*").alias(out))
-    return j.full_outer_reduce([one(50, 11, "x"), one(60, 13, "y"), one(70, 17, "z")], ["p"])
+    one = lambda m, pos, out: fx.molecules.groupBy((c(pos) % m).alias("p")).agg(F.count("*").alias(out))
+    return j.full_outer_reduce([one(50, "pos1", "x"), one(60, "pos2", "y"), one(70, "out_pos2", "z")], ["p"])
 
 
 @query("j19", f"""{COMPARED_SQL}, g AS (SELECT pos // 10 AS sv_id, max(cmp) AS worst FROM compared GROUP BY 1)
@@ -156,10 +159,10 @@ def j19(fx: Fixtures) -> DataFrame:
     return fx.molecules.select(c("mol_id").alias("sv_id")).join(g, "sv_id").withColumn("is_reference", c("worst") >= 3)
 
 
-@query("j20", f"""WITH {HAPLOTYPES_SQL}, p AS (SELECT mol_id, chrom1 AS chrom, pos1 + o AS pos FROM fx_molecules, range(-2, 3) t(o) WHERE mol_id % 5 = 0)
+@query("j20", f"""WITH {HAPLOTYPES_SQL}, p AS (SELECT mol_id, chrom1 AS chrom, pos1 + o AS pos FROM fx_molecules, range(-2, 3) t(o))
  SELECT p.mol_id, p.chrom, p.pos, h.hap1, h.hap2 FROM p LEFT JOIN hap h USING (chrom, pos)""")
 def j20(fx: Fixtures) -> DataFrame:
-    p = fx.molecules.where("mol_id % 5 = 0").select("mol_id", c("chrom1").alias("chrom"), F.explode(F.sequence(c("pos1") - 2, c("pos1") + 2)).alias("pos"))
+    p = fx.molecules.select("mol_id", c("chrom1").alias("chrom"), F.explode(F.sequence(c("pos1") - 2, c("pos1") + 2)).alias("pos"))
     return p.join(haplotype_map(fx), ["chrom", "pos"], "left").select("mol_id", "chrom", "pos", "hap1", "hap2")
 
 
@@ -170,11 +173,11 @@ def j21(fx: Fixtures) -> DataFrame:
     return x.join(cn, ["chrom", "bin_n"], "left").select("sv_id", "cn1")
 
 
-@query("j22", """SELECT event_id AS read, 'r' || least(event_id // 2, event_id // 3) || ';r' || greatest(event_id // 2, event_id // 3) AS parent_ids FROM events WHERE event_id % 17 = 0
- AND event_id // 2 < 10 AND event_id > 6 ORDER BY 1""")
+@query("j22", """WITH k AS (SELECT event_id AS read, unnest([event_id // 2, event_id // 3]) AS parent FROM events), r AS (SELECT event_id AS parent, 'r' || event_id AS read_id FROM events)
+ SELECT k.read, coalesce(string_agg(r.read_id, ';' ORDER BY r.read_id), '') AS parent_ids FROM k LEFT JOIN r USING (parent) GROUP BY k.read""")
 def j22(fx: Fixtures) -> DataFrame:
     e = fx.table("events")
-    kids = e.where("event_id % 17 = 0 and event_id div 2 < 10 and event_id > 6").selectExpr("event_id as read", "concat(cast(event_id div 2 as string), ';', cast(event_id div 3 as string)) as parents")
+    kids = e.selectExpr("event_id as read", "concat(cast(event_id div 2 as string), ';', cast(event_id div 3 as string)) as parents")
     reads = e.selectExpr("cast(event_id as string) as read", "concat('r', cast(event_id as string)) as read_id")
     return j.duplex_parents(kids, reads)
 

@@ -135,7 +135,26 @@ def w16(fx: Fixtures) -> DataFrame:
     return o.expand_windows(w, 8).select("cell_id", "chrom", "window_n", "bin_n", F.round("n", 6).alias("n"))
 
 
-@query("w17")
+def viterbi_sql(source: str, k: int, persistence: float) -> str:
+    """Common table expressions to ``path``: the best states of ``cell_id, chrom, bin_n, e`` (list of k log densities)."""
+    import math
+
+    stay, move = math.log(persistence), math.log((1 - persistence) / max(1, k - 1))
+    to = [f"[{', '.join(f's[{j}] + {stay if i == j else move}::DOUBLE' for j in range(1, k + 1))}]" for i in range(1, k + 1)]
+    score = ", ".join(f"list_max({t}) + b.e[{i}]" for i, t in enumerate(to, 1))
+    back = ", ".join(f"list_position({t}, list_max({t}))" for t in to)
+    return f"""vb AS (SELECT *, row_number() OVER (PARTITION BY cell_id, chrom ORDER BY bin_n) AS i, count(*) OVER (PARTITION BY cell_id, chrom) AS n_rows FROM {source}),
+ vf(cell_id, chrom, bin_n, i, n_rows, s, back) AS (SELECT cell_id, chrom, bin_n, i, n_rows, e, NULL::BIGINT[] FROM vb WHERE i = 1
+ UNION ALL SELECT b.cell_id, b.chrom, b.bin_n, b.i, b.n_rows, [{score}], [{back}]::BIGINT[] FROM vf JOIN vb b ON b.cell_id = vf.cell_id AND b.chrom = vf.chrom AND b.i = vf.i + 1),
+ vp(cell_id, chrom, bin_n, i, back, st) AS (SELECT cell_id, chrom, bin_n, i, back, list_position(s, list_max(s))::BIGINT FROM vf WHERE i = n_rows
+ UNION ALL SELECT v.cell_id, v.chrom, v.bin_n, v.i, v.back, vp.back[vp.st] FROM vp JOIN vf v ON v.cell_id = vp.cell_id AND v.chrom = vp.chrom AND v.i = vp.i - 1),
+ path AS (SELECT vp.cell_id, vp.chrom, vp.bin_n, CASE WHEN vb.n_rows > 1 THEN (vp.st - 1)::INT END AS state FROM vp JOIN vb USING (cell_id, chrom, bin_n))"""
+
+
+_W17 = ", ".join(f"lgamma(n + 4.0) - lgamma(4.0) - lgamma(n + 1.0) + 4.0 * ln(4.0 / (4.0 + {max(0.05, 0.5 * k)})) + n * ln({max(0.05, 0.5 * k)} / (4.0 + {max(0.05, 0.5 * k)}))" for k in range(5))
+
+
+@query("w17", f"WITH RECURSIVE em AS (SELECT cell_id, chrom, bin_n, [{_W17}] AS e FROM fx_bin_counts), {viterbi_sql('em', 5, 0.99)} SELECT cell_id, chrom, bin_n, state FROM path")
 def w17(fx: Fixtures) -> DataFrame:
     """Copy-number paths of bin counts by negative-binomial emissions of five states."""
     n = c("n").cast("double")

@@ -79,9 +79,9 @@ def m6(fx: Fixtures) -> DataFrame:
 
 
 @query("m7", """WITH i AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY chrom * 1000 + bin_n) - 1 AS i FROM fx_bin_counts), w AS (SELECT cell_id, p AS power, i // (1 << p::INT) AS w, sum(n) AS n FROM i, range(0, 6) t(p) GROUP BY ALL),
- s AS (SELECT cell_id, power, avg(n) AS mean, avg((n = 0)::INT) AS z FROM w GROUP BY ALL) SELECT cell_id, coalesce(min(power) FILTER (WHERE mean >= 9 * (1 + cell_id % 3) AND z <= 0.1), 5)::INT AS power FROM s GROUP BY cell_id HAVING cell_id % 3 = 0""")
+ s AS (SELECT cell_id, power, avg(n) AS mean, avg((n = 0)::INT) AS z FROM w GROUP BY ALL) SELECT cell_id, coalesce(min(power) FILTER (WHERE mean >= 9 AND z <= 0.1), 5)::INT AS power FROM s GROUP BY cell_id""")
 def m7(fx: Fixtures) -> DataFrame:
-    x = fx.bin_counts.where("cell_id % 3 = 0").withColumn("o", c("chrom") * 1000 + c("bin_n"))
+    x = fx.bin_counts.withColumn("o", c("chrom") * 1000 + c("bin_n"))
     return m.window_power(x, ["cell_id"], "o", 5, 1.5, 1.5, 0.1)
 
 
@@ -132,11 +132,11 @@ def m12(fx: Fixtures) -> DataFrame:
     return model.transform(x).select("event_id", c("prediction").cast("int").alias("is_adapter"))
 
 
-@query("m13", f"""WITH x AS (SELECT node_class AS grp, mol_id, clip_len1 + clip_len2 AS v FROM fx_molecules WHERE mol_id % 10 = 0), b AS (SELECT grp, r, v, ('0x' || substr(md5('0|' || mol_id || '|' || r), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS u FROM x, range(1, 21) t(r)),
+@query("m13", f"""WITH x AS (SELECT node_class AS grp, mol_id, clip_len1 + clip_len2 AS v FROM fx_molecules), b AS (SELECT grp, r, v, ('0x' || substr(md5('0|' || mol_id || '|' || r), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS u FROM x, range(1, 21) t(r)),
  k AS (SELECT *, (u > 0.36787944117144233::DOUBLE)::INT + (u > 0.7357588823428847::DOUBLE)::INT + (u > 0.9196986029286058::DOUBLE)::INT + (u > 0.9810118431238462::DOUBLE)::INT AS k FROM b), s AS (SELECT grp, r, v, sum(k) AS k FROM k WHERE k > 0 GROUP BY ALL),
  w AS (SELECT *, sum(k) OVER (PARTITION BY grp, r ORDER BY v) AS c, sum(k) OVER (PARTITION BY grp, r) AS n FROM s), md AS (SELECT grp, r, min(v) AS v FROM w WHERE c * 2 >= n GROUP BY ALL) SELECT grp, quantile_cont(v, 0.025)::DOUBLE AS low, quantile_cont(v, 0.5)::DOUBLE AS median, quantile_cont(v, 0.975)::DOUBLE AS high FROM md GROUP BY grp""")
 def m13(fx: Fixtures) -> DataFrame:
-    x = fx.molecules.where("mol_id % 10 = 0").select(c("node_class").alias("grp"), "mol_id", (c("clip_len1") + c("clip_len2")).alias("v"))
+    x = fx.molecules.select(c("node_class").alias("grp"), "mol_id", (c("clip_len1") + c("clip_len2")).alias("v"))
     return m.bootstrap_median(x, "grp", "mol_id", "v", 20)
 
 

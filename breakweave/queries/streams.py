@@ -38,15 +38,16 @@ def x2(fx: Fixtures) -> DataFrame:
     return s.run_to_table(s.stream_gap_groups(events(fx)), "x2").select("user_id", text("first_ts"), text("end_ts"), "n")
 
 
-@query("x3", "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY ALL")
+@query("x3", "SELECT user_id, event_type, count(DISTINCT date_trunc('hour', ts)) AS n FROM events GROUP BY ALL")
 def x3(fx: Fixtures) -> DataFrame:
-    """Users and types, each once within the reach of a watermark that spans the table."""
-    out = s.run_to_table(s.stream_dedup_spans(events(fx), ["user_id", "event_type"], "36500 days"), "x3")
+    """Users and types, each once an hour."""
+    out = s.run_to_table(s.stream_dedup_spans(events(fx), ["user_id", "event_type"]), "x3")
     return out.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
-@query("x4", "SELECT event_type, user_id % 10 AS k, count(*) AS n FROM events GROUP BY ALL")
+@query("x4", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, user_id % 10 AS k, count(*) AS n FROM events GROUP BY ALL")
 def x4(fx: Fixtures) -> DataFrame:
-    """Counts by type and key, upserted."""
-    stream = events(fx).groupBy("event_type", (c("user_id") % 10).alias("k")).agg(F.count("*").alias("n"))
-    return s.run_with_upserts(stream, "x4", ["event_type", "k"])
+    """Counts by day, type and key, upserted."""
+    stream = s.stream_counts(events(fx).withColumn("k", c("user_id") % 10), ["event_type", "k"])
+    found = s.run_with_upserts(stream, "x4", ["window_start", "event_type", "k"])
+    return found.select(text("window_start"), "event_type", "k", "n")

@@ -1,5 +1,9 @@
 """Hand-worked cases, properties and plans of the core operators."""
 
+import math
+import os
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +14,7 @@ from breakweave.functions import sequences as sq
 from breakweave.functions.analysis import lgamma
 from breakweave.operators import graph, joins, models, ordered
 from breakweave.operators.aggregates import shared_proper_endpoints, independent_instances
+from breakweave.streaming import streams
 
 c = F.col
 
@@ -162,3 +167,189 @@ def test_empty_tables(spark):
     spans = spark.createDataFrame([], "chrom int, start0 long, end1 long")
     assert ordered.coverage_steps(spans).count() == 0
     assert graph.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# brute force
+
+
+def brute_paths(log_p, persistence):
+    """The best path of all, the first in order where several are best."""
+    import itertools
+    import math
+
+    n, k = len(log_p), len(log_p[0])
+    stay, move = math.log(persistence), math.log((1 - persistence) / max(1, k - 1))
+    score = lambda p: sum(log_p[i][s] for i, s in enumerate(p)) + sum(stay if a == b else move for a, b in zip(p, p[1:]))
+    return max(itertools.product(range(k), repeat=n), key=lambda p: (round(score(p), 9), [-x for x in reversed(p)]))
+
+
+def test_viterbi_matches_all_paths():
+    r = random.Random(1)
+    for _ in range(150):
+        n, k = r.randrange(2, 7), r.randrange(1, 5)
+        log_p = [[math.log(r.uniform(0.01, 1)) for _ in range(k)] for _ in range(n)]
+        p = r.choice([0.4, 0.7, 0.95])
+        assert tuple(ordered.viterbi(np.array(log_p), p)) == brute_paths(log_p, p)
+
+
+def test_viterbi_query_on_hand_cases(spark):
+    likely = lambda s: [0.0 if i == s else -9.0 for i in range(3)]
+    rows = [("a", i, likely(s), None) for i, s in enumerate([0, 0, 2, 2, 2])]
+    rows += [("b", i, e, None) for i, e in enumerate([likely(1), None, likely(1)])]
+    rows += [("c", 0, likely(1), None)]
+    rows += [("d", i, likely(0), f) for i, f in enumerate([None, 2, None])]
+    df = spark.createDataFrame(rows, "cell string, bin int, e array<double>, f int")
+    found = {(x.cell, x.bin): x.state for x in ordered.viterbi_cn(df, ["cell"], "bin", "e", 0.9, "f").collect()}
+    assert [found["a", i] for i in range(5)] == [0, 0, 2, 2, 2] and [found["b", i] for i in range(3)] == [1, 1, 1]
+    assert found["c", 0] is None and [found["d", i] for i in range(3)] == [0, 2, 0]
+
+
+def plain_seeds(types, purge, tlen):
+    """Seeding by its definition, type by type."""
+
+    def node(s, x, k):
+        a, b, side = s[f"pos{k}"], x[f"pos{k}"], s[f"side{k}"]
+        if s["is_split"] and x["is_split"]:
+            return abs(a - b) <= purge
+        if not s["is_split"] and not x["is_split"]:
+            return abs(a - b) <= tlen
+        d = a - b if s["is_split"] else b - a
+        return -purge <= d <= tlen if side == "L" else -tlen <= d <= purge
+
+    def match(s, x):
+        total = abs(s["pos1"] - x["pos1"]) + abs(s["pos2"] - x["pos2"])
+        return (s["is_split"] or not x["is_split"]) and node(s, x, 1) and node(s, x, 2) and total <= tlen
+
+    order = sorted(range(len(types)), key=lambda i: (not types[i]["is_split"], -types[i]["n"], -types[i]["mapq"], types[i]["pos1"], types[i]["pos2"]))
+    left, groups = set(order), []
+    for s in order:
+        if s in left:
+            hit = {i for i in order if i == s or match(types[s], types[i])}
+            left -= hit
+            shared = [g for g in groups if any(types[i]["is_split"] for i in g & hit)]
+            groups = [g for g in groups if g not in shared] + [hit.union(*shared)]
+    return sorted((i, k) for k, g in enumerate(groups, 1) for i in g)
+
+
+def test_seeding_matches_its_definition():
+    import pandas as pd
+
+    r = random.Random(2)
+    for _ in range(200):
+        span = r.choice([20, 200, 2000])
+        sides = r.choice("LR"), r.choice("LR")
+        keys = {(r.random() < 0.5, r.randrange(span), r.randrange(span)) for _ in range(r.randrange(1, 25))}
+        types = [dict(is_split=s, side1=sides[0], pos1=a, side2=sides[1], pos2=b, n=r.randrange(1, 4), mapq=r.randrange(3)) for s, a, b in sorted(keys)]
+        assert graph.seed_group(pd.DataFrame(types), 5, 150) == plain_seeds(types, 5, 150)
+
+
+def test_networks_match_their_definition(spark):
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    r = random.Random(3)
+    rows = [(k, q, r.randrange(1, 9)) for k in (1, 2) for q in {"".join(r.choices("AC", k=r.randrange(4, 7))) for _ in range(30)}]
+    found = {(x.key, x.seq): (x.parent, x.distance) for x in graph.parent_networks(spark.createDataFrame(rows, "key int, seq string, n int"), "key", 1).collect()}
+    for key in (1, 2):
+        mine = sorted(((n, q) for k, q, n in rows if k == key), reverse=True)
+        parents = []
+        for n, q in mine:
+            near = [(edits(q, p), -m, p) for m, p in parents if edits(q, p) <= 1]
+            if near:
+                assert found[key, q] == (min(near)[2], min(near)[0]), q
+            else:
+                parents.append((n, q))
+                assert found[key, q] == (q, 0)
+    assert len(found) == len(rows)
+
+
+def test_adapters_match_a_plain_regression(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(4)
+    rows = []
+    for i in range(400):
+        y = i % 2
+        rows.append((i, float(y), r.gauss(2.0 * y, 1), r.gauss(-y, 1), r.gauss(0, 1)))
+    df = spark.createDataFrame(rows, "id int, label double, a double, b double, c double")
+    model = models.adapter_classifier(df, ["a", "b", "c"], "label", max_iter=100)
+    got = dict(model.transform(df).select("id", F.col("prediction").cast("int")).collect())
+    x = np.array([r[2:] for r in rows])
+    y = np.array([r[1] for r in rows])
+    x = np.column_stack([(x - x.mean(axis=0)) / x.std(axis=0, ddof=1), np.ones(len(x))])
+    w, ridge = np.zeros(4), 0.001 * len(y) * np.diag([1.0, 1, 1, 0])
+    for _ in range(50):  # Newton steps of the same penalised likelihood
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (p - y) + ridge @ w)
+    margin = x @ w
+    assert all(got[i] == int(m > 0) for i, m in enumerate(margin) if abs(m) > 0.02)
+    assert np.mean([got[i] == y[i] for i in range(len(y))]) > 0.8
+
+
+def test_left_interval_join_keeps_rows(spark):
+    left = [(1, 0, 40_000), (1, 5, 5), (1, 100, 200), (1, 100, 200), (2, 0, 10), (None, 0, 10), (1, None, 3)]
+    right = [(1, 150, 160, "a"), (1, 39_999, 50_000, "b"), (1, 155, 155, "c")]
+    a = spark.createDataFrame(left, "chrom int, start0 int, end1 int")
+    b = spark.createDataFrame(right, "chrom int, start0 int, end1 int, name string")
+    hits = lambda x: [r[3] for r in right if x[0] == r[0] and None not in x and x[1] < x[2] and r[1] < r[2] and x[1] < r[2] and x[2] > r[1]]
+    rows = lambda how: sorted((tuple(r)[:3] + ((r.name,) if how == "left" else ()) for r in joins.interval_join(a, b, how=how).collect()), key=str)
+    assert rows("left") == sorted((x + (n,) for x in left for n in hits(x) or [None]), key=str)
+    assert rows("left_semi") == sorted((x for x in left if hits(x)), key=str)
+    assert rows("left_anti") == sorted((x for x in left if not hits(x)), key=str)
+
+
+def test_depth_integral_matches_positions(spark):
+    r = random.Random(5)
+    spans = [(c, a, a + r.randrange(1, 300)) for c in (1, 2) for a in (r.randrange(0, 2000) for _ in range(80))]
+    points = [(c, p) for c in (1, 2, 3) for p in range(0, 2500, 37)]
+    found = ordered.depth_integral(
+        spark.createDataFrame(points, "chrom int, pos long"), spark.createDataFrame(spans, "chrom int, start0 long, end1 long"), size=256
+    ).collect()
+    assert {(x.chrom, x.pos): x.area for x in found} == {(c, p): sum(max(0, min(p, z) - a) for k, a, z in spans if k == c) for c, p in points}
+    df = spark.createDataFrame([(1, 3), (1, 90), (1, 1000), (2, 5)], "chrom int, pos long")
+    assert {(x.chrom, x.pos): x.n for x in ordered.next_position(df, "chrom", "pos", "n", 64).collect()} == {(1, 3): 90, (1, 90): 1000, (1, 1000): None, (2, 5): None}
+
+
+def test_components_of_long_paths_and_stars(spark):
+    r = random.Random(6)
+    edges = [(i, i + 1) for i in range(0, 600)] + [(1000, 1001 + i) for i in range(300)] + [(5000 + i, 5000 + r.randrange(200)) for i in range(200)]
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    found = {x.node: x.component for x in graph.connected_components(spark.createDataFrame(edges, "a long, b int")).collect()}
+    assert found == {x: find(x) for x in list(root)}
+
+
+def test_upserts_are_compacted(spark, tmp_path):
+    write = streams.upsert_counts(f"file://{tmp_path}/t", ["k"], every=3)
+    for i in range(8):
+        write(spark.createDataFrame([(i % 2, i), (7, 10 * i)], "k int, n long"), i)
+    write(spark.createDataFrame([(1, 7), (7, 70)], "k int, n long"), 7)  # a batch that is repeated
+    assert {r.k: r.n for r in streams.latest(spark, f"file://{tmp_path}/t", ["k"]).collect()} == {0: 6, 1: 7, 7: 70}
+    assert sorted(p.name for p in (tmp_path / "t").iterdir() if p.is_dir()) == ["all-2", "all-5", "batch-0", "batch-1", "batch-3", "batch-4", "batch-6", "batch-7"]
+
+
+def test_scratch_tables_go_with_their_scope(spark):
+    from breakweave.plans.scratch import materialize, scratch_tables
+
+    with scratch_tables(spark):
+        with scratch_tables(spark):
+            inner = materialize(spark.range(3), "test-inner").inputFiles()
+            kept = materialize(spark.range(4), "test-kept", result=True)
+        assert kept.count() == 4 and not any(os.path.exists(f.removeprefix("file://")) for f in inner)
+        files = kept.inputFiles()
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in files)
