@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import materialize
+from .common import materialize, scratch_tables
 
 #: A shorter line (trimmed) never makes documents overlap, nor is it deleted alone.
 MIN_CHARS = 20
@@ -192,7 +192,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with those of smaller ids. Input columns named like the added ones are replaced.
     """
     docs = docs.drop("n_lines", "n_removed", "removed")
-    plans = materialize(deletions(docs, id_col, text_col, rare), "dedup-plans")
+    with scratch_tables(docs.sparkSession):
+        plans = materialize(deletions(docs, id_col, text_col, rare), "dedup-plans", result=True)
     plans = plans.withColumnsRenamed({"id": "__id", "t": "__t", "whole": "__whole", "lines": "__lines"})
     same = (F.col(id_col).cast("long") == F.col("__id")) & (F.xxhash64(text_col) == F.col("__t"))
     # the same plan at every size: beyond a small corpus the plans are too many to broadcast

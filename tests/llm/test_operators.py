@@ -6,6 +6,7 @@ import os
 import random
 import re
 import struct
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -420,6 +421,94 @@ def test_quality(spark):
     assert quality.train(df.limit(0), labels).sum() == 0
 
 
+def small_documents(spark):
+    path = "/root/testdata/sf0.001"
+    if not os.path.exists(f"{path}/documents.parquet"):
+        pytest.skip("no test data here")
+    return path, [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{path}/documents.parquet").collect()]
+
+
+def test_language_query_matches_a_loop_over_trigrams(spark):
+    path, rows = small_documents(spark)
+    letters = {}
+
+    def letter(c):
+        if c not in letters:
+            draw = np.random.Generator(np.random.Philox(key=ord(c) if c else 0)).integers(0, 2, langid.DIMENSIONS)
+            letters[c] = 2.0 * draw - 1
+        return letters[c]
+
+    def vector(text):
+        total = np.zeros(langid.DIMENSIONS)
+        word = []
+        for ch in (text or "").lower() + " ":
+            if unicodedata.category(ch)[0] == "L":
+                word.append(ch)
+                continue
+            padded = ["", *word, ""] if word else []
+            for a, b, c in zip(padded, padded[1:], padded[2:]):
+                total += np.roll(letter(a), 2) * np.roll(letter(b), 1) * letter(c)
+            word = []
+        return total
+
+    unit = lambda v: v / np.linalg.norm(v) if np.linalg.norm(v) else v
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    vectors = {i: unit(vector(t)) for i, t, _ in rows}
+    langs = sorted({x for i, t, x in rows if x is not None and t is not None and not held(i)})
+    sums = np.array([unit(sum(vectors[i] for i, t, x in rows if x == k and t is not None and not held(i))) for k in langs])
+    prototypes = np.array([unit(v) for v in sums - sums.mean(axis=0)])
+    found = queries.op6_hyperdimensional_language(spark, path).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        v = vectors[r.doc_id]
+        assert r.held_out == held(r.doc_id)
+        if not v.any():
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        cosine = prototypes @ v
+        assert abs(r.score - np.clip(cosine.max(), 0, 1)) < 1e-3
+        assert cosine[langs.index(r.lang_pred)] > cosine.max() - 1e-3
+
+
+def test_quality_query_matches_a_plain_loop(spark):
+    import pyarrow as pa
+
+    path, rows = small_documents(spark)
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{path}/labels.parquet").collect() if r.quality is not None}
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    grams = dict(zip([i for i, *_ in rows], quality.features(pa.array([t for _, t, _ in rows], pa.string()))))
+    known = [(i, t, labels[i]) for i, t, _ in rows if i in labels and not held(i)]
+    known.sort(key=lambda x: quality._hash(f"{x[0]}|{x[1]}"))
+    assert known and len(labels) < quality.ROWS_PER_TRAINER * 2
+    z, n = {}, {}
+
+    def weight(k):
+        if abs(z.get(k, 0.0)) <= quality.L1:
+            return 0.0
+        return -(z[k] - math.copysign(quality.L1, z[k])) / ((quality.BETA + math.sqrt(n[k])) / quality.ALPHA + quality.L2)
+
+    def score(i):
+        at, x = grams[i]
+        return 1 / (1 + math.exp(-sum(weight(k) * v for k, v in zip([*at.tolist(), "bias"], [*x.tolist(), 1.0]))))
+
+    for _ in range(quality.EPOCHS):
+        for i, _, y in known:
+            at, x = grams[i]
+            terms = list(zip([*at.tolist(), "bias"], [*x.tolist(), 1.0]))
+            before = {k: weight(k) for k, _ in terms}
+            g0 = score(i) - y
+            for k, v in terms:
+                g = g0 * v
+                sigma = (math.sqrt(n.get(k, 0.0) + g * g) - math.sqrt(n.get(k, 0.0))) / quality.ALPHA
+                z[k] = z.get(k, 0.0) + g - sigma * before[k]
+                n[k] = n.get(k, 0.0) + g * g
+    found = queries.op9_quality(spark, path).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        assert r.held_out == held(r.doc_id) and abs(r.score - score(r.doc_id)) < 1e-3
+        assert r.predicted == int(r.score >= 0.5)
+
+
 # decontamination
 
 
