@@ -12,7 +12,7 @@ from itertools import accumulate
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, ByteType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, ByteType, IntegerType, LongType, StringType, StructField, StructType
 
 from .common import materialize
 
@@ -350,13 +350,14 @@ def page_key(url_col: str, html_col: str) -> F.Column:
 
 
 def parsed_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``pages`` without its html, with ``__key, __host``, the blocks (``__text, __level``) and the subtrees
-    that can be templates (``__subtree, __first, __end``) of each: pages are parsed once."""
+    """``pages`` without its html, with ``__key, __host``, the blocks (``__text, __size``: a compressed line
+    each, ``__level``) and the subtrees that can be templates (``__subtree, __first, __end``) of each:
+    pages are parsed once."""
     kept = [f for f in pages.schema.fields if f.name != html_col]
-    lists = {"__text": pa.list_(pa.string()), "__level": pa.list_(pa.int8()), "__subtree": pa.list_(pa.int64()), "__first": pa.list_(pa.int32()), "__end": pa.list_(pa.int32())}
-    kinds = {"__text": StringType(), "__level": ByteType(), "__subtree": LongType(), "__first": IntegerType(), "__end": IntegerType()}
-    schema = StructType([*kept, StructField("__key", LongType()), StructField("__host", StringType())])
-    schema = StructType([*schema.fields, *(StructField(n, ArrayType(k)) for n, k in kinds.items())])
+    kinds = [pa.binary(), pa.int64(), *(pa.list_(k) for k in (pa.int8(), pa.int64(), pa.int32(), pa.int32()))]
+    lists = {"__level": ByteType(), "__subtree": LongType(), "__first": IntegerType(), "__end": IntegerType()}
+    schema = StructType([*kept, StructField("__key", LongType()), StructField("__host", StringType()), StructField("__text", BinaryType())])
+    schema = StructType([*schema.fields, StructField("__size", LongType()), *(StructField(n, ArrayType(k)) for n, k in lists.items())])
     rows = pages.select(*(F.col(f.name) for f in kept), page_key(url_col, html_col).alias("__key"), host_of(url_col).alias("__host"), F.col(html_col).alias("__html"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,9 +365,10 @@ def parsed_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html")
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 found = [parse(h or "") for h in part.column(part.num_columns - 1).to_pylist()]
-                columns = [[[t for t, _ in p.blocks] for p in found], [[level for _, level in p.blocks] for p in found]]
-                columns += [[[n[k] for n in p.nodes] for p in found] for k in range(3)]
-                arrays = [pa.array(c, k) for c, k in zip(columns, lists.values())]
+                texts = ["\n".join(t for t, _ in p.blocks).encode("utf-8", "replace") for p in found]  # no block holds a newline
+                columns = [[pa.compress(t, "zstd", asbytes=True) for t in texts], [len(t) for t in texts]]
+                columns += [[[level for _, level in p.blocks] for p in found], *([[n[k] for n in p.nodes] for p in found] for k in range(3))]
+                arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *arrays], schema.names)
 
     return rows.mapInArrow(apply, schema)
@@ -413,9 +415,12 @@ def extract_text(
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 columns = [c.to_pylist() for c in part.columns[len(kept) :]]
-                texts = [main_text(t, level, list(zip(h, a, z)), set(gone or ())) for t, level, h, a, z, gone in zip(*columns)]
+                texts = []
+                for t, size, level, h, a, z, gone in zip(*columns):
+                    lines = pa.decompress(t, size, "zstd", asbytes=True).decode().split("\n") if level else []
+                    texts.append(main_text(lines, level, list(zip(h, a, z)), set(gone or ())))
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[: len(kept)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema.names
                 )
 
-    return joined.select(*(f.name for f in kept), "__text", "__level", "__subtree", "__first", "__end", "__gone").mapInArrow(apply, schema)
+    return joined.select(*(f.name for f in kept), "__text", "__size", "__level", "__subtree", "__first", "__end", "__gone").mapInArrow(apply, schema)
