@@ -49,8 +49,8 @@ def _contracted(edges: DataFrame, max_rounds: int) -> DataFrame:
         left = materialize(in_order(ends).distinct(), "cc-edges")
     else:
         raise RuntimeError("components did not settle")
-    labels = materialize(labels, "cc-labels")
-    low = labels.groupBy("component").agg(F.min("node").alias("low"))
+    # a table of its own: the join on a component that very many nodes have can then be split
+    low = materialize(labels.groupBy("component").agg(F.min("node").alias("low")), "cc-low")
     return labels.join(low, "component").select("node", F.col("low").alias("component"))
 
 

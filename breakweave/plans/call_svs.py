@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.junctions import junction_type
+from ..functions.junctions import breakend_fields, junction_structure, junction_type
 from ..operators.aggregates import characterize_sv
 from ..operators.filters import sv_evidence, sv_size
 from ..operators.graph import parse_continuity_groups, purge_duplicates
@@ -76,11 +76,23 @@ def call_svs(
     more += [F.count_if(F.col("sample") == s).alias(f"n_{s}") for s in samples]
     calls = characterize_sv(scored, "sv_id", ["node_class", "ref_clip", "ref_tie"], more, ["clip_len1", "clip_len2"])
     if clips is None:
-        return calls.drop("clip_len1", "clip_len2").withColumn("n_clips", F.lit(0).cast("long"))
+        return calls.withColumnsRenamed({"clip_len1": "ref_clip1", "clip_len2": "ref_clip2"}).withColumn("n_clips", F.lit(0).cast("long"))
     calls = materialize(calls, "sv-calls")
     ends = F.array(*(F.struct(F.lit(k).alias("node_n"), node_name(k).alias("node"), node_name(3 - k).alias("other_node"), F.col(f"clip_len{k}").alias("clip")) for k in (1, 2)))
     references = calls.select("sv_id", F.explode(ends).alias("e")).select("sv_id", "e.*").where("clip > 0").drop("clip")
     found = outer_clip_evidence(clips, references).select("sv_id", "mol_id").distinct()
     found = found.join(unique.select("sv_id", "mol_id"), ["sv_id", "mol_id"], "left_anti").groupBy("sv_id").agg(F.count("*").alias("n_clips"))
-    out = calls.drop("clip_len1", "clip_len2").join(found, "sv_id", "left")
+    out = calls.withColumnsRenamed({"clip_len1": "ref_clip1", "clip_len2": "ref_clip2"}).join(found, "sv_id", "left")
     return out.withColumn("n_clips", F.coalesce("n_clips", F.lit(0)))
+
+
+def call_breakends(calls: DataFrame, sequences: DataFrame) -> DataFrame:
+    """Breakend records of calls (see :func:`breakend_fields`), for ``write_vcf_rows``.
+
+    ``sequences``: mol_id, seq, len1, merge_len, ref1, ref2 of the reference molecules: the read across the
+    junction, the bases of its first part, the overlap of a merged pair (0 where one read crosses it), and
+    the reference bases at the two ends. Calls whose reference molecule has none are left out.
+    """
+    x = calls.join(sequences.withColumnRenamed("mol_id", "ref_mol_id"), "ref_mol_id")
+    found = junction_structure(F.col("seq"), F.col("len1"), F.col("ref_clip1"), F.col("ref_clip2"), F.col("merge_len"))
+    return breakend_fields(x.withColumns({"microhomology": found["microhomology"], "bases": found["bases"]}))
