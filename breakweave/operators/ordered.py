@@ -14,18 +14,23 @@ from ..functions.reads import ADVANCE_QUERY, ADVANCE_REF
 SWEEP = 65_536
 
 
-def prefix_sum(df: DataFrame, key: str, pos: str, value: str, out: str, size: int = SWEEP) -> DataFrame:
+def _listed(key: str | list[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def prefix_sum(df: DataFrame, key: str | list[str], pos: str, value: str, out: str, size: int = SWEEP) -> DataFrame:
     """Running sum of ``value`` over ``pos`` within ``key``, in two levels.
 
     Rows are summed within buckets of positions, and the buckets' totals among each other: a whole
     chromosome never is one task. ``pos`` is unique in its key.
     """
+    keys = _listed(key)
     x = df.withColumn("__b", F.floor(F.col(pos) / size))
-    totals = x.groupBy(key, "__b").agg(F.sum(value).alias("__t"))
-    before = Window.partitionBy(key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(key, "__b", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy(key, "__b").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    return x.join(totals, [key, "__b"]).withColumn(out, F.col("__before") + F.sum(value).over(inside)).drop("__b", "__before")
+    totals = x.groupBy(*keys, "__b").agg(F.sum(value).alias("__t"))
+    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*keys, "__b", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy(*keys, "__b").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    return x.join(totals, [*keys, "__b"]).withColumn(out, F.col("__before") + F.sum(value).over(inside)).drop("__b", "__before")
 
 
 def coverage_breaks(spans: DataFrame, key: str = "chrom", start: str = "start0", end: str = "end1", weight: str | None = None) -> DataFrame:
@@ -110,24 +115,46 @@ def pair_nodes(nodes: DataFrame, keys: list[str]) -> DataFrame:
     return one.join(two, keys)
 
 
-def gap_group(df: DataFrame, keys: list[str], pos: str, limit: int, out: str, tie: str) -> DataFrame:
-    """``out``: number (from 0) of the run of positions, within the keys, whose gaps are at most ``limit``."""
-    w = Window.partitionBy(*keys).orderBy(pos, tie)
-    gap = (F.col(pos) - F.lag(pos).over(w) > limit).cast("int")
-    return df.withColumn("__g", F.coalesce(gap, F.lit(0))).withColumn(out, F.sum("__g").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__g")
+def _runs(places: DataFrame, keys: list[str], pos: str, limit: int, out: str) -> DataFrame:
+    """``keys, pos, out`` of distinct places: the number (from 0) of the run each is in."""
+    w = Window.partitionBy(*keys).orderBy(pos)
+    gap = F.coalesce((F.col(pos) - F.lag(pos).over(w) > limit).cast("int"), F.lit(0))
+    x = places.select(*keys, pos).dropna().distinct().withColumn("__gap", gap)
+    return x.withColumn(out, F.sum("__gap").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__gap")
+
+
+def gap_group(df: DataFrame, keys: list[str], pos: str, limit: int, out: str) -> DataFrame:
+    """``out``: number (from 0) of the run of positions, within the keys, whose gaps are at most ``limit``.
+
+    Rows at one place are in one run, so runs are numbered on distinct places: a task's window is bounded
+    by the length of a chromosome, however many rows there are. A null key or position has no run.
+    """
+    return df.join(_runs(df, keys, pos, limit, out), [*keys, pos], "left").select(*df.columns, out)
+
+
+def _runs_2d(places: DataFrame, keys: list[str], pos1: str, pos2: str, limit: int) -> DataFrame:
+    """``places`` (distinct by keys and positions) with ``group1, group2``, as a table."""
+    from ..plans.scratch import materialize
+
+    placed = places.join(_runs(places, keys, pos1, limit, "group1"), [*keys, pos1])
+    placed = materialize(placed, "runs")
+    return materialize(placed.join(_runs(placed, [*keys, "group1"], pos2, limit, "group2"), [*keys, "group1", pos2]), "runs-2d")
 
 
-def gap_group_2d(df: DataFrame, keys: list[str], pos1: str, pos2: str, limit: int, tie: str) -> DataFrame:
+def gap_group_2d(df: DataFrame, keys: list[str], pos1: str, pos2: str, limit: int) -> DataFrame:
     """``group1, group2``: runs by the first position, and by the second one inside them."""
-    return gap_group(gap_group(df, keys, pos1, limit, "group1", tie), [*keys, "group1"], pos2, limit, "group2", tie)
+    placed = _runs_2d(df.select(*keys, pos1, pos2).distinct(), keys, pos1, pos2, limit)
+    return df.join(placed, [*keys, pos1, pos2], "left").select(*df.columns, "group1", "group2")
 
 
-def continuity_groups(df: DataFrame, keys: list[str], limit: int, min_coverage: int, tie: str) -> DataFrame:
+def continuity_groups(df: DataFrame, keys: list[str], limit: int, min_coverage: int) -> DataFrame:
     """Molecules of junctions whose two positions continue within ``limit``; ``group_id`` is dense over
     the groups of at least ``min_coverage`` molecules, in the order of keys and groups."""
-    x = gap_group_2d(df, keys, "pos1", "pos2", limit, tie)
-    ids = x.groupBy(*keys, "group1", "group2").agg(F.count("*").alias("n")).where(F.col("n") >= min_coverage)
-    return x.join(dense_ids(ids, [*keys, "group1", "group2"], "group_id").drop("n"), [*keys, "group1", "group2"])
+    group = [*keys, "group1", "group2"]
+    placed = _runs_2d(df.groupBy(*keys, "pos1", "pos2").agg(F.count("*").alias("__n")), keys, "pos1", "pos2", limit)
+    ids = placed.groupBy(*group).agg(F.sum("__n").alias("__n")).where(F.col("__n") >= min_coverage)
+    numbered = placed.drop("__n").join(dense_ids(ids.drop("__n"), group, "group_id"), group)
+    return df.join(numbered, [*keys, "pos1", "pos2"]).select(*df.columns, "group1", "group2", "group_id")
 
 
 def dense_ids(df: DataFrame, order: list, out: str) -> DataFrame:

@@ -33,7 +33,8 @@ def sv_molecules(
     """
     kind = junction_type(*[F.col(c) for c in ("chrom1", "side1", "pos1", "chrom2", "side2", "pos2", "node_class")], max_tlen, read_len)
     typed = sv_size(molecules.withColumn("jxn_type", kind).where("jxn_type <> 'P'"), min_size)
-    grouped = sv_evidence(continuity_groups(typed, KEYS, max_tlen, min_coverage, "mol_id"), "group_id", min_coverage, min_mapq_both, min_mapq_one)
+    grouped = materialize(continuity_groups(typed, KEYS, max_tlen, min_coverage), "sv-grouped")
+    grouped = sv_evidence(grouped, "group_id", min_coverage, min_mapq_both, min_mapq_one)
     parsed = parse_continuity_groups(grouped.withColumn("is_split", F.col("node_class") == 1), "group_id", purge, max_tlen)
     parsed = materialize(parsed, "sv-parsed")
     ids = dense_ids(parsed.select("group_id", "sv_n").distinct(), ["group_id", "sv_n"], "sv_id")

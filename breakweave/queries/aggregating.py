@@ -150,7 +150,7 @@ CHARACTERIZED_SQL = f"""{GROUPS_SQL}, q AS (SELECT g.*, t.jxn_type FROM groups g
 
 
 def grouped(fx: Fixtures) -> DataFrame:
-    return o.continuity_groups(typed(fx), ["chrom1", "chrom2", "side1", "side2"], 762, 3, "mol_id")
+    return o.continuity_groups(typed(fx), ["chrom1", "chrom2", "side1", "side2"], 762, 3)
 
 
 @query("g16", f"WITH {CHARACTERIZED_SQL}")

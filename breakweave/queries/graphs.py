@@ -77,7 +77,7 @@ def grouped_sql(source: str) -> str:
 @query("c3", f"WITH RECURSIVE {grouped_sql('fx_molecules')}, {seeded_sql('groups')} SELECT g.mol_id, g.group_id, amb.sv_n, amb.is_ambiguous FROM groups g JOIN amb ON {SAME_TYPE}")
 def c3(fx: Fixtures) -> DataFrame:
     """Junction molecules of continuity groups assigned to SVs by greedy seeding."""
-    x = continuity_groups(fx.molecules, ["chrom1", "chrom2", "side1", "side2"], 762, 1, "mol_id")
+    x = continuity_groups(fx.molecules, ["chrom1", "chrom2", "side1", "side2"], 762, 1)
     x = x.withColumn("is_split", c("node_class") == 1)
     return g.parse_continuity_groups(x, "group_id").select("mol_id", "group_id", "sv_n", "is_ambiguous")
 

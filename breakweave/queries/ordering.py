@@ -54,7 +54,7 @@ def w5(fx: Fixtures) -> DataFrame:
 
 @query("w6", """SELECT mol_id, (sum(g) OVER (PARTITION BY sample, chrom1 ORDER BY pos1, mol_id))::BIGINT AS group_n FROM (SELECT *, coalesce((pos1 - lag(pos1) OVER (PARTITION BY sample, chrom1 ORDER BY pos1, mol_id) > 1)::INT, 0) AS g FROM fx_molecules)""")
 def w6(fx: Fixtures) -> DataFrame:
-    return o.gap_group(fx.molecules, ["sample", "chrom1"], "pos1", 1, "group_n", "mol_id").select("mol_id", "group_n")
+    return o.gap_group(fx.molecules, ["sample", "chrom1"], "pos1", 1, "group_n").select("mol_id", "group_n")
 
 
 def _two(keys: str, limit: int) -> str:
@@ -64,7 +64,7 @@ def _two(keys: str, limit: int) -> str:
 
 @query("w7", f"WITH {_two('sample, chrom1, chrom2', 1)} SELECT mol_id, group1::BIGINT AS group1, group2::BIGINT AS group2 FROM g2")
 def w7(fx: Fixtures) -> DataFrame:
-    return o.gap_group_2d(fx.molecules, ["sample", "chrom1", "chrom2"], "pos1", "pos2", 1, "mol_id").select("mol_id", "group1", "group2")
+    return o.gap_group_2d(fx.molecules, ["sample", "chrom1", "chrom2"], "pos1", "pos2", 1).select("mol_id", "group1", "group2")
 
 
 GROUPS_SQL = f"""{_two('chrom1, chrom2, side1, side2', 762)}, n AS (SELECT chrom1, chrom2, side1, side2, group1, group2 FROM g2 GROUP BY ALL HAVING count(*) >= 3),
@@ -73,7 +73,7 @@ GROUPS_SQL = f"""{_two('chrom1, chrom2, side1, side2', 762)}, n AS (SELECT chrom
 
 @query("w8", f"WITH {GROUPS_SQL} SELECT mol_id, group_id FROM groups")
 def w8(fx: Fixtures) -> DataFrame:
-    return o.continuity_groups(fx.molecules, ["chrom1", "chrom2", "side1", "side2"], 762, 3, "mol_id").select("mol_id", "group_id")
+    return o.continuity_groups(fx.molecules, ["chrom1", "chrom2", "side1", "side2"], 762, 3).select("mol_id", "group_id")
 
 
 @query("w9", """SELECT qname, k AS jxn_n, chrom AS chrom1, pos AS pos1, chrom2, pos2 FROM (SELECT *, row_number() OVER w AS k, lead(chrom) OVER w AS chrom2, lead(pos) OVER w AS pos2 FROM fx_alignments WINDOW w AS (PARTITION BY qname ORDER BY split_part(cigar, 'S', 1)::INT, aln_n)) WHERE pos2 IS NOT NULL""")
@@ -117,7 +117,7 @@ def w13(fx: Fixtures) -> DataFrame:
 
 @query("w14", f"WITH {GROUPS_SQL} SELECT group_id, mol_id FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY node_class DESC, mapq1 + mapq2 DESC, mol_id) AS k FROM groups) WHERE k = 1")
 def w14(fx: Fixtures) -> DataFrame:
-    x = o.continuity_groups(fx.molecules, ["chrom1", "chrom2", "side1", "side2"], 762, 3, "mol_id")
+    x = o.continuity_groups(fx.molecules, ["chrom1", "chrom2", "side1", "side2"], 762, 3)
     return o.first_in_group(x, ["group_id"], [F.desc("node_class"), F.desc(c("mapq1") + c("mapq2")), "mol_id"]).select("group_id", "mol_id")
 
 

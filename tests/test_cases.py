@@ -25,12 +25,12 @@ def values(df, *columns):
 
 def test_gap_groups_chain_within_the_limit(spark):
     df = spark.createDataFrame([("k", 10, 1), ("k", 11, 2), ("k", 13, 3)], "k string, pos long, id long")
-    assert values(ordered.gap_group(df, ["k"], "pos", 1, "g", "id"), "pos", "g") == [(10, 0), (11, 0), (13, 1)]
+    assert values(ordered.gap_group(df, ["k"], "pos", 1, "g"), "pos", "g") == [(10, 0), (11, 0), (13, 1)]
 
 
 def test_continuity_groups_at_fragment_size(spark):
     df = spark.createDataFrame([("k", 100, 5, 1), ("k", 800, 5, 2), ("k", 1600, 5, 3)], "k string, pos1 long, pos2 long, mol_id long")
-    assert values(ordered.continuity_groups(df, ["k"], 762, 1, "mol_id"), "mol_id", "group_id") == [(1, 1), (2, 1), (3, 2)]
+    assert values(ordered.continuity_groups(df, ["k"], 762, 1), "mol_id", "group_id") == [(1, 1), (2, 1), (3, 2)]
 
 
 @pytest.mark.parametrize("pos2,node_class,want", [(101, 1, "P"), (102, 1, "L"), (100, 1, "D"), (1322, 0, "P"), (1323, 0, "L"), (-202, 0, "P"), (-203, 0, "D")])
@@ -146,8 +146,8 @@ def test_gap_groups_do_not_depend_on_row_order(spark):
     rng = np.random.default_rng(2)
     rows = [(int(k), int(p), i) for i, (k, p) in enumerate(zip(rng.integers(0, 3, 200), rng.integers(0, 5000, 200)))]
     schema = "k int, pos long, id long"
-    one = values(ordered.gap_group(spark.createDataFrame(rows, schema), ["k"], "pos", 20, "g", "id"), "id", "g")
-    two = values(ordered.gap_group(spark.createDataFrame(rows[::-1], schema).repartition(7), ["k"], "pos", 20, "g", "id"), "id", "g")
+    one = values(ordered.gap_group(spark.createDataFrame(rows, schema), ["k"], "pos", 20, "g"), "id", "g")
+    two = values(ordered.gap_group(spark.createDataFrame(rows[::-1], schema).repartition(7), ["k"], "pos", 20, "g"), "id", "g")
     assert one == two
 
 
