@@ -141,20 +141,19 @@ def parse_continuity_groups(df: DataFrame, group: str, purge: int = 5, max_tlen:
     """
     types = df.groupBy(group, *TYPE_COLUMNS).agg(F.count("*").alias("n"), F.max(F.col("mapq1") + F.col("mapq2")).alias("mapq"))
     types = materialize(types.withColumn("n_types", F.count("*").over(Window.partitionBy(group))), "junction-types")
-    single = types.where("n_types = 1").select(group, *TYPE_COLUMNS, F.lit(1).alias("sv_n"))
+    single = types.where("n_types = 1").select(group, *TYPE_COLUMNS, F.lit(1).alias("sv_n"), F.lit(False).alias("is_ambiguous"))
 
     def seed(part: pd.DataFrame) -> pd.DataFrame:
         rows = part.sort_values(list(TYPE_COLUMNS)).reset_index(drop=True)
         found = seed_group(rows, purge, max_tlen)
-        return rows.loc[[i for i, _ in found], [group, *TYPE_COLUMNS]].assign(sv_n=[k for _, k in found])
+        of = [i for i, _ in found]
+        svs = np.bincount(of, minlength=len(rows))
+        return rows.loc[of, [group, *TYPE_COLUMNS]].assign(sv_n=[k for _, k in found], is_ambiguous=svs[of] > 1)
 
     kinds = dict(types.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in (group, *TYPE_COLUMNS)) + ", sv_n int"
+    schema = ", ".join(f"{c} {kinds[c]}" for c in (group, *TYPE_COLUMNS)) + ", sv_n int, is_ambiguous boolean"
     many = types.where("n_types > 1").select(group, *TYPE_COLUMNS, "n", "mapq").groupBy(group).applyInPandas(seed, schema)
-    assigned = single.unionByName(many)
-    n_svs = F.count("*").over(Window.partitionBy(group, *TYPE_COLUMNS))
-    assigned = assigned.withColumn("is_ambiguous", n_svs > 1)
-    return df.join(assigned, [group, *TYPE_COLUMNS])
+    return df.join(single.unionByName(many), [group, *TYPE_COLUMNS])
 
 
 def discover_amplicons(pairs: DataFrame, most: int, reject: int, keep: int) -> DataFrame:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.reads import ADVANCE_QUERY, ADVANCE_REF
+from ..functions.reads import ADVANCE_REF
 
 #: Positions of one bucket of a prefix sum.
 SWEEP = 65_536

@@ -9,8 +9,8 @@ from ..fixtures import Fixtures
 from ..operators import aggregates as a
 from ..operators import ordered as o
 from . import query
-from .expressions import _DIST, _TYPE, COMPARED_SQL, calls, compared, typed, with_target_class
-from .filtering import _CALLS, call_table
+from .expressions import _DIST, _TYPE, COMPARED_SQL, calls, compared, typed
+from .filtering import call_table
 from .ordering import BREAKS_SQL, GROUPS_SQL, SEGMENTS_SQL, segments
 
 c = F.col
