@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, quality
+from . import codes, langid, license, quality
 from .ann import nearest_neighbours
 from .common import table
 from .decontaminate import find_leaks
 from .html_text import extract_text
 from .jaccard import jaccard_components
+from .license_texts import PHRASES, TEMPLATES
 from .lines import dedup_lines
 from .mixing import poisson_mix
 from .pii import find_pii
 from .tokens import read_token_shards, write_token_shards
+from .whitening import whiten
 
 
 def _mod(n: int) -> F.Column:
@@ -146,3 +148,63 @@ def op3_line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_line_alignment"] = op3_line_alignment
+
+
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 16 leading whitened components of every usable row of ``embeddings``."""
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES["op11_whitening"] = op11_whitening
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and spans of every document."""
+    joined = {n: F.concat_ws(",", n).alias(n) for n in ("base_labels", "labels")}
+    return license.scan_licenses(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", *joined.values(), "score"
+    )
+
+
+QUERIES["op12_license_scan"] = op12_license_scan
+_PHRASE_SQL = " UNION ALL ".join(
+    f"SELECT rid, i AS place, '{label}' AS label FROM pos WHERE " + " AND ".join(f"w[i + {j}] = '{x}'" for j, x in enumerate(phrase.split(), 1))
+    for phrase, label in PHRASES.items()
+)
+ORACLES["op12_license_scan"] = rf"""
+WITH given(template, label, text) AS (VALUES {", ".join(f"({i}, '{label}', '{text}')" for i, (label, text) in enumerate(TEMPLATES))}),
+texts AS (SELECT row_number() OVER () AS rid, doc_id, NULL::INTEGER AS template, NULL::VARCHAR AS label, text FROM documents
+  UNION ALL SELECT NULL, NULL, template, label, text FROM given),
+split AS (SELECT rid, doc_id, template, label, list_filter(string_split_regex(translate(coalesce(text, ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM texts),
+docs AS (SELECT rid, doc_id, w, len(w) AS n FROM split WHERE template IS NULL),
+pos AS (SELECT rid, w, unnest(range(0, n)) AS i FROM docs),
+base AS ({_PHRASE_SQL}),
+base_of AS (SELECT rid, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list_sort(list_distinct(list(label))) AS base_labels
+  FROM base GROUP BY rid),
+runs AS (SELECT template, label, len(w) AS length, i AS t_pos, array_to_string(w[i + 1:i + 4], ' ') AS run
+  FROM (SELECT *, unnest(range(0, len(w) - 3)) AS i FROM split WHERE template IS NOT NULL)),
+hits AS (SELECT rid, template, label, length, i, i - t_pos AS diagonal FROM pos JOIN runs
+  ON i <= len(w) - 4 AND array_to_string(w[i + 1:i + 4], ' ') = run),
+steps AS (SELECT *, least(4, coalesce(i - lag(i) OVER (PARTITION BY rid, template, diagonal ORDER BY i), 4)) AS step FROM hits),
+diagonals AS (SELECT rid, template, label, length, diagonal, sum(step) AS covered, min(i) AS a, max(i) + 4 AS b FROM steps GROUP BY ALL),
+far AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY rid, template ORDER BY diagonal) <= 3 THEN 0 ELSE 1 END AS is_far FROM diagonals),
+nth AS (SELECT *, sum(is_far) OVER (PARTITION BY rid, template ORDER BY diagonal) AS nth FROM far),
+spans AS (SELECT rid, label, length, max(b) - min(a) AS wide, least(sum(covered), length, max(b) - min(a)) AS covered FROM nth
+  GROUP BY rid, template, label, length, nth),
+span_of AS (SELECT rid, max(covered::DOUBLE / length) AS share, list(label) FILTER (WHERE covered::DOUBLE / length >= 0.75 AND covered::DOUBLE / wide >= 0.6) AS found
+  FROM spans GROUP BY rid)
+SELECT doc_id, n::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(array_to_string(base_labels, ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(base_labels, found))), ','), '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0)::DOUBLE END AS score
+FROM docs LEFT JOIN base_of USING (rid) LEFT JOIN span_of USING (rid)"""
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of every usable row of ``embeddings``, with a digest of the codebooks."""
+    coded, codebooks = codes.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(codes.digest(codebooks)).alias("codebooks_sha256"))
+
+
+QUERIES["op13_vector_codes"] = op13_vector_codes
