@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,80 +80,6 @@ def purge_duplicates(df: DataFrame, id_col: str, keys: list[str], most: float, o
     return first.join(sums, "component").select(*df.columns, "n_collapsed")
 
 
-def _node_match(is_split: np.ndarray, pos: np.ndarray, side: np.ndarray, seed: int, purge: int, tlen: int) -> np.ndarray:
-    """Which types match a seed at one end: splits and gaps among themselves by distance, a gap on a split's inner side."""
-    apart = pos[seed] - pos if is_split[seed] else pos - pos[seed]
-    low, high = (-purge, tlen) if side[seed] == "L" else (-tlen, purge)
-    alike = np.abs(apart) <= (purge if is_split[seed] else tlen)
-    return np.where(is_split == is_split[seed], alike, (apart >= low) & (apart <= high))
-
-
-def seed_group(types: pd.DataFrame, purge: int, tlen: int) -> list[tuple[int, int]]:
-    """(row of type, SV number) of one continuity group's junction types.
-
-    Seeds are taken one by one among the types that no seed has matched: splits before gaps, then by
-    molecules and MAPQ. Seeds that share a matched split are one SV; a gap may match several. An SV is
-    numbered by its last seed.
-    """
-    is_split, n, mapq = types["is_split"].to_numpy(bool), types["n"].to_numpy(), types["mapq"].to_numpy()
-    pos1, pos2, side1, side2 = (types[c].to_numpy() for c in ("pos1", "pos2", "side1", "side2"))
-    rank = np.lexsort((pos2, pos1, -mapq, -n, ~is_split))
-    left = np.ones(len(types), bool)
-    seeds: list[np.ndarray] = []
-    root: list[int] = []
-    of_split: dict[int, int] = {}
-
-    def find(k: int) -> int:
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
-
-    for s in rank.tolist():
-        if not left[s]:
-            continue
-        match = _node_match(is_split, pos1, side1, s, purge, tlen) & _node_match(is_split, pos2, side2, s, purge, tlen)
-        match &= np.abs(pos1 - pos1[s]) + np.abs(pos2 - pos2[s]) <= tlen
-        if not is_split[s]:
-            match &= ~is_split
-        match[s] = True
-        left &= ~match
-        k = len(seeds)
-        seeds.append(np.flatnonzero(match))
-        root.append(k)
-        for i in seeds[k][is_split[seeds[k]]].tolist():
-            root[find(of_split.setdefault(i, k))] = k  # the later seed names the SV
-    number = {top: i for i, top in enumerate(sorted({find(k) for k in range(len(seeds))}), 1)}
-    return sorted({(i, number[find(k)]) for k, m in enumerate(seeds) for i in m.tolist()})
-
-
-TYPE_COLUMNS = ("is_split", "side1", "pos1", "side2", "pos2")
-
-
-def parse_continuity_groups(df: DataFrame, group: str, purge: int = 5, max_tlen: int = 762) -> DataFrame:
-    """``df`` with ``sv_n`` and ``is_ambiguous``: junction molecules of a group assigned to SVs.
-
-    Molecules are counted by junction type first. A group of one type is one SV and stays in SQL;
-    only the types of the other groups are seeded in Python, a group a task, in time proportional to
-    its types times its seeds. A molecule of several SVs has a row in each and is ambiguous.
-    """
-    types = df.groupBy(group, *TYPE_COLUMNS).agg(F.count("*").alias("n"), F.max(F.col("mapq1") + F.col("mapq2")).alias("mapq"))
-    types = materialize(types.withColumn("n_types", F.count("*").over(Window.partitionBy(group))), "junction-types")
-    single = types.where("n_types = 1").select(group, *TYPE_COLUMNS, F.lit(1).alias("sv_n"), F.lit(False).alias("is_ambiguous"))
-
-    def seed(part: pd.DataFrame) -> pd.DataFrame:
-        rows = part.sort_values(list(TYPE_COLUMNS)).reset_index(drop=True)
-        found = seed_group(rows, purge, max_tlen)
-        of = [i for i, _ in found]
-        svs = np.bincount(of, minlength=len(rows))
-        return rows.loc[of, [group, *TYPE_COLUMNS]].assign(sv_n=[k for _, k in found], is_ambiguous=svs[of] > 1)
-
-    kinds = dict(types.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in (group, *TYPE_COLUMNS)) + ", sv_n int, is_ambiguous boolean"
-    many = types.where("n_types > 1").select(group, *TYPE_COLUMNS, "n", "mapq").groupBy(group).applyInPandas(seed, schema)
-    return df.join(single.unionByName(many), [group, *TYPE_COLUMNS])
-
-
 def discover_amplicons(pairs: DataFrame, most: int, reject: int, keep: int) -> DataFrame:
     """The most frequent node pairs one after another, each absorbing its neighbourhood.
 

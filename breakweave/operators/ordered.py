@@ -115,19 +115,32 @@ def pair_nodes(nodes: DataFrame, keys: list[str]) -> DataFrame:
     return one.join(two, keys)
 
 
-def _runs(places: DataFrame, keys: list[str], pos: str, limit: int, out: str) -> DataFrame:
-    """``keys, pos, out`` of distinct places: the number (from 0) of the run each is in."""
-    w = Window.partitionBy(*keys).orderBy(pos)
-    gap = F.coalesce((F.col(pos) - F.lag(pos).over(w) > limit).cast("int"), F.lit(0))
-    x = places.select(*keys, pos).dropna().distinct().withColumn("__gap", gap)
-    return x.withColumn(out, F.sum("__gap").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__gap")
+def _runs(places: DataFrame, keys: list[str], pos: str, limit: int, out: str, size: int = SWEEP) -> DataFrame:
+    """``keys, pos, out`` of distinct places: the number (from 0) of the run each is in, in two levels.
+
+    Gaps are counted inside buckets of positions. A bucket hands on its first and last position and its
+    gaps, and a scan over the buckets of a key adds those between them: no window spans more places than
+    a bucket has, or more buckets than a key.
+    """
+    bucket = [*keys, "__b"]
+    x = places.select(*keys, pos).dropna().distinct().withColumn("__b", F.floor(F.col(pos) / size))
+    inside = Window.partitionBy(*bucket).orderBy(pos)
+    gap = lambda after, before: F.coalesce((F.col(after) - before > limit).cast("int"), F.lit(0))
+    x = x.withColumn("__gap", gap(pos, F.lag(pos).over(inside)))
+    ends = x.groupBy(*bucket).agg(F.min(pos).alias("__first"), F.max(pos).alias("__last"), F.sum("__gap").alias("__n"))
+    scan = Window.partitionBy(*keys).orderBy("__b")
+    ends = ends.withColumn("__new", gap("__first", F.lag("__last").over(scan)))
+    so_far = scan.rowsBetween(Window.unboundedPreceding, 0)
+    ends = ends.select(*bucket, (F.sum(F.col("__n") + F.col("__new")).over(so_far) - F.col("__n")).alias("__before"))
+    number = F.col("__before") + F.sum("__gap").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    return x.join(ends, bucket).select(*keys, pos, number.alias(out))
 
 
 def gap_group(df: DataFrame, keys: list[str], pos: str, limit: int, out: str) -> DataFrame:
     """``out``: number (from 0) of the run of positions, within the keys, whose gaps are at most ``limit``.
 
-    Rows at one place are in one run, so runs are numbered on distinct places: a task's window is bounded
-    by the length of a chromosome, however many rows there are. A null key or position has no run.
+    Rows at one place are in one run, so runs are numbered on distinct places, bucket by bucket (see
+    :func:`_runs`), however many rows there are. A null key or position has no run.
     """
     return df.join(_runs(df, keys, pos, limit, out), [*keys, pos], "left").select(*df.columns, out)
 

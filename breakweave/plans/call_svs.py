@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.junctions import breakend_fields, junction_structure, junction_type
 from ..operators.aggregates import characterize_sv
 from ..operators.filters import sv_evidence, sv_size
-from ..operators.graph import parse_continuity_groups, purge_duplicates
+from ..operators.graph import purge_duplicates
 from ..operators.joins import outer_clip_evidence
 from ..operators.ordered import continuity_groups, dense_ids
+from ..operators.seeding import parse_continuity_groups
 from .scratch import materialize
 
 KEYS = ["chrom1", "chrom2", "side1", "side2"]

@@ -9,6 +9,7 @@ from ..fixtures import Fixtures
 from ..operators import graph as g
 from ..operators import joins as j
 from ..operators.ordered import continuity_groups
+from ..operators.seeding import parse_continuity_groups
 from . import query
 
 c = F.col
@@ -79,7 +80,7 @@ def c3(fx: Fixtures) -> DataFrame:
     """Junction molecules of continuity groups assigned to SVs by greedy seeding."""
     x = continuity_groups(fx.molecules, ["chrom1", "chrom2", "side1", "side2"], 762, 1)
     x = x.withColumn("is_split", c("node_class") == 1)
-    return g.parse_continuity_groups(x, "group_id").select("mol_id", "group_id", "sv_n", "is_ambiguous")
+    return parse_continuity_groups(x, "group_id").select("mol_id", "group_id", "sv_n", "is_ambiguous")
 
 
 @query("c4", """WITH RECURSIVE p AS (SELECT a.mol_id AS a, b.mol_id AS b FROM fx_molecules a JOIN fx_molecules b ON a.sample = b.sample AND a.chrom1 = b.chrom1 AND a.mol_id < b.mol_id

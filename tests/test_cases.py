@@ -12,7 +12,7 @@ from breakweave.functions import junctions as jx
 from breakweave.functions import reads as rd
 from breakweave.functions import sequences as sq
 from breakweave.functions.analysis import lgamma
-from breakweave.operators import graph, joins, models, ordered
+from breakweave.operators import graph, joins, models, ordered, seeding
 from breakweave.operators.aggregates import shared_proper_endpoints, independent_instances
 from breakweave.streaming import streams
 
@@ -240,7 +240,7 @@ def test_seeding_matches_its_definition():
         sides = r.choice("LR"), r.choice("LR")
         keys = {(r.random() < 0.5, r.randrange(span), r.randrange(span)) for _ in range(r.randrange(1, 25))}
         types = [dict(is_split=s, side1=sides[0], pos1=a, side2=sides[1], pos2=b, n=r.randrange(1, 4), mapq=r.randrange(3)) for s, a, b in sorted(keys)]
-        assert graph.seed_group(pd.DataFrame(types), 5, 150) == plain_seeds(types, 5, 150)
+        assert seeding.seed_group(pd.DataFrame(types), 5, 150) == plain_seeds(types, 5, 150)
 
 
 def test_networks_match_their_definition(spark):
