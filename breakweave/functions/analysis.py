@@ -106,6 +106,26 @@ def lgamma(x: Column) -> Column:
     return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + series - F.log(product)
 
 
+def digamma(x: Column) -> Column:
+    """Derivative of :func:`lgamma` for x > 0: its asymptotic series after shifting the argument by 8."""
+    z = x + 8
+    i2 = 1 / (z * z)
+    series = F.log(z) - 1 / (2 * z) - i2 * (1 / 12 - i2 * (1 / 120 - i2 * (1 / 252 - i2 * (1 / 240 - i2 / 132))))
+    for k in range(8):
+        series = series - 1 / (x + k)
+    return series
+
+
+def trigamma(x: Column) -> Column:
+    """Second derivative of :func:`lgamma` for x > 0."""
+    z = x + 8
+    i2 = 1 / (z * z)
+    series = 1 / z + i2 / 2 + i2 / z * (1 / 6 - i2 * (1 / 30 - i2 * (1 / 42 - i2 * (1 / 30 - i2 * 5 / 66))))
+    for k in range(8):
+        series = series + 1 / ((x + k) * (x + k))
+    return series
+
+
 def log_nbinom_pmf(x: Column, mu: Column, size: Column) -> Column:
     """Log density of a negative binomial count by mean and dispersion."""
     return (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import Fixtures
 from ..operators import models as m
+from ..operators.regression import rate_model
 from . import query
 
 c = F.col
@@ -124,6 +125,49 @@ def m11_welch(fx: Fixtures) -> DataFrame:
     return x.select(F.round("difference", 6).alias("difference"), F.round("t", 6).alias("t"), F.round("df", 4).alias("df"))
 
 
+_FACTORS = f"SELECT *, (grp = 'G1')::INT::DOUBLE AS a, (chrom1 % 2)::INT::DOUBLE AS b FROM ({_RATES})"
+
+
+def _det(m: list[list[str]]) -> str:
+    (a, b, c_), (d, e, f), (g, h, i) = m
+    return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c_} * ({d} * {h} - {e} * {g}))"
+
+
+_NORMAL = [["s0", "sa", "sb"], ["sa", "sa", "sab"], ["sb", "sab", "sb"]]
+_RIGHT = ["t0", "ta", "tb"]
+_SOLVED = ", ".join(f"{_det([[_RIGHT[i] if j == k else _NORMAL[i][j] for j in range(3)] for i in range(3)])} / {_det(_NORMAL)} AS b{k}" for k in range(3))
+_SUMS = "sum(w) AS s0, sum(w * a) AS sa, sum(w * b) AS sb, sum(w * a * b) AS sab, sum(w * z) AS t0, sum(w * z * a) AS ta, sum(w * z * b) AS tb"
+
+
+def _scoring_sql(rounds: int) -> str:
+    """Rounds of a Poisson regression of two factors with two levels each, one table of coefficients a round."""
+    out = "f AS MATERIALIZED (SELECT n, cov, a, b, grp, chrom1 FROM x), c0 AS MATERIALIZED (SELECT 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2)"
+    for k in range(1, rounds + 1):
+        eta = "ln((n + 0.1) / cov)" if k == 1 else "(b0 + b1 * a + b2 * b)"
+        out += f""", c{k} AS MATERIALIZED (SELECT {_SOLVED} FROM (SELECT {_SUMS} FROM (SELECT a, b, exp(eta) * cov AS w, eta + (n - exp(eta) * cov) / (exp(eta) * cov) AS z
+ FROM (SELECT *, {eta} AS eta FROM f, c{k - 1}))))"""
+    return out
+
+
+@query("m11_covariates", f"""WITH x AS ({_FACTORS}), {_scoring_sql(12)}, m AS (SELECT f.*, exp(b0 + b1 * a + b2 * b) * cov AS w FROM f, c12), d AS (SELECT sum((n - w) * (n - w) / w) / (count(*) - 3) AS d, sum(w) AS s0, sum(w * a) AS sa, sum(w * b) AS sb, sum(w * a * b) AS sab FROM m),
+ e AS (SELECT *, {_det(_NORMAL)} AS det FROM d)
+ SELECT '(intercept)' AS term, NULL AS level, round(b0, 6) AS estimate, round(sqrt(d * (sa * sb - sab * sab) / det), 6) AS std_error, round(d, 6) AS dispersion FROM e, c12
+ UNION ALL SELECT 'grp', 'G1', round(b1, 6), round(sqrt(d * (s0 * sb - sb * sb) / det), 6), round(d, 6) FROM e, c12
+ UNION ALL SELECT 'project', 'P1', round(b2, 6), round(sqrt(d * (s0 * sa - sa * sa) / det), 6), round(d, 6) FROM e, c12""")
+def m11_covariates(fx: Fixtures) -> DataFrame:
+    """Rates of two groups with the project as a covariate."""
+    x = rates(fx).withColumn("project", F.concat(F.lit("P"), (c("chrom1") % 2).cast("string")))
+    found = rate_model(x, ["grp", "project"], "n", "cov", "quasipoisson").select("term", "level", "estimate", "std_error", "dispersion")
+    return rounded(found, "estimate", "std_error", "dispersion")
+
+
+@query("m11_negative_binomial")
+def m11_negative_binomial(fx: Fixtures) -> DataFrame:
+    """The same with negative binomial counts, whose dispersion is estimated too."""
+    x = rates(fx).withColumn("project", F.concat(F.lit("P"), (c("chrom1") % 2).cast("string")))
+    return rate_model(x, ["grp", "project"], "n", "cov")
+
+
 @query("m12")
 def m12(fx: Fixtures) -> DataFrame:
     """Junction ends classified as adapters by score, bases and place against matched controls."""
