@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..plans.scratch import materialize, scratch_tables, shared_dir
 from ..session import ship_package
 
-__all__ = ["blocks", "materialize", "md5_long", "md5_unit", "scratch_tables", "shared_dir", "table", "with_free_names"]
+__all__ = ["blocks", "free_name", "materialize", "md5_long", "md5_unit", "scratch_tables", "shared_dir", "table", "whole_rows", "with_free_names"]
 
 
 #: Rows and bytes of one Arrow batch between Spark and a Python worker, for sessions with Spark's defaults.
@@ -49,6 +49,19 @@ def with_free_names(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in {n.lower() for n in names}])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or the first of ``name_``, ``name__``, ... that no column of the table has in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def whole_rows(df: DataFrame, name: str = "doc") -> F.Column:
+    """All columns as one struct, beside which an operator's own columns can have any name."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns]).alias(name)
+
+
 def md5_unit(*parts) -> F.Column:
     """A uniform double in (0, 1) from 52 bits of the md5 of the ``|``-joined parts (JVM only)."""
     digits = F.substring(F.md5(F.concat_ws("|", *parts)), 1, 13)

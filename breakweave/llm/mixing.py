@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, md5_long, md5_unit, with_free_names
+from .common import materialize, md5_long, md5_unit, whole_rows, with_free_names
 
 #: Sources up to this many are broadcast; more are joined by a shuffle that adaptive execution may split.
 BROADCAST_SOURCES = 10_000
@@ -83,7 +83,7 @@ def poisson_mix(
     ).select("mix_source", "rate", "parts", "cdf")
     if rates.count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    key = F.coalesce(F.col("doc")[id_col].cast("string"), F.lit("null"))
 
     def draw(part):
         u = md5_unit(F.lit(seed), key, part.cast("string"))
@@ -92,11 +92,9 @@ def poisson_mix(
     n = F.when(F.col("parts") == 1, draw(F.lit(0))).otherwise(
         F.aggregate(F.sequence(F.lit(0), F.col("parts") - 1), F.lit(0), lambda acc, p: acc + draw(p))
     )
-    joined = docs.join(rates, docs[source_col].eqNullSafe(rates["mix_source"]), "inner")
-    copies = (
-        joined.withColumn("mix_n", n)
-        .where(F.col("mix_n") > 0)
-        .select(*[docs[c] for c in docs.columns], "rate", F.explode(F.sequence(F.lit(1), F.col("mix_n"))).alias("copy"))
-    )
+    held = docs.select(whole_rows(docs))
+    joined = held.join(rates, F.col("doc")[source_col].eqNullSafe(F.col("mix_source")))
+    copies = joined.withColumn("n", n).where(F.col("n") > 0).select("doc", "rate", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
     keyed = copies.withColumn("shuffle_key", md5_long(F.lit(seed), F.lit("order"), key, F.col("copy").cast("string")))
-    return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key", id_col, "copy")
+    dealt = keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key", F.col("doc")[id_col], "copy")
+    return dealt.select("doc.*", "rate", "copy", "shuffle_key")

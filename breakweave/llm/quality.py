@@ -107,9 +107,8 @@ def train(
     chosen = known.where(draw < int(np.ceil((1 << 20) * min(1.0, max_train / n))))
     trainers = int(np.clip(n // ROWS_PER_TRAINER, 1, MAX_TRAINERS))
     # max_train bounds the broadcast side
-    rows = docs.join(F.broadcast(chosen), docs[id_col] == F.col("train_id"), "inner").select(
-        F.pmod(F.xxhash64("train_id"), F.lit(trainers)).alias("trainer"), "train_id", docs["text"].alias("text"), "y"
-    )
+    texts = docs.select(F.col(id_col).alias("train_id"), "text")
+    rows = texts.join(F.broadcast(chosen), "train_id").select(F.pmod(F.xxhash64("train_id"), F.lit(trainers)).alias("trainer"), "train_id", "text", "y")
 
     def fit(part: pa.Table) -> pa.Table:
         ids, texts, ys = (part.column(c).to_pylist() for c in ("train_id", "text", "y"))
