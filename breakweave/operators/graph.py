@@ -103,16 +103,55 @@ def discover_amplicons(pairs: DataFrame, most: int, reject: int, keep: int) -> D
     return pairs.sparkSession.createDataFrame(taken, schema)
 
 
-def parent_networks(seqs: DataFrame, key: str, limit: int, rounds: int = 50) -> DataFrame:
+def parent_networks(
+    seqs: DataFrame, key: str, limit: int, rounds: int = 50, sensitivity: float = 0.0, min_parent: int = 0, add_rare: bool = True
+) -> DataFrame:
     """``seq, parent, distance``: sequences joined to the nearest more frequent parent within ``limit`` edits.
 
-    Input: ``key, seq, n`` (distinct sequences). Two sequences of at most ``limit`` edits share one of
-    ``limit + 1`` pieces up to a shift, so pairs are found by pieces of equal length bands and then
-    measured. A sequence is a parent if no parent is near; that is settled in rounds from the most
-    frequent on: a sequence is decided once all its more frequent neighbours are.
+    Input: ``key, seq, n`` (distinct sequences). In falling order of count, then length, then sequence, a
+    sequence joins the network of a parent before it whose distance is at most ``limit * (1 - sensitivity *
+    n / n of the parent)``, or else is a parent itself: the closer two are in count, the fewer edits may lie
+    between them. A sequence that joins goes to the nearest of all parents before it, ties to the more frequent, the longer, the lesser.
+
+    Sequences of fewer than ``min_parent`` are rare: never parents, they join the nearest parent within
+    ``limit`` whatever the counts, if ``add_rare``; without one they have a null parent and distance.
+
+    Two sequences of at most ``limit`` edits share one of ``limit + 1`` pieces up to a shift, so pairs are
+    found by pieces of equal length bands and then measured. Parents are settled in rounds from the
+    most frequent on: a sequence is decided once all those before it that could take it in are.
     """
-    order = F.struct(F.col("n"), F.col("seq"))
     x = seqs.select(key, "seq", "n")
+    with scratch_tables(seqs.sparkSession):
+        near = materialize(_near_before(x, key, limit), "near")
+        common = x.where(F.col("n") >= min_parent)
+        takes = F.col("distance") <= F.lit(limit) * (1 - F.lit(float(sensitivity)) * F.col("n") / F.col("n2"))
+        strong = materialize(near.where((F.col("n") >= min_parent) & takes).select(key, "seq", "seq2"), "near-strong")
+        state = common.join(strong.select(key, "seq").distinct(), [key, "seq"], "left_anti").select(key, "seq", F.lit(True).alias("is_parent"))
+        state = materialize(state, "parents")
+        open_ = materialize(strong.join(state, [key, "seq"], "left_anti"), "open")
+        for _ in range(rounds):
+            if not open_.limit(1).count():
+                break
+            known = open_.join(state.withColumnRenamed("seq", "seq2"), [key, "seq2"], "left")
+            v = known.groupBy(key, "seq").agg(F.bool_or(F.coalesce("is_parent", F.lit(False))).alias("near_parent"), F.bool_and(F.col("is_parent").isNotNull()).alias("settled"))
+            new = materialize(v.where("near_parent or settled").select(key, "seq", (~F.col("near_parent")).alias("is_parent")), "new-parents")
+            state = state.unionByName(new)
+            open_ = materialize(open_.join(new, [key, "seq"], "left_anti"), "open")
+        else:
+            raise RuntimeError("networks did not settle")
+        parents = materialize(state.where("is_parent").select(key, F.col("seq").alias("seq2")), "all-parents")
+        joins = near.join(parents, [key, "seq2"]).join(parents.select(key, F.col("seq2").alias("seq")), [key, "seq"], "left_anti")
+        if not add_rare:
+            joins = joins.where(F.col("n") >= min_parent)
+        rank = F.struct("distance", (-F.col("n2")).alias("m"), (-F.length("seq2")).alias("l"), "seq2")
+        child = joins.groupBy(key, "seq").agg(F.min(rank).alias("b")).select(key, "seq", F.col("b.seq2").alias("parent"), F.col("b.distance").alias("distance"))
+        own = parents.select(key, F.col("seq2").alias("seq"), F.col("seq2").alias("parent"), F.lit(0).alias("distance"))
+        placed = child.unionByName(own)
+        return materialize(x.select(key, "seq").join(placed, [key, "seq"], "left"), "networks", result=True)
+
+
+def _near_before(x: DataFrame, key: str, limit: int) -> DataFrame:
+    """``key, seq, n, seq2, n2, distance``: each sequence with those before it within ``limit`` edits."""
     cut = limit + 1
     length = F.length("seq")
     at = F.sequence(F.lit(0), F.lit(limit))
@@ -125,28 +164,11 @@ def parent_networks(seqs: DataFrame, key: str, limit: int, rounds: int = 50) ->
     to = F.floor((F.col("i") + 1) * F.col("len") / cut)
     probe = probe.where((from_ + F.col("d") >= 0) & (to > from_)).select(key, "seq2", "n2", "len", "i", F.substr("seq2", (from_ + F.col("d") + 1).cast("int"), (to - from_).cast("int")).alias("piece"))
     pairs = own.where(F.length("piece") > 0).join(probe, [key, "len", "i", "piece"]).where(F.col("seq") != F.col("seq2")).select(key, "seq", "n", "seq2", "n2").distinct()
-    d = F.levenshtein("seq", "seq2", limit)
-    near = pairs.withColumn("distance", d).where(F.col("distance").between(0, limit))
-    up = F.struct(F.col("n2"), F.col("seq2")) > order
-    near = near.unionByName(near.select(key, F.col("seq2").alias("seq"), F.col("n2").alias("n"), F.col("seq").alias("seq2"), F.col("n").alias("n2"), "distance")).distinct()
-    near = materialize(near.where(up).select(key, "seq", "seq2", "n2", "distance"), "near")
-    state = materialize(x.join(near.select(key, "seq").distinct(), [key, "seq"], "left_anti").select(key, "seq", F.lit(True).alias("is_parent")), "parents")
-    open_ = materialize(x.join(state, [key, "seq"], "left_anti").select(key, "seq"), "open")
-    for _ in range(rounds):
-        if not open_.limit(1).count():
-            break
-        known = near.join(open_, [key, "seq"], "left_semi").join(state.withColumnRenamed("seq", "seq2"), [key, "seq2"], "left")
-        v = known.groupBy(key, "seq").agg(F.bool_or(F.coalesce("is_parent", F.lit(False))).alias("near_parent"), F.bool_and(F.col("is_parent").isNotNull()).alias("settled"))
-        new = v.where("near_parent or settled").select(key, "seq", (~F.col("near_parent")).alias("is_parent"))
-        state = materialize(state.unionByName(new), "parents")
-        open_ = materialize(open_.join(state, [key, "seq"], "left_anti"), "open")
-    else:
-        raise RuntimeError("networks did not settle")
-    parents = state.where("is_parent").select(key, F.col("seq").alias("seq2"))
-    best = near.join(parents, [key, "seq2"]).join(state.where("not is_parent").select(key, "seq"), [key, "seq"])
-    best = best.groupBy(key, "seq").agg(F.min(F.struct("distance", (-F.col("n2")).alias("m"), "seq2")).alias("b"))
-    child = best.select(key, "seq", F.col("b.seq2").alias("parent"), F.col("b.distance").alias("distance"))
-    return child.unionByName(state.where("is_parent").select(key, "seq", F.col("seq").alias("parent"), F.lit(0).alias("distance")))
+    near = pairs.withColumn("distance", F.levenshtein("seq", "seq2", limit)).where(F.col("distance").between(0, limit))
+    order = lambda n, q: F.struct(F.col(n), F.length(q), F.col(q))
+    up = order("n2", "seq2") > order("n", "seq")
+    both = near.unionByName(near.select(key, F.col("seq2").alias("seq"), F.col("n2").alias("n"), F.col("seq").alias("seq2"), F.col("n").alias("n2"), "distance"))
+    return both.where(up).distinct()
 
 
 def discover_primers(nodes: DataFrame, apart: int = 100) -> DataFrame:

@@ -111,14 +111,35 @@ def c5(fx: Fixtures) -> DataFrame:
     return g.discover_amplicons(np_, 3, 300, 50)
 
 
-def sequences(fx: Fixtures) -> DataFrame:
-    return fx.sequences.groupBy((c("seq_id") % 16).alias("amplicon"), F.substr("ref_seq", F.lit(1), F.lit(9)).alias("seq")).agg(F.count("*").alias("n"))
-
-
-@query("c6")
+def sequences(fx: Fixtures, length: int) -> DataFrame:
+    return fx.sequences.groupBy((c("seq_id") % 16).alias("amplicon"), F.substr("ref_seq", F.lit(1), F.lit(length)).alias("seq")).agg(F.count("*").alias("n"))
+
+
+def networks_sql(length: int, limit: int, sensitivity: float = 0.0, min_parent: int = 0) -> str:
+    """Sequences of each amplicon taken one by one, with the list of parents so far."""
+    d = "levenshtein(s.seq, q.seq)"
+    return f"""WITH RECURSIVE s AS (SELECT seq_id % 16 AS amplicon, substr(ref_seq, 1, {length}) AS seq, count(*) AS n FROM fx_sequences GROUP BY ALL),
+ r AS (SELECT *, row_number() OVER (PARTITION BY amplicon ORDER BY n DESC, length(seq) DESC, seq DESC) AS k FROM s),
+ w(amplicon, k, ps) AS (SELECT amplicon, 0::BIGINT, []::STRUCT(seq VARCHAR, n BIGINT, k BIGINT)[] FROM r WHERE k = 1 UNION ALL
+  SELECT w.amplicon, r.k, CASE WHEN r.n >= {min_parent} AND len(list_filter(w.ps, lambda p: levenshtein(p.seq, r.seq) <= {limit} * (1 - {sensitivity}::DOUBLE * r.n / p.n))) = 0
+   THEN list_append(w.ps, {{'seq': r.seq, 'n': r.n, 'k': r.k}}) ELSE w.ps END FROM w JOIN r ON r.amplicon = w.amplicon AND r.k = w.k + 1),
+ p AS (SELECT amplicon, unnest(ps, recursive := true) FROM (SELECT amplicon, arg_max(ps, k) AS ps FROM w GROUP BY amplicon)),
+ b AS (SELECT s.amplicon, s.seq, q.seq AS parent, {d} AS d, row_number() OVER (PARTITION BY s.amplicon, s.seq ORDER BY {d}, q.n DESC, length(q.seq) DESC, q.seq) AS i
+  FROM r s JOIN p q ON s.amplicon = q.amplicon AND q.k <= s.k AND {d} <= {limit})
+ SELECT s.amplicon, s.seq, CASE WHEN o.seq IS NULL THEN b.parent ELSE s.seq END AS parent, CASE WHEN o.seq IS NULL THEN b.d ELSE 0 END::INT AS distance
+ FROM s LEFT JOIN p o ON o.amplicon = s.amplicon AND o.seq = s.seq LEFT JOIN b ON b.amplicon = s.amplicon AND b.seq = s.seq AND b.i = 1"""
+
+
+@query("c6", networks_sql(9, 1))
 def c6(fx: Fixtures) -> DataFrame:
     """Networks of nine-base sequences around their most frequent members, one edit apart."""
-    return g.parent_networks(sequences(fx), "amplicon", 1)
+    return g.parent_networks(sequences(fx, 9), "amplicon", 1)
+
+
+@query("c6_rare", networks_sql(7, 2, 0.6, 2))
+def c6_rare(fx: Fixtures) -> DataFrame:
+    """Networks whose reach depends on relative counts; sequences seen once join what is near, or nothing."""
+    return g.parent_networks(sequences(fx, 7), "amplicon", 2, sensitivity=0.6, min_parent=2)
 
 
 @query("c7", """WITH n AS (SELECT channel AS amplicon, pos1 // 50 * 50 AS node, count(*) AS n FROM fx_nodes_long GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY amplicon ORDER BY n DESC, node) AS k FROM n),

@@ -253,19 +253,25 @@ def test_networks_match_their_definition(spark):
         return row[-1]
 
     r = random.Random(3)
-    rows = [(k, q, r.randrange(1, 9)) for k in (1, 2) for q in {"".join(r.choices("AC", k=r.randrange(4, 7))) for _ in range(30)}]
-    found = {(x.key, x.seq): (x.parent, x.distance) for x in graph.parent_networks(spark.createDataFrame(rows, "key int, seq string, n int"), "key", 1).collect()}
-    for key in (1, 2):
-        mine = sorted(((n, q) for k, q, n in rows if k == key), reverse=True)
-        parents = []
-        for n, q in mine:
-            near = [(edits(q, p), -m, p) for m, p in parents if edits(q, p) <= 1]
-            if near:
-                assert found[key, q] == (min(near)[2], min(near)[0]), q
-            else:
-                parents.append((n, q))
-                assert found[key, q] == (q, 0)
-    assert len(found) == len(rows)
+    rows = [(k, q, r.randrange(1, 9)) for k in (1, 2) for q in {"".join(r.choices("AC", k=r.randrange(4, 8))) for _ in range(40)}]
+    df = spark.createDataFrame(rows, "key int, seq string, n int")
+    for limit, sensitivity, min_parent, add_rare in ((1, 0.0, 0, True), (2, 0.7, 0, True), (2, 0.5, 3, True), (1, 1.0, 4, False)):
+        got = graph.parent_networks(df, "key", limit, sensitivity=sensitivity, min_parent=min_parent, add_rare=add_rare).collect()
+        found = {(x.key, x.seq): (x.parent, x.distance) for x in got}
+        assert len(found) == len(got) == len(rows)
+        for key in (1, 2):
+            mine = sorted(((n, len(q), q) for k, q, n in rows if k == key), reverse=True)
+            parents = []
+            for n, _, q in mine:
+                near = [(edits(q, p), -m, -len(p), p) for m, p in parents if edits(q, p) <= limit]
+                takes = [p for m, p in parents if edits(q, p) <= limit * (1 - sensitivity * n / m)]
+                if n < min_parent:
+                    assert found[key, q] == ((min(near)[3], min(near)[0]) if near and add_rare else (None, None)), q
+                elif takes:
+                    assert found[key, q] == (min(near)[3], min(near)[0]), q
+                else:
+                    parents.append((n, q))
+                    assert found[key, q] == (q, 0)
 
 
 def test_adapters_match_a_plain_regression(spark):
