@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import Fixtures
 from ..operators import aggregates as a
+from ..operators.consensus import duplex_consensus
 from ..operators import ordered as o
 from . import query
 from .expressions import _DIST, _TYPE, COMPARED_SQL, calls, compared, typed
@@ -401,6 +402,26 @@ def g48(fx: Fixtures) -> DataFrame:
     return a.strand_consensus(fx.sql(_FAMILY), ["mol_id"], "s")
 
 
+_DUPLEX = "select cast(floor(seq_id / 7) as bigint) as mol_id, cast(seq_id % 2 as int) as strand, concat(case when seq_id % 9 < 6 then 'ACGTACGT' else substr(seq, 1, 8) end, substr(seq, 9, 2)) as s from fx_sequences"
+_CODE = "CASE WHEN {0} = 0 THEN 'N' ELSE substr('-ACMGRSVTWYHKDBN', ({0})::INT + 1, 1) END"
+_SET = "greatest(instr('-ACMGRSVTWYHKDBN', {0}) - 1, 0)"
+
+
+@query("g48_duplex", f"""WITH f AS ({_DUPLEX}), n AS (SELECT mol_id, strand, s, count(*) AS n FROM f GROUP BY ALL),
+ fam AS (SELECT mol_id, strand, sum(n) AS al, count(*) AS k, max(n) AS m, arg_min(s, struct_pack(m := -n, s := s)) AS t FROM n GROUP BY ALL), o AS (SELECT *, k = 1 OR (al > 2 AND m >= 0.7 * al) AS whole FROM fam),
+ b AS (SELECT mol_id, strand, al, i, substr(s, i, 1) AS b, sum(n) AS n FROM n JOIN o USING (mol_id, strand), range(1, 11) r(i) WHERE NOT whole GROUP BY ALL),
+ p AS (SELECT mol_id, strand, i, al, max(n) AS m, arg_min(b, struct_pack(m := -n, b := b)) AS b, bit_or({_SET.format('b')}) AS z FROM b GROUP BY ALL),
+ c AS (SELECT mol_id, strand, string_agg(CASE WHEN al > 2 AND m >= 0.667 * al THEN b ELSE {_CODE.format('z')} END, '' ORDER BY i) AS s FROM p GROUP BY ALL),
+ q AS (SELECT o.mol_id, o.strand, CASE WHEN whole THEN t ELSE c.s END AS s, al FROM o LEFT JOIN c USING (mol_id, strand)),
+ d AS (SELECT mol_id, max(s) FILTER (WHERE strand = 0) AS a, max(s) FILTER (WHERE strand = 1) AS b, coalesce(max(al) FILTER (WHERE strand = 0), 0)::BIGINT AS n_reads0, coalesce(max(al) FILTER (WHERE strand = 1), 0)::BIGINT AS n_reads1 FROM q GROUP BY 1),
+ u AS (SELECT mol_id, string_agg({_CODE.format('z')}, '' ORDER BY i) AS s FROM (SELECT mol_id, i, {_SET.format('substr(a, i, 1)')} | {_SET.format('substr(b, i, 1)')} AS z FROM d, range(1, 11) r(i)) GROUP BY 1),
+ e AS (SELECT d.mol_id, a IS NOT NULL AND b IS NOT NULL AS is_duplex, CASE WHEN a IS NULL THEN b WHEN b IS NULL THEN a ELSE u.s END AS consensus, n_reads0, n_reads1 FROM d JOIN u USING (mol_id))
+ SELECT mol_id, consensus, translate(regexp_replace(consensus, '[^ACGT]', '!', 'g'), 'ACGT', CASE WHEN is_duplex THEN 'IIII' ELSE 'GGGG' END) AS quality, is_duplex, n_reads0, n_reads1 FROM e""")
+def g48_duplex(fx: Fixtures) -> DataFrame:
+    """Consensus of both strands of each molecule, with ambiguity codes."""
+    return duplex_consensus(fx.sql(_DUPLEX), "mol_id", "strand", "s")
+
+
 @query("g49", f"""WITH f AS (SELECT *, row_number() OVER (ORDER BY mol_id) AS z FROM ({_FAMILY})), m AS (SELECT *, bool_or(is_merged) OVER (PARTITION BY mol_id, strand) AS mm FROM f), k AS (SELECT * FROM m WHERE is_merged = mm)
  SELECT mol_id, strand, s, is_merged, (SELECT count(DISTINCT strand) FROM k x WHERE x.mol_id = k.mol_id) = 2 AS is_duplex FROM k""")
 def g49(fx: Fixtures) -> DataFrame:
