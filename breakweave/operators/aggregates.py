@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.analysis import base_rows, binomial_tail, poisson_success
 from ..functions.sequences import best_overlap
+from .distributions import exact_quantiles
 from .joins import complete_grid, interval_join, small
 from .ordered import depth_integral, step_bins
 
@@ -141,22 +142,22 @@ def characterize_sv(df: DataFrame, sv: str, order: list[str], more: list[Column]
     ``more`` adds aggregates to the same pass, ``of_reference`` columns of the reference molecule.
     """
     ref = F.max_by(F.struct("mol_id", "jxn_type", "chrom1", "side1", "pos1", "chrom2", "side2", "pos2", *of_reference), F.struct(*order))
-    listed = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("mol_id", c))), lambda s: s[c].cast("string")), ",")
+    listed = lambda c: F.array_join(F.transform("mapqs", lambda s: s[c].cast("string")), ",").alias(f"mapqs{c[-1]}")
     x = df.groupBy(sv).agg(
         F.count("*").alias("n_total"),
         F.count_if(F.col("node_class") == 0).alias("n_gaps"),
         F.count_if(F.col("node_class") == 1).alias("n_splits"),
         F.count_if((F.col("strand_count1") > 0) & (F.col("strand_count2") > 0)).alias("n_duplex"),
         F.sum(F.col("strand_count1") + F.col("strand_count2")).alias("strand_count"),
-        F.array_join(F.array_sort(F.collect_set("sample")), ",").alias("samples"),
-        F.count_distinct("sample").alias("n_samples"),
-        listed("mapq1").alias("mapqs1"),
-        listed("mapq2").alias("mapqs2"),
+        F.array_sort(F.collect_set("sample")).alias("samples"),
+        F.array_sort(F.collect_list(F.struct("mol_id", "mapq1", "mapq2"))).alias("mapqs"),
         *more,
         ref.alias("ref"),
     )
     size = F.when(F.col("jxn_type") == "T", 0).otherwise(F.abs(F.col("pos2") - F.col("pos1")))
-    return x.select("*", "ref.*").drop("ref").withColumnRenamed("mol_id", "ref_mol_id").withColumn("sv_size", size)
+    lists = [F.array_join("samples", ",").alias("samples"), F.size("samples").cast("long").alias("n_samples"), listed("mapq1"), listed("mapq2")]
+    x = x.select(*[c for c in x.columns if c not in ("ref", "samples", "mapqs")], *lists, "ref.*")
+    return x.withColumnRenamed("mol_id", "ref_mol_id").withColumn("sv_size", size)
 
 
 def clustered_junctions(df: DataFrame, sv: str, mol: str) -> DataFrame:
@@ -412,8 +413,12 @@ def library_stats(df: DataFrame, order: str, n: int) -> DataFrame:
 
 
 def coverage_peak(df: DataFrame, keys: list[str], value: str, step: float) -> DataFrame:
-    """Median of a value and the mode of its rounded histogram between a fifth and five times the median."""
-    x = df.withColumn("__m", F.median(value).over(Window.partitionBy(*keys)))
+    """Median of a value and the mode of its rounded histogram between a fifth and five times the median.
+
+    See :func:`density_mode` for the mode of a density. The median is exact and counted by ranges of values.
+    """
+    median = exact_quantiles(df, keys, value, [0.5]).select(*keys, F.col("q0").alias("__m"))
+    x = df.join(median, keys)
     near = x.where(F.col(value).between(F.col("__m") / 5, F.col("__m") * 5)).groupBy(*keys, "__m", (F.floor(F.col(value) / step + 0.5) * step).alias("peak")).agg(F.count("*").alias("n"))
     return near.groupBy(*keys).agg(F.first("__m").alias("median"), F.min(F.struct((-F.col("n")).alias("m"), "peak")).alias("b")).select(*keys, "median", "b.peak")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.scratch import materialize, scratch_tables
@@ -62,22 +62,28 @@ def finalize_clusters(rows: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
     return rows.join(keys.join(ids, "component").select(key, "cluster_n"), key)
 
 
-def purge_duplicates(df: DataFrame, id_col: str, keys: list[str], most: float, order: list, counts: list[str]) -> DataFrame:
+def purge_duplicates(df: DataFrame, id_col: str, keys: list[str], most: float, order: list[Column], counts: list[str]) -> DataFrame:
     """One row of each set of colliding molecules (outer ends within ``most`` in the same keys, chained):
-    the first by ``order``, with the counts of all summed and ``n_collapsed``.
+    the least by the columns of ``order``, then by id, with the counts of all summed and ``n_collapsed``.
 
-    Molecules at one place are one place before pairs are formed, so a pile-up makes no pairs.
+    Molecules at one place are one place before pairs are formed, so a pile-up makes no pairs. Places
+    without a neighbour, which most are, need no component, and their molecules are combined before they move.
     """
     place = [*keys, "out_pos1", "out_pos2"]
-    places = materialize(df.groupBy(*place).agg(F.min(id_col).alias("__place")), "places")
-    pairs = distance_join(places, "__place", keys, "out_pos1", "out_pos2", most).select(F.col("id1").alias("a"), F.col("id2").alias("b"))
-    labels = connected_components(pairs).withColumnRenamed("node", "__place")
-    placed = places.join(labels, "__place", "left").select(*place, F.coalesce("component", "__place").alias("component"))
-    x = df.join(placed, place)
-    # the first row is kept in each partition before the shuffle, and the sums are added up there
-    first = x.withColumn("__k", F.row_number().over(Window.partitionBy("component").orderBy(*order, id_col))).where("__k = 1").drop("__k", *counts)
-    sums = x.groupBy("component").agg(*[F.sum(c).alias(c) for c in counts], F.count("*").alias("n_collapsed"))
-    return first.join(sums, "component").select(*df.columns, "n_collapsed")
+    with scratch_tables(df.sparkSession):
+        places = materialize(df.groupBy(*place).agg(F.min(id_col).alias("__place")), "places")
+        pairs = distance_join(places, "__place", keys, "out_pos1", "out_pos2", most).select(F.col("id1").alias("a"), F.col("id2").alias("b"))
+        labels = connected_components(pairs).select(F.col("node").alias("__place"), F.col("component").alias("__c"))
+        near = materialize(places.join(labels, "__place").select(*place, "__c"), "near-places", result=True)
+    x = df.join(near, place, "left")
+    alone = F.col("__c").isNull()
+    group = [*keys, F.when(alone, F.col("out_pos1")).alias("__p1"), F.when(alone, F.col("out_pos2")).alias("__p2"), "__c"]
+    rank = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.col(id_col).alias("i"))
+    kept = [c for c in df.columns if c not in counts and c not in keys]
+    best = F.min_by(F.struct(*kept), rank).alias("__best")
+    sums = x.groupBy(*group).agg(best, *[F.sum(c).alias(f"__sum_{c}") for c in counts], F.count("*").alias("n_collapsed"))
+    of = {c: F.col(f"__sum_{c}").alias(c) for c in counts} | {c: F.col(c) for c in keys}
+    return sums.select(*[of.get(c, F.col("__best")[c].alias(c)) for c in df.columns], "n_collapsed")
 
 
 def discover_amplicons(pairs: DataFrame, most: int, reject: int, keep: int) -> DataFrame:

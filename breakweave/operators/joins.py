@@ -107,19 +107,22 @@ def distance_join(
 ) -> DataFrame:
     """``id1 < id2, distance`` for rows of equal keys whose (x, y) lie within ``most`` of each other.
 
-    Rows are dealt to square cells of that side; the left side looks into its own cell and the
-    eight around it. Rows at equal places should be collapsed before: all their pairs come out.
+    Rows are dealt to square cells of that side; each looks into its own cell and four of the eight around
+    it, so that a pair of cells meets once. Rows at equal places should be collapsed before: all their
+    pairs come out.
     """
     cell = lambda v: F.floor(F.col(v) / most)
-    a = df.select(*keys, F.col(id_col).alias("id1"), F.col(x).alias("__x1"), F.col(y).alias("__y1"), cell(x).alias("__cx"), cell(y).alias("__cy"))
-    near = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-    a = a.withColumn("__dx", F.explode(near)).withColumn("__dy", F.explode(near))
-    a = a.withColumn("__cx", F.col("__cx") + F.col("__dx")).withColumn("__cy", F.col("__cy") + F.col("__dy"))
-    b = df.select(*keys, F.col(id_col).alias("id2"), F.col(x).alias("__x2"), F.col(y).alias("__y2"), cell(x).alias("__cx"), cell(y).alias("__cy"))
+    side = lambda k: [F.col(id_col).alias(f"__i{k}"), F.col(x).alias(f"__x{k}"), F.col(y).alias(f"__y{k}")]
+    near = F.array(*[F.struct(F.lit(i).alias("x"), F.lit(j).alias("y")) for i, j in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
+    a = df.select(*keys, *side(1), cell(x).alias("__cx"), cell(y).alias("__cy"), F.explode(near).alias("__d"))
+    own = (F.col("__d.x") == 0) & (F.col("__d.y") == 0)
+    a = a.select(*keys, "__i1", "__x1", "__y1", (F.col("__cx") + F.col("__d.x")).alias("__cx"), (F.col("__cy") + F.col("__d.y")).alias("__cy"), own.alias("__own"))
+    b = df.select(*keys, *side(2), cell(x).alias("__cx"), cell(y).alias("__cy"))
     dx, dy = F.col("__x1") - F.col("__x2"), F.col("__y1") - F.col("__y2")
     d = F.sqrt(dx * dx + dy * dy) if metric == "euclid" else F.abs(dx) + F.abs(dy)
-    pairs = a.join(b, [*keys, "__cx", "__cy"]).where(F.col("id1") < F.col("id2"))
-    return pairs.withColumn("distance", d).where(F.col("distance") <= most).select(*keys, "id1", "id2", "distance")
+    differ = F.when(F.col("__own"), F.col("__i1") < F.col("__i2")).otherwise(F.col("__i1") != F.col("__i2"))
+    pairs = a.join(b, [*keys, "__cx", "__cy"]).where(differ).withColumn("distance", d).where(F.col("distance") <= most)
+    return pairs.select(*keys, F.least("__i1", "__i2").alias("id1"), F.greatest("__i1", "__i2").alias("id2"), "distance")
 
 
 def neighbours_within(df: DataFrame, id_col: str, keys: list[str], pos: str, most: int) -> DataFrame:

@@ -10,7 +10,7 @@ from ..operators.aggregates import characterize_sv
 from ..operators.filters import sv_evidence, sv_size
 from ..operators.graph import purge_duplicates
 from ..operators.joins import outer_clip_evidence
-from ..operators.ordered import continuity_groups, dense_ids
+from ..operators.ordered import continuity_groups, dense_ids, downsample_per_group
 from ..operators.seeding import parse_continuity_groups
 from .scratch import materialize
 
@@ -23,14 +23,15 @@ def node_name(k: int) -> F.Column:
 
 
 def sv_molecules(
-    molecules: DataFrame, max_tlen: int, read_len: int, min_size: int, min_coverage: int, min_mapq_both: int, min_mapq_one: int, purge: int
+    molecules: DataFrame, max_tlen: int, read_len: int, min_size: int, min_coverage: int, min_mapq_both: int, min_mapq_one: int, purge: int, purge_limit: int | None = None
 ) -> DataFrame:
     """``molecules`` of calls with ``jxn_type, group_id, sv_n, sv_id, is_ambiguous, n_collapsed``: one row for each
     call and unique molecule.
 
     Molecules are typed and filtered by size before the first shuffle, grouped by continuity, kept by
     the group's evidence, assigned to SVs within their groups, and purged of duplicates within each
-    call and sample.
+    call and sample. With ``purge_limit`` a call takes at most so many molecules of a sample, in an order
+    hashed from their ids: a pile-up then lengthens no list of a call.
     """
     kind = junction_type(*[F.col(c) for c in ("chrom1", "side1", "pos1", "chrom2", "side2", "pos2", "node_class")], max_tlen, read_len)
     typed = sv_size(molecules.withColumn("jxn_type", kind).where("jxn_type <> 'P'"), min_size)
@@ -39,15 +40,16 @@ def sv_molecules(
     parsed = parse_continuity_groups(grouped.withColumn("is_split", F.col("node_class") == 1), "group_id", purge, max_tlen)
     parsed = materialize(parsed, "sv-parsed")
     ids = dense_ids(parsed.select("group_id", "sv_n").distinct(), ["group_id", "sv_n"], "sv_id")
-    placed = parsed.join(ids, ["group_id", "sv_n"]).withColumns(
-        {"row_id": F.concat_ws(":", "sv_id", "mol_id"), "__strands": F.col("strand_count1") + F.col("strand_count2"), "__mapq": F.col("mapq1") + F.col("mapq2")}
-    )
-    order = [F.desc("node_class"), F.desc("__strands"), F.desc("__mapq"), F.asc("mol_id")]
+    placed = parsed.join(ids, ["group_id", "sv_n"])
+    if purge_limit is not None:
+        placed = downsample_per_group(placed, ["sample", "sv_id"], purge_limit, "mol_id")
+    order = [-F.col("node_class"), -(F.col("strand_count1") + F.col("strand_count2")), -(F.col("mapq1") + F.col("mapq2")), F.col("mol_id")]
+    placed = placed.withColumn("row_id", F.struct("sv_id", "mol_id"))
     unique = purge_duplicates(placed, "row_id", ["sample", "sv_id"], float(purge), order, ["strand_count1", "strand_count2"])
     if min_coverage > 1:
         enough = unique.groupBy("sv_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_coverage)
         unique = unique.join(enough.select("sv_id"), "sv_id", "left_semi")
-    return unique.drop("row_id", "__strands", "__mapq")
+    return unique.drop("row_id")
 
 
 def call_svs(
@@ -61,6 +63,7 @@ def call_svs(
     min_mapq_both: int = 20,
     min_mapq_one: int = 30,
     purge: int = 5,
+    purge_limit: int | None = None,
 ) -> DataFrame:
     """One row a call: evidence, reference junction, size, a count column for each sample, and ``n_clips``.
 
@@ -69,7 +72,7 @@ def call_svs(
     ``clips`` (node, mol_id, sample, clip_len) that end at a clipped node of it, and are no evidence
     of the call yet, are counted as outer clips.
     """
-    unique = materialize(sv_molecules(molecules, max_tlen, read_len, min_size, min_coverage, min_mapq_both, min_mapq_one, purge), "sv-molecules")
+    unique = materialize(sv_molecules(molecules, max_tlen, read_len, min_size, min_coverage, min_mapq_both, min_mapq_one, purge, purge_limit), "sv-molecules")
     split = F.col("node_class") == 1
     scored = unique.withColumns(
         {"ref_clip": F.when(split, F.least("clip_len1", "clip_len2")).otherwise(F.greatest("clip_len1", "clip_len2")), "ref_tie": -F.col("mol_id")}

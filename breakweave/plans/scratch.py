@@ -37,7 +37,8 @@ def materialize(df: DataFrame, name: str, result: bool = False) -> DataFrame:
     """Write ``df`` and read it back: the lineage is cut and no executor holds the only copy.
 
     Inside :func:`scratch_tables` the table goes with the innermost scope; the ``result`` of a scope
-    belongs to the one around it.
+    belongs to the one around it. Any other goes when the application ends, so that a long-lived shared
+    folder does not fill up.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     scope = _scope.get()
@@ -46,9 +47,16 @@ def materialize(df: DataFrame, name: str, result: bool = False) -> DataFrame:
     if scope:
         scope.paths.append(path)
     df.write.parquet(path)
+    _file_system(df.sparkSession, path, "deleteOnExit")
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str, method: str, *more: bool) -> None:
+    """A method of the Hadoop file system of a path, called with it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    getattr(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), method)(p, *more)
+
+
 @contextmanager
 def scratch_tables(spark: SparkSession) -> Iterator[None]:
     """Delete the tables that are materialized inside, at the end. What leaves the scope must be a
@@ -59,7 +67,5 @@ def scratch_tables(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         _scope.reset(token)
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         for p in scope.paths:
-            path = jvm.org.apache.hadoop.fs.Path(p)
-            path.getFileSystem(conf).delete(path, True)
+            _file_system(spark, p, "delete", True)

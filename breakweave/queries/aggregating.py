@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..fixtures import Fixtures
 from ..operators import aggregates as a
 from ..operators.consensus import duplex_consensus
+from ..operators.distributions import density_mode
 from ..operators import ordered as o
 from . import query
 from .expressions import _DIST, _TYPE, COMPARED_SQL, calls, compared, typed
@@ -439,6 +440,18 @@ def g51(fx: Fixtures) -> DataFrame:
     return a.coverage_peak(fx.bin_counts, ["cell_id"], "n", 0.5)
 
 
+@query("g51_density", """WITH x AS (SELECT user_id % 20 AS cell_id, value::DOUBLE AS v FROM events WHERE value IS NOT NULL), m AS (SELECT *, median(v) OVER (PARTITION BY cell_id) AS md FROM x),
+ k AS (SELECT * FROM m WHERE v BETWEEN md / 5 AND md * 5), s AS (SELECT cell_id, md, count(*) AS n, stddev_samp(v) AS sd, (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.34 AS iqr FROM k GROUP BY ALL),
+ w AS (SELECT cell_id, md, CASE WHEN least(sd, iqr) > 0 THEN 0.9::DOUBLE * least(sd, iqr) * pow(n, -0.2::DOUBLE) WHEN sd > 0 THEN 0.9::DOUBLE * sd * pow(n, -0.2::DOUBLE) ELSE 1 END AS bw FROM s),
+ g AS (SELECT cell_id, md, bw, v / (bw / 8) AS p FROM k JOIN w USING (cell_id, md)), b AS (SELECT cell_id, md, bw, floor(p) AS bin, 1 - (p - floor(p)) AS c FROM g UNION ALL SELECT cell_id, md, bw, floor(p) + 1, p - floor(p) FROM g),
+ d AS (SELECT cell_id, md, bw, bin + j AS point, sum(c * exp(-0.5::DOUBLE * (j / 8.0::DOUBLE) * (j / 8.0::DOUBLE))) AS y FROM (SELECT cell_id, md, bw, bin, sum(c) AS c FROM b GROUP BY ALL), range(-32, 33) t(j) GROUP BY ALL)
+ SELECT cell_id, round(md, 6) AS median, round(bw, 6) AS bandwidth, round(arg_max(point, struct_pack(y := round(y, 6), p := -point)) * bw / 8, 4) AS mode FROM d GROUP BY cell_id, md, bw""")
+def g51_density(fx: Fixtures) -> DataFrame:
+    """Medians and the modes of kernel densities by cell."""
+    x = density_mode(fx.table("events").select((c("user_id") % 20).alias("cell_id"), "value"), ["cell_id"], "value")
+    return x.select("cell_id", F.round("median", 6).alias("median"), F.round("bandwidth", 6).alias("bandwidth"), F.round("mode", 4).alias("mode"))
+
+
 @query("g52", "SELECT chrom, bin_n // 4 AS bin_n, min(start0) AS start0, round(avg(gc_fraction), 6) AS gc_fraction FROM fx_genome_bins GROUP BY chrom, bin_n // 4")
 def g52(fx: Fixtures) -> DataFrame:
     return rounded(a.rebin(fx.genome_bins, ["chrom"], 4, ["gc_fraction"]), "gc_fraction")

@@ -89,9 +89,8 @@ def c3(fx: Fixtures) -> DataFrame:
  s AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY node_class DESC, strand_count1 + strand_count2 DESC, mapq1 + mapq2 DESC, mol_id) AS n, sum(strand_count1) OVER (PARTITION BY k) AS s1, sum(strand_count2) OVER (PARTITION BY k) AS s2, count(*) OVER (PARTITION BY k) AS n_collapsed FROM m)
  SELECT mol_id, s1::BIGINT AS strand_count1, s2::BIGINT AS strand_count2, n_collapsed FROM s WHERE n = 1""")
 def c4(fx: Fixtures) -> DataFrame:
-    order = [F.desc("node_class"), F.desc("__strands"), F.desc(c("mapq1") + c("mapq2"))]
-    x = fx.molecules.withColumn("__strands", c("strand_count1") + c("strand_count2"))
-    out = g.purge_duplicates(x, "mol_id", ["sample", "chrom1"], 5.0, order, ["strand_count1", "strand_count2"])
+    order = [-c("node_class"), -(c("strand_count1") + c("strand_count2")), -(c("mapq1") + c("mapq2"))]
+    out = g.purge_duplicates(fx.molecules, "mol_id", ["sample", "chrom1"], 5.0, order, ["strand_count1", "strand_count2"])
     return out.select("mol_id", "strand_count1", "strand_count2", "n_collapsed")
 
 
