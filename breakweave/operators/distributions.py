@@ -19,6 +19,20 @@ def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return x.where(F.col("__v").isNotNull() & ~F.isnan("__v")).groupBy(*keys, "__v").agg(F.count("*").alias("__k"))
 
 
+def counted_up(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """``counts`` with ``upto``, the rows up to each value over all keys, ``before``, those before its key, and ``n``, the key's."""
+    # dense ids put keys one after another, so one running count over all serves every key
+    ranked = prefix_sum(dense_ids(counts, [*keys, "__v"], "i").withColumn("all", F.lit(0)), "all", "i", "__k", "upto")
+    own = ranked.groupBy(*keys).agg(F.min(F.col("upto") - F.col("__k")).alias("before"), F.sum("__k").alias("n"))
+    return ranked.join(own, keys)
+
+
+def lower_medians(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, median``: the least value up to which half of a key's rows lie."""
+    half = (F.col("upto") - F.col("before")) * 2 >= F.col("n")
+    return counted_up(counts, keys).where(half).groupBy(*keys).agg(F.min("__v").alias("median"))
+
+
 def quantiles_of_counts(counts: DataFrame, keys: list[str], probabilities: list[float]) -> DataFrame:
     """``keys, n, q0, q1, ...`` of :func:`value_counts`: quantiles interpolated between ranks, like SQL's ``percentile_cont``.
 
@@ -27,10 +41,7 @@ def quantiles_of_counts(counts: DataFrame, keys: list[str], probabilities: list[
     """
     if not keys:
         return quantiles_of_counts(counts.withColumn("__one", F.lit(0)), ["__one"], probabilities).drop("__one")
-    # dense ids put keys one after another, so one running count over all serves every key
-    ranked = prefix_sum(dense_ids(counts, [*keys, "__v"], "i").withColumn("all", F.lit(0)), "all", "i", "__k", "upto")
-    own = ranked.groupBy(*keys).agg(F.min(F.col("upto") - F.col("__k")).alias("before"), F.sum("__k").alias("n"))
-    x = ranked.join(own, keys)
+    x = counted_up(counts, keys)
     last, first = F.col("upto") - F.col("before"), F.col("upto") - F.col("before") - F.col("__k")
     aggs, out = [], []
     for j, p in enumerate(probabilities):

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.analysis import log_nbinom_pmf
+from .distributions import lower_medians
 from .joins import overlap_fraction
 from .ordered import dense_ids, prefix_sum, run_length_segments
 
@@ -177,22 +182,56 @@ def adapter_classifier(train: DataFrame, features: list[str], label: str, max_it
     return Pipeline(stages=stages).fit(train)
 
 
+#: Resampling weights that a task adds up before it hands them on.
+RESAMPLED = 4_000_000
+
+
 def bootstrap_median(df: DataFrame, group: str, id_col: str, value: str, rounds: int, seed: str = "0") -> DataFrame:
     """``group, low, median, high``: limits (2.5 and 97.5 percent) of medians over hash-seeded Poisson resamples.
 
-    A row's weight in a round is 0 to 4 by inverting a Poisson distribution of mean 1.
+    A row's weight in a round is 0 to 4 by inverting a Poisson distribution of mean 1. A row carries its
+    weights of all rounds as one array; arrays are added up by value inside each task, so what is shuffled
+    follows the number of distinct values and rounds, not that of rows. Null values take no part.
     """
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col(id_col).cast("string"), F.col("round").cast("string"))), 1, 13), 16, 10).cast("double") / float(2**52)
-    x = df.select(group, id_col, value, F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
     cuts = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462]
-    k = sum((u > c).cast("int") for c in cuts)
-    y = x.withColumn("k", k).where("k > 0").groupBy(group, "round", value).agg(F.sum("k").alias("k"))
-    w = Window.partitionBy(group, "round")
-    y = y.withColumn("c", F.sum("k").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("s", F.sum("k").over(w))
-    m = y.where(F.col("c") * 2 >= F.col("s")).groupBy(group, "round").agg(F.min(value).alias("median"))
+
+    def weight(r: Column) -> Column:
+        u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col(id_col).cast("string"), r.cast("string"))), 1, 13), 16, 10).cast("double") / float(2**52)
+        return sum((u > c).cast("int") for c in cuts)
+
+    x = df.where(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("__v"), F.transform(F.sequence(F.lit(1), F.lit(rounds)), weight).alias("w"))
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, held = [group, "__v", "w"], None
+        for batch in batches:
+            part = pa.table({group: batch.column(0), "__v": batch.column(1)}).append_column("at", pa.array(np.arange(batch.num_rows)))
+            w = batch.column(2).flatten().to_numpy().reshape(-1, rounds).astype(np.int64)
+            if held is not None:
+                part = pa.concat_tables([held[0].append_column("at", pa.array(np.arange(held[0].num_rows) + len(w))), part])
+                w = np.concatenate([w, held[1]])
+            same = part.group_by([group, "__v"]).aggregate([("at", "list")])
+            lists = same.column("at_list").combine_chunks()
+            order, starts = lists.values.to_numpy(), lists.offsets.to_numpy()[:-1]
+            held = same.select([group, "__v"]), np.add.reduceat(w[order], starts, axis=0) if len(order) else w[:0]
+            if held[1].size > RESAMPLED:
+                yield from _weights(held, names)
+                held = None
+        if held is not None:
+            yield from _weights(held, names)
+
+    kinds = dict(df.dtypes)
+    summed = x.mapInArrow(add_up, f"{group} {kinds[group]}, __v double, w array<long>")
+    y = summed.select(group, "__v", F.posexplode("w").alias("round", "k")).where("k > 0").groupBy(group, "round", "__v").agg(F.sum("k").alias("__k"))
+    m = lower_medians(y, [group, "round"])
     return m.groupBy(group).agg(F.percentile("median", F.lit(0.025)).alias("low"), F.percentile("median", F.lit(0.5)).alias("median"), F.percentile("median", F.lit(0.975)).alias("high"))
 
 
+def _weights(held: tuple[pa.Table, np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
+    keys, w = held
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(w) + 1, dtype=np.int32) * w.shape[1]), pa.array(w.ravel()))
+    yield from pa.table([*keys.columns, lists], names).to_batches()
+
+
 def rank_sum(df: DataFrame, group: str, value: str) -> DataFrame:
     """Rank sums with mid-ranks of ties: ``group, n, rank_sum``. Ranks come from counts of distinct values."""
     n = dense_ids(df.groupBy(value).agg(F.count("*").alias("k")), [value], "i")

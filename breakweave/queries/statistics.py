@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import Fixtures
 from ..operators import models as m
+from ..operators.loess import local_shape
 from ..operators.regression import rate_model
 from . import query
 
@@ -91,6 +92,24 @@ def m8(fx: Fixtures) -> DataFrame:
     return rounded(m.chromosome_shape(fx.bin_counts, ["cell_id", "chrom"], "bin_n", "n", 5).select("cell_id", "chrom", "bin_n", "shape"), "shape")
 
 
+def _det(m: list[list[str]]) -> str:
+    (a, b, c_), (d, e, f), (g, h, i) = m
+    return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c_} * ({d} * {h} - {e} * {g}))"
+
+
+_POWERS = [[f"s{i + j}" for j in range(3)] for i in range(3)]
+
+
+@query("m8_local", f"""WITH p AS (SELECT a.cell_id, a.chrom, a.bin_n, a.n, b.bin_n - a.bin_n AS d, b.n AS y, max(abs(b.bin_n - a.bin_n)) OVER (PARTITION BY a.cell_id, a.chrom, a.bin_n) AS h, avg(b.n) OVER (PARTITION BY a.cell_id, a.chrom, a.bin_n) AS m FROM fx_bin_counts a JOIN fx_bin_counts b USING (cell_id, chrom)),
+ u AS (SELECT *, d / h::DOUBLE AS u, pow(1 - pow(abs(d / h::DOUBLE), 3), 3) AS w FROM p),
+ s AS (SELECT cell_id, chrom, bin_n, n, m, {', '.join(f'sum(w * pow(u, {k})) AS s{k}' for k in range(5))}, {', '.join(f'sum(w * y * pow(u, {k})) AS t{k}' for k in range(3))}, count(*) AS k FROM u GROUP BY ALL),
+ f AS (SELECT cell_id, chrom, bin_n, n, CASE WHEN k >= 10 THEN {_det([[f't{i}' if j == 0 else _POWERS[i][j] for j in range(3)] for i in range(3)])} / {_det(_POWERS)} / m ELSE 1 END AS shape FROM s)
+ SELECT cell_id, chrom, bin_n, round(shape, 6) AS shape, round(n / shape * sum(n) OVER w / sum(n / shape) OVER w, 6) AS corrected FROM f WINDOW w AS (PARTITION BY cell_id, chrom)""")
+def m8_local(fx: Fixtures) -> DataFrame:
+    """Trends along chromosomes by local regression, and counts corrected for them."""
+    return rounded(local_shape(fx.bin_counts, ["cell_id", "chrom"], "bin_n", "n").drop("n"), "shape", "corrected")
+
+
 @query("m9", """WITH h AS (SELECT cell_id, n, count(*) AS k FROM fx_bin_counts GROUP BY ALL), d AS (SELECT *, k / sum(k) OVER (PARTITION BY cell_id) AS density, sum(k * n) OVER (PARTITION BY cell_id) / sum(k) OVER (PARTITION BY cell_id) AS mean FROM h), g AS (SELECT *, i / 20 AS f, mean / (1 + i / 20) AS b FROM d, range(0, 20) t(i)),
  q AS (SELECT *, (SELECT sum(CASE j WHEN 0 THEN (1 - f) * (1 - f) WHEN 1 THEN 2 * f * (1 - f) ELSE f * f END * exp(lgamma(n + 20.0) - lgamma(20.0) - lgamma(n + 1.0) + 20 * ln(20 / (20 + b * (1 + j / 2))) + n * ln(b * (1 + j / 2) / (20 + b * (1 + j / 2))))) FROM range(0, 3) u(j)) AS p FROM g),
  r AS (SELECT cell_id, f, sqrt(avg((density - p) * (density - p))) AS rmsd FROM q GROUP BY ALL) SELECT cell_id, round(arg_min(f, rmsd), 6) AS fraction_s, round(min(rmsd), 6) AS rmsd FROM r GROUP BY cell_id""")
@@ -128,11 +147,6 @@ def m11_welch(fx: Fixtures) -> DataFrame:
 _FACTORS = f"SELECT *, (grp = 'G1')::INT::DOUBLE AS a, (chrom1 % 2)::INT::DOUBLE AS b FROM ({_RATES})"
 
 
-def _det(m: list[list[str]]) -> str:
-    (a, b, c_), (d, e, f), (g, h, i) = m
-    return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c_} * ({d} * {h} - {e} * {g}))"
-
-
 _NORMAL = [["s0", "sa", "sb"], ["sa", "sa", "sab"], ["sb", "sab", "sb"]]
 _RIGHT = ["t0", "ta", "tb"]
 _SOLVED = ", ".join(f"{_det([[_RIGHT[i] if j == k else _NORMAL[i][j] for j in range(3)] for i in range(3)])} / {_det(_NORMAL)} AS b{k}" for k in range(3))
