@@ -41,6 +41,14 @@ SCOPES = frozenset("ul ol dl table td th article section div aside body main".sp
 BOUNDS = frozenset("article main body".split())
 #: Text of these inside an article is the article's own, however often it recurs.
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dd dt td th b i em strong a span code sup sub br u small mark".split())
+#: Lists, tables and figures of an article are its own too, unless they hold links or forms.
+LISTS = frozenset("ul ol li dl table caption thead tbody tfoot tr figure figcaption".split())
+LINKS = frozenset("a form input button select textarea iframe".split())
+#: A container in which so many links hold this share of the text is a list of links, in an article too.
+LINK_SHARE, LEAST_LINKS = 0.8, 2
+#: Containers that can be such a list.
+CONTAINERS = frozenset("div section ul ol".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: These are never furniture inside an article, whatever their attributes say.
 PLAIN = frozenset("h1 h2 h3 h4 h5 h6 blockquote pre code b i em strong sub sup u small mark".split())
 #: Single lines, items and rows of any text can recur by chance: for these the share decides alone.
@@ -53,6 +61,8 @@ ARTICLE_MARKS = frozenset(
 )
 #: Outside an article also other lists of links and the head of the page.
 MARKS = ARTICLE_MARKS | frozenset("banner masthead related recommended search contentinfo complementary skip widget toolbar topbar".split())
+#: A paragraph of an article with these can be the article's own remark.
+NOTICE_MARKS = frozenset("notice notices".split())
 COMMENT_MARKS = frozenset("comment comments reply replies".split())
 ROLES = frozenset("navigation menu menubar banner contentinfo complementary search form dialog alertdialog".split())
 #: Words that say nothing: a name is a mark where it has a word of the marks and else only these.
@@ -82,8 +92,12 @@ class Node:
     first_node: int
     outer: list[str] | None = None
     parts: list[str] = field(default_factory=list)
+    linked: int = 0
+    link_chars: int = 0
+    own_chars: int = 0
     holds: int = 0
     titled: bool = False
+    headed: bool = False
 
 
 @dataclass
@@ -183,7 +197,7 @@ def is_furniture(tag: str, attributes: str, level: int, literal: bool = False) -
         return False
     if hidden or not ROLES.isdisjoint(role.split()):
         return True
-    if named(names, ARTICLE_MARKS if level == 2 else MARKS):
+    if named(names, (ARTICLE_MARKS - NOTICE_MARKS if tag == "p" else ARTICLE_MARKS) if level == 2 else MARKS):
         return True
     return not level and any(
         "header" in words and HEADS.issuperset(words) for words in ({w.lower() for w in WORDS.findall(t)} for t in names.split())
@@ -200,13 +214,16 @@ def parse(page: str) -> Page:
     """Blocks outside page furniture, and every element subtree that holds some. Linear in the page's length.
 
     Furniture that holds an article counts as such only where the page has an article outside it; a
-    form that holds a first heading is a wrapper, no form.
+    form that holds a first heading is a wrapper, no form. Containers inside an article whose text is mostly
+    links are furniture. Where nothing else is left, the furniture
+    with a heading and most text besides links comes back.
     """
     root = Node("#", 0, False, False, False, 0, 0)
     stack, blocks, nodes, text = [root], [], [], []
     open_at: dict[str, list[int]] = {}
     bounds: list[int] = []
     rescued: list[tuple[int, int]] = []
+    removed: tuple[int, list[tuple[str, int]]] = (0, [])
 
     def flush() -> None:
         if text:
@@ -229,7 +246,7 @@ def parse(page: str) -> Page:
         stack.append(node)
 
     def pop() -> None:
-        nonlocal text
+        nonlocal text, removed
         if stack[-1].tag in BLOCKS:
             flush()
         node = stack.pop()
@@ -239,9 +256,22 @@ def parse(page: str) -> Page:
         h = _hash(f"{node.tag}({'|'.join(node.parts)})")
         top = stack[-1]
         top.parts.append(str(h))
+        if node.tag == "a":
+            node.linked, node.link_chars = 1, node.own_chars
+        top.linked += node.linked or node.tag in LINKS
+        top.link_chars += node.link_chars
+        top.own_chars += node.own_chars
+        top.headed |= node.headed or node.tag in HEADINGS
+        own = node.own_chars - node.link_chars
+        if node.level == 2 and node.tag in CONTAINERS and not node.holds and not node.soft and not node.hard:
+            if node.linked >= LEAST_LINKS and node.link_chars >= LINK_SHARE * node.own_chars:
+                del blocks[node.first_block :], nodes[node.first_node :]
+                return
         if node.soft:
             wraps = node.holds > top.level or node.titled and node.tag == "form"
             if not wraps:  # furniture: its blocks and subtrees go
+                if node.headed and own > max(removed[0], node.link_chars) and node.tag not in ("nav", "menu", "footer", "header"):
+                    removed = (own, blocks[node.first_block :])
                 del blocks[node.first_block :], nodes[node.first_node :]
                 text = node.outer
                 return
@@ -252,7 +282,8 @@ def parse(page: str) -> Page:
         top.titled |= node.titled or node.tag == "h1"
         if len(blocks) > node.first_block:
             whole = node.holds > 0 or node.tag in ("html", "body", "article", "main")
-            if not whole and not (node.level == 2 and node.tag in TEXTUAL):
+            its_own = node.tag in TEXTUAL or node.tag in LISTS and not node.linked
+            if not whole and not (node.level == 2 and its_own):
                 nodes.append((h & ~1 | (node.tag in ITEMS), node.first_block, len(blocks)))
 
     for kind, value, attributes in tokens(page):
@@ -260,6 +291,7 @@ def parse(page: str) -> Page:
         if kind == "text":
             if value.strip():
                 top.parts.append(value.strip())
+                top.own_chars += 0 if top.hard else len(value.strip())
             if not top.hard:
                 text.append(_html.unescape(value))
         elif kind == "start":
@@ -302,6 +334,8 @@ def parse(page: str) -> Page:
     while len(stack) > 1:
         pop()
     flush()
+    if not blocks:
+        blocks = [(t, 0) for t, _ in removed[1]]
     if rescued:
         inside = [0] * (len(blocks) + 1)
         for a, z in rescued:
