@@ -321,6 +321,22 @@ def test_subtree_counts_match_a_plain_count(spark):
     assert all(x.text == want[x.page_id % 1000] and x.n_chars == len(x.text) for x in html_text.extract_text(df).collect())
 
 
+def test_a_page_inside_furniture_keeps_its_text():
+    page = '<nav><a href=x>Home</a></nav><form><div id="main"><h2>Title</h2><p>own text</p></div></form><footer>All rights reserved</footer>'
+    assert html_text.page_text(page) == "Title\nown text"
+    assert html_text.page_text("<nav><h2>Menu</h2><a href=x>Home</a></nav><div class='cookie-notice'>We use cookies</div><footer>All rights</footer>") == ""
+
+
+def test_lists_of_an_article_stay_and_lists_of_links_go(spark):
+    own = "<ul><li>Mix well</li><li>Serve hot</li></ul><figure><img src=x><figcaption>A pan</figcaption></figure><p class='notice'>Mind the heat</p>"
+    links = "<div class='more'><ul><li><a href=1>Another recipe</a></li><li><a href=2>A third recipe</a></li></ul></div>"
+    prose = "<p>See <a href=3>this page</a> and <a href=4>that one</a> for what else can be said about pans.</p>"
+    pages = [(i, f"http://kitchen.org/{i}", f"<body><article><h1>Recipe {i}</h1><p>Take {i} eggs.</p>{own}{links}{prose}</article></body>") for i in range(40)]
+    got = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for i in range(40):
+        assert got[i] == f"Recipe {i}\nTake {i} eggs.\nMix well\nServe hot\nA pan\nMind the heat\nSee this page and that one for what else can be said about pans."
+
+
 def test_templates_of_a_host_go_and_articles_stay(spark):
     rows = [(i, f"http://h.example/{i}", f"<div><div>always the same box</div><p>page {i} says its own words</p></div>") for i in range(12)]
     rows += [(100 + i, "http://g.example/x", "<article><p>copied article</p></article>") for i in range(12)]
@@ -643,20 +659,89 @@ def test_recall_on_the_test_tables(spark, sf):
     df = spark.read.parquet(path).where("embedding is not null")
     ids, x = zip(*[(r.vec_id, r.embedding) for r in df.collect()])
     ids, x = np.array(ids), np.array(x, dtype=float)
-    found = {}
-    for least in (ann.SEARCH_LEAST, 300):  # the smaller one makes these small tables a search
-        rows = ann.nearest_neighbours(df, df.where("vec_id % 100 = 0"), search_least=least).collect()
-        for r in rows:
-            found.setdefault((least, r.query_id), []).append(r)
-    hit = {}
-    for (least, q), rows in found.items():
+    rows = {}
+    for r in ann.nearest_neighbours(df, df.where("vec_id % 100 = 0")).collect():
+        rows.setdefault(r.query_id, []).append(r)
+    hit = []
+    for q, own in rows.items():
         d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(axis=1))
         order = [i for i in np.lexsort((ids, d)) if ids[i] != q][:10]
-        rows.sort(key=lambda r: r.rank)
-        assert [r.rank for r in rows] == list(range(1, 11))
-        assert all(abs(r.score - d[ids == r.vec_id][0]) < 1e-12 for r in rows)
-        hit.setdefault(least, []).append(len({r.vec_id for r in rows} & set(ids[order].tolist())) / 10)
-    assert np.mean(hit[ann.SEARCH_LEAST]) >= 0.9 and np.mean(hit[300]) >= 0.6
+        own.sort(key=lambda r: r.rank)
+        assert [r.rank for r in own] == list(range(1, 11))
+        assert all(abs(r.score - d[ids == r.vec_id][0]) < 1e-12 for r in own)
+        hit.append(len({r.vec_id for r in own} & set(ids[order].tolist())) / 10)
+    assert np.mean(hit) >= 0.9
+
+
+def clustered(n, d=32, clusters=150, seed=3):
+    r = np.random.default_rng(seed)
+    return (r.standard_normal((clusters, d))[r.integers(0, clusters, n)] * 3 + r.standard_normal((n, d)) * 0.3).astype(np.float32)
+
+
+@pytest.mark.parametrize(("kind", "most"), [("clusters", 0.05), ("noise", 0.5)])
+def test_the_queue_prunes_and_still_finds(kind, most):
+    """20,000 vectors: clusters are found in a twentieth, pure noise, which no tree can cut well, in less than half."""
+    x = clustered(20_000) if kind == "clusters" else np.random.default_rng(4).standard_normal((20_000, 48)).astype(np.float32)
+    forest = ann.Forest([ann.Tree.fit(x, 1000 + i) for i in range(12)])
+    share = np.quantile(ann.calibrate(forest, x, np.arange(0, 20_000, 400), 10), ann.RECALL)
+    leaves = np.concatenate([forest.leaves(x[i : i + 512]) for i in range(0, len(x), 512)])
+    queries = np.arange(7, 20_000, 500)
+    hit, opened = [], []
+    for q, (place, bound) in zip(queries, forest.leaf_order(x[queries])):
+        is_open = np.zeros(len(forest.sizes), bool)
+        is_open[forest.open(place, bound, int(np.ceil(share * len(x))), x[q], x, 11)] = True
+        found = is_open[leaves].any(axis=1)
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hit.append(found[np.argpartition(d, 10)[:10]].mean())
+        opened.append(found.mean())
+    assert np.mean(hit) >= 0.9 and np.mean(opened) <= most
+
+
+def test_leaf_places_match_a_priority_queue():
+    """The place and bound of every leaf, against a plain walk with a heap."""
+    import heapq
+
+    r = np.random.default_rng(2)
+    x = r.standard_normal((300, 8)).astype(np.float32)
+    trees = [ann.Tree.fit(x, i, leaf=3) for i in range(4)] + [ann.Tree.fit(x[:2].repeat(150, axis=0), 9, leaf=3)]
+    forest = ann.Forest(trees)
+    first = np.cumsum([0, *[len(t.sizes) for t in trees]])
+    q = r.standard_normal(8).astype(np.float32)
+    ((place, bound),) = list(forest.leaf_order(q[None]))
+    heap, order = [(0.0, 0.0, i, 0 if len(t.offsets) else -1) for i, t in enumerate(trees)], []
+    while heap:
+        missed, far, i, node = heapq.heappop(heap)
+        t = trees[i]
+        while node >= 0:
+            m = float(t.normals[node] @ q - t.offsets[node])
+            near, away = (1, 0) if m > 0 else (0, 1)
+            heapq.heappush(heap, (missed + m * m, max(far, abs(m)), i, int(t.children[node, away])))
+            node = int(t.children[node, near])
+        order.append((missed, far, int(first[i]) - node - 1))
+    assert len(order) == len(place)
+    for missed, far, leaf in order:
+        assert abs(place[leaf] - missed) < 1e-3 * (1 + missed) and abs(bound[leaf] - far) < 1e-3 * (1 + far)
+    own = forest.leaves(x)
+    for i, t in enumerate(trees[:4]):  # every fitted point lies in the leaf that holds it
+        of = np.repeat(np.arange(len(t.sizes)), t.sizes)
+        assert np.array_equal(own[t.members, i] - first[i], of)
+
+
+def test_many_blocks_and_hot_vectors(spark):
+    """Vectors of several blocks, a third of them in one spot, routed by leaf: the neighbours of an exhaustive search."""
+    x = clustered(9000, d=16, clusters=40)
+    x[::3] = x[0] + np.random.default_rng(1).standard_normal((3000, 16)).astype(np.float32) * 1e-3
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>").repartition(8)
+    rows = {}
+    for r in ann.nearest_neighbours(df, df.where("vec_id % 50 = 0"), trees=12).collect():
+        rows.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = []
+    for q, got in rows.items():
+        d = ((x.astype(float) - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hit.append(len(got & set(np.argsort(d)[:10].tolist())) / 10)
+    assert len(rows) == 180 and np.mean(hit) >= 0.9
 
 
 def test_sha_of_no_spans():
