@@ -22,7 +22,7 @@ from ..operators.joins import small
 from .common import materialize
 
 #: The forest is fitted on about so many vectors at most, chosen by a hash of the id.
-MAX_FIT = 60_000
+MAX_FIT = 40_000
 TREES, LEAF = 24, 6
 #: The queue is drained as far as finds this share of the nearest neighbours of about so many fitted vectors.
 RECALL, CALIBRATION = 0.95, 96
@@ -104,9 +104,10 @@ class Forest:
         self.normals = np.concatenate([t.normals for t in trees]).astype(np.float16)
         self.offsets = np.concatenate([t.offsets for t in trees])
         # children: a node's number, or below 0 that of a leaf
-        self.children = np.concatenate([np.where(t.children >= 0, t.children + a, t.children - b) for t, a, b in zip(trees, n_nodes, n_leaves)])
+        placed = [np.where(t.children >= 0, t.children + a, t.children - b).astype(np.int32) for t, a, b in zip(trees, n_nodes, n_leaves)]
+        self.children = np.concatenate(placed)
         self.roots = np.array([a if len(t.offsets) else -b - 1 for t, a, b in zip(trees, n_nodes, n_leaves)], dtype=np.int64)
-        self.sizes = np.concatenate([t.sizes for t in trees])
+        self.sizes = np.concatenate([t.sizes for t in trees]).astype(np.int32)
         self.members = np.concatenate([t.members for t in trees])
         self.ends = np.cumsum(self.sizes)
         self.first_leaves = len(trees[0].sizes)
@@ -243,17 +244,17 @@ def fit_forest(rows: DataFrame, trees: int = TREES, max_fit: int = MAX_FIT) -> t
 
     made = spark.range(0, trees, 1, trees).mapInArrow(fit, "i long, a binary, b binary, c binary, d binary, e binary")
     dim = x.shape[1]
-    found = [
-        Tree(
+    found = {
+        r.i: Tree(
             np.frombuffer(r.a, np.float16).reshape(-1, dim),
             np.frombuffer(r.b, np.float32),
             np.frombuffer(r.c, np.int32).reshape(-1, 2),
             np.frombuffer(r.d, np.int64),
             np.frombuffer(r.e, np.int32),
         )
-        for r in sorted(made.collect(), key=lambda r: r.i)
-    ]
-    return Forest(found), x
+        for r in made.toLocalIterator()  # a tree at a time
+    }
+    return Forest([found[i] for i in sorted(found)]), x
 
 
 def calibrated_share(spark: SparkSession, shared: Broadcast, k: int, recall: float, sample: int = CALIBRATION) -> float:
