@@ -145,6 +145,53 @@ def replication_state_gc(df: DataFrame, states: list[int], gc: str = "gc_index")
     return n.where(F.col("state").isin(states)).withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("state"))).drop("n")
 
 
+#: Which states of the copy-neutral tables, in which shares, stand for a copy number and its number of
+#: replicated alleles, by ploidy. ``any`` is every replicated state together, ``all`` all windows.
+STATE_MIXES = {
+    1: {
+        (0, 0): {"all": 1.0},
+        (1, 0): {"0": 1.0}, (1, 1): {"1": 1.0},
+        (2, 0): {"0": 1.0}, (2, 1): {"0": 1 / 2, "1": 1 / 2}, (2, 2): {"1": 1.0},
+        (3, 0): {"0": 1.0}, (3, 1): {"0": 2 / 3, "1": 1 / 3}, (3, 2): {"0": 1 / 3, "1": 2 / 3}, (3, 3): {"1": 1.0},
+        (4, 0): {"0": 1.0}, (4, 1): {"0": 3 / 4, "1": 1 / 4}, (4, 2): {"0": 1 / 2, "1": 1 / 2}, (4, 3): {"0": 1 / 4, "1": 3 / 4}, (4, 4): {"1": 1.0},
+    },
+    2: {
+        (0, 0): {"all": 1.0},
+        (1, 0): {"0": 1.0}, (1, 1): {"any": 1.0},
+        (2, 0): {"0": 1.0}, (2, 1): {"1": 1.0}, (2, 2): {"2": 1.0},
+        (3, 0): {"0": 1.0}, (3, 1): {"0": 1 / 2, "1": 1 / 2}, (3, 2): {"1": 1 / 4, "2": 3 / 4}, (3, 3): {"2": 1.0},
+        (4, 0): {"0": 1.0}, (4, 1): {"0": 1 / 2, "1": 1 / 2}, (4, 2): {"1": 1.0}, (4, 3): {"1": 1 / 2, "2": 1 / 2}, (4, 4): {"2": 1.0},
+    },
+}
+
+
+def replication_state_tables(df: DataFrame, keys: list[str], gc: str = "gc_index", replicated: str = "nar", ploidy: int = 2, least: float = 0.01) -> DataFrame:
+    """``keys, cn, nar, gc, p``: how likely each GC percent is in a state of ``cn`` copies, ``nar`` of them replicated.
+
+    Input: copy-neutral windows with their number of replicated alleles, 0 to ``ploidy``. Its tables are
+    shares of at least ``least``; those of other copy numbers lie between them (``STATE_MIXES``), scaled to
+    sum to 1 over the key's percentages. In a diploid key without windows of one replicated allele that table
+    lies halfway between the other two; any other state without windows is ``least`` throughout.
+    """
+    states = [str(j) for j in range(ploidy + 1)]
+    counts = df.where(F.col(replicated).isNotNull() & F.col(gc).isNotNull()).groupBy(*keys, gc).agg(
+        *[F.sum((F.col(replicated) == j).cast("int")).alias(f"n_{j}") for j in states], F.count("*").alias("n_all")
+    )
+    counts = counts.withColumn("n_any", F.col("n_all") - F.col("n_0"))
+    names = [*states, "all", "any"]
+    w = Window.partitionBy(*keys)  # one row a percentage
+    share = lambda j: F.greatest(F.lit(least), F.coalesce(F.col(f"n_{j}") / F.nullif(F.sum(f"n_{j}").over(w), F.lit(0)), F.lit(0.0)))
+    x = counts.select(*keys, gc, *[share(j).alias(f"p_{j}") for j in names], *[F.sum(f"n_{j}").over(w).alias(f"t_{j}") for j in states])
+    if ploidy == 2:
+        half = (F.col("p_0") + F.col("p_2")) / 2
+        x = x.withColumn("p_1", F.when(F.col("t_1") == 0, half / F.sum(half).over(w)).otherwise(F.col("p_1")))
+    mixed = lambda mix: sum(F.col(f"p_{j}") * v for j, v in mix.items())
+    rows = [F.struct(F.lit(cn).alias("cn"), F.lit(nar).alias("nar"), mixed(mix).alias("p"), F.lit(len(mix) > 1).alias("is_mix")) for (cn, nar), mix in STATE_MIXES[ploidy].items()]
+    x = x.select(*keys, gc, F.explode(F.array(*rows)).alias("s")).select(*keys, gc, "s.*")
+    total = F.sum("p").over(Window.partitionBy(*keys, "cn", "nar"))
+    return x.select(*keys, "cn", "nar", gc, F.when(F.col("is_mix"), F.col("p") / total).otherwise(F.col("p")).alias("p"))
+
+
 def welch_test(df: DataFrame, group: str, value: str) -> DataFrame:
     """Welch's t and its degrees of freedom for two groups, the lesser name first."""
     s = df.groupBy(group).agg(F.avg(value).alias("m"), F.var_samp(value).alias("v"), F.count("*").alias("n"))

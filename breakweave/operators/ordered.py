@@ -346,3 +346,19 @@ def pileup_rows(df: DataFrame, keys: list[str], order: list, out: str = "row_n")
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
+def balanced_sample(df: DataFrame, kind: str, id_col: str, like: str | None = None, seed: str = "0") -> DataFrame:
+    """At most as many rows of each kind as there are of ``like``, or of the rarest kind, in an order hashed from ids.
+
+    Rows are ranked inside ranges of the hash, which are counted up (see :func:`dense_ids`), so a frequent kind is
+    no task. A null kind is a kind; without rows of ``like`` there is no sample. Ids are distinct in a kind.
+    """
+    counts = df.groupBy(F.col(kind).alias("__kind")).agg(F.count("*").alias("__n"))
+    most = counts.where(F.col("__kind") == like).select("__n") if like is not None else counts.agg(F.min("__n").alias("__n"))
+    found = most.collect()  # one number
+    if not found or found[0][0] is None:
+        return df.limit(0)
+    h = F.md5(F.concat_ws("|", F.lit(seed), F.col(id_col).cast("string")))
+    ranked = dense_ids(df.withColumn("__h", h), [kind, "__h", id_col], "__rank")
+    first = ranked.groupBy(F.col(kind).alias("__kind")).agg(F.min("__rank").alias("__first"))  # one row a kind
+    near = ranked.join(first, F.col(kind).eqNullSafe(F.col("__kind"))).where(F.col("__rank") - F.col("__first") < found[0][0])
+    return near.select(*df.columns)

@@ -167,6 +167,13 @@ def w18(fx: Fixtures) -> DataFrame:
     return o.downsample_per_group(fx.molecules, ["sample", "chrom1"], 11, "mol_id", "7").select("sample", "chrom1", "mol_id")
 
 
+@query("w18_balanced", """WITH r AS (SELECT mol_id, side1, row_number() OVER (PARTITION BY side1 ORDER BY md5('0|' || mol_id), mol_id) AS k FROM fx_molecules), n AS (SELECT min(n) AS n FROM (SELECT count(*) AS n FROM fx_molecules GROUP BY side1))
+ SELECT mol_id, side1 FROM r, n WHERE k <= n.n""")
+def w18_balanced(fx: Fixtures) -> DataFrame:
+    """As many molecules of each side as there are of the rarer one."""
+    return o.balanced_sample(fx.molecules.select("mol_id", "side1"), "side1", "mol_id")
+
+
 @query("w19", "SELECT chrom1, pos1, n, row_number() OVER (ORDER BY n DESC, chrom1, pos1) AS junction_n FROM (SELECT chrom1, pos1, count(*) AS n FROM fx_molecules GROUP BY ALL)")
 def w19(fx: Fixtures) -> DataFrame:
     x = fx.molecules.groupBy("chrom1", "pos1").agg(F.count("*").alias("n"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import Fixtures
 from ..operators import models as m
+from ..operators.likelihood import nbinom_dispersion, replication_likelihood
 from ..operators.loess import local_shape
 from ..operators.regression import rate_model
 from . import query
@@ -117,12 +118,40 @@ def m9(fx: Fixtures) -> DataFrame:
     return rounded(m.replication_mixture(fx.bin_counts, "cell_id"), "fraction_s", "rmsd")
 
 
+@query("m9_likelihood")
+def m9_likelihood(fx: Fixtures) -> DataFrame:
+    """Shares of replicated alleles by cell, by expectation-maximisation."""
+    return replication_likelihood(fx.bin_counts, ["cell_id"], "n")
+
+
+@query("m1_likelihood")
+def m1_likelihood(fx: Fixtures) -> DataFrame:
+    """Dispersion of counts by cell and GC percent, by greatest likelihood."""
+    return nbinom_dispersion(gc_counts(fx), ["cell_id", "gc_index"], "n")
+
+
 @query("m10", f"""WITH {_GC}, k AS (SELECT n, gc_index, count(*) AS k FROM gcb WHERE n IN (1, 2, 3) GROUP BY ALL) SELECT n AS state, gc_index, round(k / sum(k) OVER (PARTITION BY n), 6) AS p FROM k""")
 def m10(fx: Fixtures) -> DataFrame:
     x = gc_counts(fx).withColumn("state", c("n"))
     return rounded(m.replication_state_gc(x, [1, 2, 3]), "p")
 
 
+_MIXES = " UNION ALL ".join(
+    f"SELECT cell_id, {cn} AS cn, {nar} AS nar, gc_index, {' + '.join(f'p_{j} * {v!r}::DOUBLE' for j, v in mix.items())} AS p, {len(mix) > 1} AS is_mix FROM sh"
+    for (cn, nar), mix in m.STATE_MIXES[2].items()
+)
+
+
+@query("m10_tables", f"""WITH {_GC}, k AS (SELECT cell_id, gc_index, n - 1 AS nar FROM gcb WHERE n IN (1, 2, 3)), c AS (SELECT cell_id, gc_index, {', '.join(f'count(*) FILTER (WHERE nar = {j}) AS n_{j}' for j in range(3))}, count(*) AS n_all, count(*) FILTER (WHERE nar > 0) AS n_any FROM k GROUP BY ALL),
+ s0 AS (SELECT cell_id, gc_index, {', '.join(f'greatest(0.01::DOUBLE, coalesce(n_{j} / nullif(sum(n_{j}) OVER w, 0), 0)) AS p_{j}' for j in ('0', '1', '2', 'all', 'any'))}, sum(n_1) OVER w AS t_1 FROM c WINDOW w AS (PARTITION BY cell_id)),
+ sh AS (SELECT * REPLACE (CASE WHEN t_1 = 0 THEN (p_0 + p_2) / 2 / sum((p_0 + p_2) / 2) OVER (PARTITION BY cell_id) ELSE p_1 END AS p_1) FROM s0), x AS ({_MIXES})
+ SELECT cell_id, cn, nar, gc_index, round(CASE WHEN is_mix THEN p / sum(p) OVER (PARTITION BY cell_id, cn, nar) ELSE p END, 6) AS p FROM x""")
+def m10_tables(fx: Fixtures) -> DataFrame:
+    """GC by copy number and replicated alleles of each cell, between the tables of its copy-neutral windows."""
+    x = gc_counts(fx).where(c("n").isin(1, 2, 3)).select("cell_id", "gc_index", (c("n") - 1).alias("nar"))
+    return rounded(m.replication_state_tables(x, ["cell_id"]), "p")
+
+
 _RATES = "SELECT sample, chrom1, 'G' || substr(sample, 2)::INT % 2 AS grp, count(*) AS n, 100.0 + 10 * chrom1 AS cov FROM fx_molecules GROUP BY sample, chrom1"
 
 

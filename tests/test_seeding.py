@@ -90,3 +90,13 @@ def test_a_hot_locus_is_spread_over_tasks(spark, monkeypatch):
 def test_no_rows(spark):
     assert seeding.parse_continuity_groups(molecules(spark, [(1, True, "L", 1, "R", 1, 1, 1)]).where("1 = 0"), "group_id").collect() == []
     assert np.array_equal(seeding.settle_tile(pd.DataFrame({"is_split": [True], "side1": ["L"], "pos1": [1], "side2": ["R"], "pos2": [1], "n": [1], "mapq": [1], "state": [0], "own": [True]}), 5, 762), [2])
+
+
+def test_balanced_samples(spark):
+    rows = [(i, k) for i, k in enumerate(["a"] * 50 + ["b"] * 7 + [None] * 20)]
+    df = spark.createDataFrame(rows, "id int, k string")
+    for like, most in ((None, 7), ("a", 50), ("b", 7)):
+        got = ordered.balanced_sample(df, "k", "id", like).collect()
+        assert {k: sum(r.k == k for r in got) for k in ("a", "b", None)} == {"a": min(50, most), "b": 7, None: min(20, most)}
+        assert len({r.id for r in got}) == len(got)
+    assert ordered.balanced_sample(df, "k", "id", "gone").collect() == [] and ordered.balanced_sample(df.limit(0), "k", "id").collect() == []
