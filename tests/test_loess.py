@@ -48,3 +48,24 @@ def test_shapes_of_keys(spark):
     assert np.isclose(sum(of["a", i].corrected for i in range(60)), y.sum())
     assert all(abs(of["b", i].shape - 1) < 1e-9 for i in range(20)) and all(of["few", i].shape == 1 and of["few", i].corrected == i for i in range(4))
     assert loess.local_shape(spark.createDataFrame([], "k string, i int, v double"), ["k"], "i", "v").collect() == []
+
+
+def test_counts_lose_the_trend_of_a_chromosome_and_keep_their_gains(spark):
+    from breakweave.plans.copy_number import call_cnvs, shaped_counts
+
+    r = np.random.default_rng(4)
+    trend = lambda chrom, i: 0.82 + 0.36 * i / 149 if chrom == 0 else 1.0
+    copies = lambda cell, chrom, i: 3 if (cell, chrom) == (0, 0) and 40 <= i < 60 else 2
+    rows = [(cell, chrom, i, int(r.poisson(200 * copies(cell, chrom, i) * trend(chrom, i))), 36 + i % 7) for cell in range(2) for chrom in range(2) for i in range(150)]
+    counts = spark.createDataFrame(rows, "cell_id int, chrom int, bin_n int, n long, gc_index int")
+    cn = spark.createDataFrame([(*x[:3], copies(*x[:3])) for x in rows if x[2] != 7], "cell_id int, chrom int, bin_n int, cn int")
+    flat = {(x.cell_id, x.chrom, x.bin_n): x.n for x in shaped_counts(counts, cn, 2).collect()}
+    assert len(flat) == len(rows)
+    for cell in range(2):
+        for chrom in range(2):
+            own = [x for x in rows if x[:2] == (cell, chrom)]
+            assert np.isclose(sum(flat[x[:3]] for x in own), sum(x[3] for x in own))
+            level = np.array([flat[x[:3]] / copies(*x[:3]) for x in own])
+            assert abs(np.polyfit(np.arange(150), level / level.mean(), 1)[0] * 149) < 0.03  # no slope is left
+    shaped = call_cnvs(counts, min_bins=5, shape_span=1.0, theta=200.0, persistence=0.999).collect()
+    assert [(x.cell_id, x.chrom, x.type) for x in shaped] == [(0, 0, "gain")] and abs(shaped[0].first - 40) <= 2 and abs(shaped[0].last - 59) <= 2
