@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from math import comb
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.scratch import materialize, scratch_tables
-from .joins import distance_join
+from .joins import distance_join, small
 from .ordered import dense_ids
 
+#: Sequences are paired by what deletions leave of them where these are so many at most, else by pieces.
+MOST_DELETIONS = 36
+#: Rounds after which the tables of settled sequences become one.
+MERGE_ROUNDS = 8
+
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``node, component`` for the ends of all edges ``(a, b)``: the smallest node of each component.
@@ -110,7 +117,7 @@ def discover_amplicons(pairs: DataFrame, most: int, reject: int, keep: int) -> D
 
 
 def parent_networks(
-    seqs: DataFrame, key: str, limit: int, rounds: int = 50, sensitivity: float = 0.0, min_parent: int = 0, add_rare: bool = True
+    seqs: DataFrame, key: str, limit: int, sensitivity: float = 0.0, min_parent: int = 0, add_rare: bool = True
 ) -> DataFrame:
     """``seq, parent, distance``: sequences joined to the nearest more frequent parent within ``limit`` edits.
 
@@ -122,59 +129,90 @@ def parent_networks(
     Sequences of fewer than ``min_parent`` are rare: never parents, they join the nearest parent within
     ``limit`` whatever the counts, if ``add_rare``; without one they have a null parent and distance.
 
-    Two sequences of at most ``limit`` edits share one of ``limit + 1`` pieces up to a shift, so pairs are
-    found by pieces of equal length bands and then measured. Parents are settled in rounds from the
-    most frequent on: a sequence is decided once all those before it that could take it in are.
+    Two sequences of at most ``limit`` edits share one of ``limit + 1`` pieces up to a shift, and short ones,
+    whose pieces very many share, what ``limit`` deletions leave of them; so pairs are found by equality and
+    then measured. Parents are settled in rounds from the most frequent on: a sequence is decided once all
+    those before it that could take it in are, so each round decides some. Tables of rounds are broadcast
+    only after a count.
     """
-    x = seqs.select(key, "seq", "n")
     with scratch_tables(seqs.sparkSession):
+        x = materialize(seqs.select(key, "seq", "n"), "sequences")
         near = materialize(_near_before(x, key, limit), "near")
         common = x.where(F.col("n") >= min_parent)
         takes = F.col("distance") <= F.lit(limit) * (1 - F.lit(float(sensitivity)) * F.col("n") / F.col("n2"))
         strong = materialize(near.where((F.col("n") >= min_parent) & takes).select(key, "seq", "seq2"), "near-strong")
-        state = common.join(strong.select(key, "seq").distinct(), [key, "seq"], "left_anti").select(key, "seq", F.lit(True).alias("is_parent"))
+        state = common.join(strong.select(key, "seq").distinct().hint("merge"), [key, "seq"], "left_anti").select(key, "seq", F.lit(True).alias("is_parent"))
         state = materialize(state, "parents")
-        open_ = materialize(strong.join(state, [key, "seq"], "left_anti"), "open")
-        for _ in range(rounds):
-            if not open_.limit(1).count():
-                break
-            known = open_.join(state.withColumnRenamed("seq", "seq2"), [key, "seq2"], "left")
+        open_ = materialize(strong.join(small(state), [key, "seq"], "left_anti"), "open")
+        done = 0
+        while open_.limit(1).count():
+            known = open_.join(small(state.withColumnRenamed("seq", "seq2")), [key, "seq2"], "left")
             v = known.groupBy(key, "seq").agg(F.bool_or(F.coalesce("is_parent", F.lit(False))).alias("near_parent"), F.bool_and(F.col("is_parent").isNotNull()).alias("settled"))
             new = materialize(v.where("near_parent or settled").select(key, "seq", (~F.col("near_parent")).alias("is_parent")), "new-parents")
-            state = state.unionByName(new)
-            open_ = materialize(open_.join(new, [key, "seq"], "left_anti"), "open")
-        else:
-            raise RuntimeError("networks did not settle")
+            state, done = state.unionByName(new), done + 1
+            if done % MERGE_ROUNDS == 0:
+                state = materialize(state, "parents")
+            open_ = materialize(open_.join(small(new), [key, "seq"], "left_anti"), "open")
         parents = materialize(state.where("is_parent").select(key, F.col("seq").alias("seq2")), "all-parents")
-        joins = near.join(parents, [key, "seq2"]).join(parents.select(key, F.col("seq2").alias("seq")), [key, "seq"], "left_anti")
+        joins = near.join(small(parents), [key, "seq2"]).join(small(parents.select(key, F.col("seq2").alias("seq"))), [key, "seq"], "left_anti")
         if not add_rare:
             joins = joins.where(F.col("n") >= min_parent)
         rank = F.struct("distance", (-F.col("n2")).alias("m"), (-F.length("seq2")).alias("l"), "seq2")
         child = joins.groupBy(key, "seq").agg(F.min(rank).alias("b")).select(key, "seq", F.col("b.seq2").alias("parent"), F.col("b.distance").alias("distance"))
         own = parents.select(key, F.col("seq2").alias("seq"), F.col("seq2").alias("parent"), F.lit(0).alias("distance"))
         placed = child.unionByName(own)
-        return materialize(x.select(key, "seq").join(placed, [key, "seq"], "left"), "networks", result=True)
+        return materialize(x.select(key, "seq").join(placed.hint("merge"), [key, "seq"], "left"), "networks", result=True)
 
 
 def _near_before(x: DataFrame, key: str, limit: int) -> DataFrame:
     """``key, seq, n, seq2, n2, distance``: each sequence with those before it within ``limit`` edits."""
+    short = max((n for n in range(1, MOST_DELETIONS + 1) if comb(n, limit) <= MOST_DELETIONS), default=0)
+    pairs = _deletion_pairs(x.where(F.length("seq") <= short), key, limit).unionByName(_piece_pairs(x, key, limit, short))
+    near = pairs.withColumn("distance", F.levenshtein("seq", "seq2", limit)).where(F.col("distance").between(0, limit))
+    order = lambda n, q: F.struct(F.col(n), F.length(q), F.col(q))
+    up = order("n2", "seq2") > order("n", "seq")
+    either = lambda a, b: F.when(up, F.col(a)).otherwise(F.col(b)).alias(a)
+    return near.select(key, either("seq", "seq2"), either("n", "n2"), either("seq2", "seq"), either("n2", "n"), "distance").distinct()
+
+
+def _deletions(seq: Column, k: int) -> Column:
+    """What is left of a sequence without k of its letters (without any, of a shorter one)."""
+    out = F.array(seq)
+    for _ in range(k):
+        one = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1)))
+        out = F.array_distinct(F.flatten(F.transform(out, lambda w: F.when(F.length(w) > 0, one(w)).otherwise(F.array(w)))))
+    return out
+
+
+def _deletion_pairs(x: DataFrame, key: str, limit: int) -> DataFrame:
+    """Pairs of sequences that are equal after ``limit`` deletions in the longer, and as many fewer in the other as it is shorter."""
+    length = F.length("seq")
+    own = x.select(key, "seq", "n", F.explode(_deletions(F.col("seq"), limit)).alias("rest"), length.alias("len2"))
+    probe = [x.select(key, F.col("seq").alias("seq2"), F.col("n").alias("n2"), F.explode(_deletions(F.col("seq"), m)).alias("rest"), (length + limit - m).alias("len2")) for m in range(limit + 1)]
+    other = probe[0]
+    for more in probe[1:]:
+        other = other.unionByName(more)
+    once = (F.length("seq") > F.length("seq2")) | (F.col("seq") < F.col("seq2"))
+    return own.join(other.hint("merge"), [key, "len2", "rest"]).where(once).select(key, "seq", "n", "seq2", "n2")
+
+
+def _piece_pairs(x: DataFrame, key: str, limit: int, short: int) -> DataFrame:
+    """Pairs of sequences that share a piece up to a shift, the longer with more than ``short`` letters."""
     cut = limit + 1
     length = F.length("seq")
     at = F.sequence(F.lit(0), F.lit(limit))
     start = lambda i: F.floor(i * length / cut)
+    x = x.where(length > short - limit)
     # pieces of the shorter partner's own cut, looked up at every offset up to the limit in the other
     own = x.select(key, "seq", "n", F.explode(at).alias("i")).select(key, "seq", "n", "i", length.alias("len"), F.substr("seq", (start(F.col("i")) + 1).cast("int"), (start(F.col("i") + 1) - start(F.col("i"))).cast("int")).alias("piece"))
     probe = x.select(key, F.col("seq").alias("seq2"), F.col("n").alias("n2"), F.explode(F.sequence(F.greatest(F.lit(0), length - limit), length + limit)).alias("len"), length.alias("len2"))
+    probe = probe.where(F.greatest("len", "len2") > short)
     probe = probe.select("*", F.explode(at).alias("i")).select("*", F.explode(F.sequence(F.lit(-limit), F.lit(limit))).alias("d"))
     from_ = F.floor(F.col("i") * F.col("len") / cut)
     to = F.floor((F.col("i") + 1) * F.col("len") / cut)
     probe = probe.where((from_ + F.col("d") >= 0) & (to > from_)).select(key, "seq2", "n2", "len", "i", F.substr("seq2", (from_ + F.col("d") + 1).cast("int"), (to - from_).cast("int")).alias("piece"))
-    pairs = own.where(F.length("piece") > 0).join(probe, [key, "len", "i", "piece"]).where(F.col("seq") != F.col("seq2")).select(key, "seq", "n", "seq2", "n2").distinct()
-    near = pairs.withColumn("distance", F.levenshtein("seq", "seq2", limit)).where(F.col("distance").between(0, limit))
-    order = lambda n, q: F.struct(F.col(n), F.length(q), F.col(q))
-    up = order("n2", "seq2") > order("n", "seq")
-    both = near.unionByName(near.select(key, F.col("seq2").alias("seq"), F.col("n2").alias("n"), F.col("seq").alias("seq2"), F.col("n").alias("n2"), "distance"))
-    return both.where(up).distinct()
+    pairs = own.where(F.length("piece") > 0).join(probe.hint("merge"), [key, "len", "i", "piece"]).where(F.col("seq") != F.col("seq2"))
+    return pairs.select(key, "seq", "n", "seq2", "n2").distinct()
 
 
 def discover_primers(nodes: DataFrame, apart: int = 100) -> DataFrame:

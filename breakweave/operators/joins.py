@@ -19,8 +19,9 @@ BROADCAST_ROWS = 100_000
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if a count finds it small, else as it is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """``df`` marked for broadcast if a count finds it small, else for a merge join: Spark's own estimate is the
+    size of files, and short strings and runs of numbers are many times as large on the driver."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("merge")
 
 
 def buckets(first: Column, last: Column, size: int = BUCKET) -> Column:

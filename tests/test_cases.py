@@ -274,6 +274,31 @@ def test_networks_match_their_definition(spark):
                     assert found[key, q] == (q, 0)
 
 
+@pytest.mark.parametrize("most", [1, 4, 36])
+@pytest.mark.parametrize("limit", [1, 2, 3])
+def test_pairs_of_sequences_by_deletions_and_by_pieces(spark, monkeypatch, most, limit):
+    """Whatever lengths go by deletions, the pairs are those within ``limit`` edits, each once."""
+    monkeypatch.setattr(graph, "MOST_DELETIONS", most)
+    r = random.Random(limit)
+    rows = [(k, q, r.randrange(1, 4)) for k in (1, 2) for q in {"".join(r.choices("ACG", k=r.randrange(1, 9))) for _ in range(60)}]
+    x = spark.createDataFrame(rows, "key int, seq string, n int")
+    got = [tuple(v) for v in graph._near_before(x, "key", limit).select("key", "seq", "n", "seq2", "n2", "distance").collect()]
+    y = x.select("key", c("seq").alias("seq2"), c("n").alias("n2"))
+    before = (c("n2") > c("n")) | (c("n2") == c("n")) & ((F.length("seq2") > F.length("seq")) | (F.length("seq2") == F.length("seq")) & (c("seq2") > c("seq")))
+    want = x.join(y, "key").where(before).withColumn("distance", F.levenshtein("seq", "seq2")).where(c("distance") <= limit)
+    want = want.select("key", "seq", "n", "seq2", "n2", "distance")
+    assert len(got) == len(set(got)) and set(got) <= {tuple(v) for v in want.collect()}
+    # sequences of at most ``limit`` letters have an empty piece, which finds none
+    assert set(got) >= {tuple(v) for v in want.where(F.least(F.length("seq"), F.length("seq2")) > (limit if most == 1 else 0)).collect()}
+
+
+def test_networks_broadcast_only_what_was_counted(spark):
+    """Sequences are many times as large in memory as in the files by which Spark estimates them."""
+    x = spark.createDataFrame([(1, "ACGT", 2), (1, "ACGA", 1)], "key int, seq string, n int")
+    assert "Broadcast" not in graph._near_before(x, "key", 1)._jdf.queryExecution().executedPlan().toString()
+    assert "merge" in joins.small(x, 1)._jdf.queryExecution().logical().toString()
+
+
 def test_adapters_match_a_plain_regression(spark):
     from pyspark.sql import functions as F
 
