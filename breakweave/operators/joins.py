@@ -126,6 +126,19 @@ def distance_join(
     return pairs.select(*keys, F.least("__i1", "__i2").alias("id1"), F.greatest("__i1", "__i2").alias("id2"), "distance")
 
 
+def near_edges(df: DataFrame, id_col: str, keys: list[str], x: str, y: str, most: float) -> DataFrame:
+    """``a, b``: edges that connect what the pairs of :func:`distance_join` connect, for components.
+
+    Rows at one place are all linked to the least of them, and only these are paired: as many edges as rows
+    and pairs of places, however many rows a place has.
+    """
+    known = df.select(F.col(id_col).alias("b"), *keys, x, y).where(" and ".join(f"`{v}` is not null" for v in ("b", *keys, x, y)))
+    places = known.groupBy(*keys, x, y).agg(F.min("b").alias("a"))
+    copies = known.join(places.hint("merge"), [*keys, x, y]).where(F.col("a") != F.col("b")).select("a", "b")
+    pairs = distance_join(places, "a", keys, x, y, most)
+    return copies.unionByName(pairs.select(F.col("id1").alias("a"), F.col("id2").alias("b")))
+
+
 def neighbours_within(df: DataFrame, id_col: str, keys: list[str], pos: str, most: int) -> DataFrame:
     """``id1, id2``: ordered pairs of rows of equal keys whose positions lie within ``most``."""
     cell = F.floor(F.col(pos) / most)

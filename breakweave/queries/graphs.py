@@ -21,7 +21,7 @@ _PAIRS = f"""{_NODES}, p AS (SELECT a.event_id AS a, b.event_id AS b FROM n a JO
 
 
 def pairs(fx: Fixtures) -> DataFrame:
-    return j.distance_join(fx.nodes_long, "event_id", ["strand_key"], "pos1", "pos2", 20.0).select(c("id1").alias("a"), c("id2").alias("b"))
+    return j.near_edges(fx.nodes_long, "event_id", ["strand_key"], "pos1", "pos2", 20.0)
 
 
 @query("c1", f"WITH RECURSIVE {_PAIRS} SELECT node, component FROM comp")

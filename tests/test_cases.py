@@ -299,6 +299,17 @@ def test_networks_broadcast_only_what_was_counted(spark):
     assert "merge" in joins.small(x, 1)._jdf.queryExecution().logical().toString()
 
 
+def test_edges_of_crowded_places_are_as_many_as_rows(spark):
+    """They connect what all pairs connect: copies, places within reach, nothing by nulls or across keys."""
+    r = random.Random(4)
+    rows = [(i, r.choice([1, 2, None]), r.choice([None, *range(0, 200, 9)]), r.choice([0, 4])) for i in range(300)] + [(1000 + i, 1, 5000, 7) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, k int, x long, y long")
+    edges = joins.near_edges(df, "id", ["k"], "x", "y", 20.0)
+    pairs = joins.distance_join(df, "id", ["k"], "x", "y", 20.0).select(c("id1").alias("a"), c("id2").alias("b"))
+    assert edges.where("a >= 1000").count() == 399 and pairs.where("a >= 1000").count() == 400 * 399 // 2
+    assert values(graph.connected_components(edges), "node", "component") == values(graph.connected_components(pairs), "node", "component")
+
+
 def test_adapters_match_a_plain_regression(spark):
     from pyspark.sql import functions as F
 
