@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.scratch import materialize, scratch_tables
-from .joins import distance_join, small
+from .joins import BROADCAST_ROWS, distance_join, small
 from .ordered import dense_ids
 
 #: Sequences are paired by what deletions leave of them where these are so many at most, else by pieces.
@@ -40,33 +40,36 @@ def _contracted(edges: DataFrame, max_rounds: int) -> DataFrame:
     left = materialize(in_order(edges.select(F.col("a").cast(kind), F.col("b").cast(kind))).distinct(), "cc-edges")
     labels = left.select(F.col("a").alias("node")).union(left.select("b")).distinct().withColumn("component", F.col("node"))
     for _ in range(max_rounds):
-        if not left.limit(1).count():
+        n = left.limit(BROADCAST_ROWS + 1).count()
+        if not n:
             break
+        # tables of a round have no more rows than edges; Spark would judge them by the size of their files
+        held = lambda df, n=n: df.hint("broadcast" if n <= BROADCAST_ROWS else "merge")
         up = left.groupBy("b").agg(F.min(F.struct(F.xxhash64("a").alias("h"), F.col("a").alias("n"))).alias("up")).select("b", F.col("up.n").alias("up"))
-        twice = up.join(up.select(F.col("b").alias("up"), F.col("up").alias("top")), "up", "left")
+        twice = up.join(held(up.select(F.col("b").alias("up"), F.col("up").alias("top"))), "up", "left")
         moved = materialize(twice.select(F.col("b").alias("was"), F.coalesce("top", "up").alias("now")), "cc-moved")
-        labels = labels.join(moved.withColumnRenamed("was", "component"), "component", "left").select(
+        labels = labels.join(held(moved.withColumnRenamed("was", "component")), "component", "left").select(
             "node", F.coalesce("now", "component").alias("component")
         )
         of_a = moved.select(F.col("was").alias("a"), F.col("now").alias("to_a"))
         of_b = moved.select(F.col("was").alias("b"), F.col("now").alias("to_b"))
-        ends = left.join(of_a, "a", "left").join(of_b, "b").select(F.coalesce("to_a", "a").alias("a"), F.col("to_b").alias("b"))
+        ends = left.join(held(of_a), "a", "left").join(held(of_b), "b").select(F.coalesce("to_a", "a").alias("a"), F.col("to_b").alias("b"))
         left = materialize(in_order(ends).distinct(), "cc-edges")
     else:
         raise RuntimeError("components did not settle")
     # a table of its own: the join on a component that very many nodes have can then be split
     low = materialize(labels.groupBy("component").agg(F.min("node").alias("low")), "cc-low")
-    return labels.join(low, "component").select("node", F.col("low").alias("component"))
+    return labels.join(small(low), "component").select("node", F.col("low").alias("component"))
 
 
 def finalize_clusters(rows: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
     """``cluster_n`` for every row: dense numbers of the components of its keys; a key without a pair is
     a cluster of its own, numbered by the same order of smallest keys."""
     labels = connected_components(pairs)
-    keys = rows.select(key).distinct().join(labels.withColumnRenamed("node", key), key, "left")
+    keys = rows.select(key).distinct().join(small(labels.withColumnRenamed("node", key)), key, "left")
     keys = keys.withColumn("component", F.coalesce("component", F.col(key)))
     ids = dense_ids(keys.select("component").distinct(), ["component"], "cluster_n")
-    return rows.join(keys.join(ids, "component").select(key, "cluster_n"), key)
+    return rows.join(keys.join(ids.hint("merge"), "component").select(key, "cluster_n").hint("merge"), key)
 
 
 def purge_duplicates(df: DataFrame, id_col: str, keys: list[str], most: float, order: list[Column], counts: list[str]) -> DataFrame:
