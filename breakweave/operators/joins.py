@@ -203,14 +203,28 @@ def shared_member_pairs(df: DataFrame, id_col: str, member: str) -> DataFrame:
     return df.join(first, member).where(F.col("id1") < F.col(id_col)).select("id1", F.col(id_col).alias("id2")).distinct()
 
 
-def asof_forward(left: DataFrame, right: DataFrame, keys: list[str], left_on: str, right_on: str, value: str) -> DataFrame:
-    """``left`` with the right value at the first ``right_on`` that is at least ``left_on`` in the same keys."""
-    both = left.select("*", F.lit(0).alias("__o"), F.col(left_on).alias("__x"), F.lit(None).cast(dict(right.dtypes)[value]).alias("__v")).unionByName(
-        right.select(*keys, F.lit(1).alias("__o"), F.col(right_on).alias("__x"), F.col(value).alias("__v")), allowMissingColumns=True
-    )
-    w = Window.partitionBy(*keys).orderBy("__x", "__o").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    found = both.withColumn(value, F.first("__v", ignorenulls=True).over(w)).where("__o = 0")
-    return found.drop("__o", "__x", "__v")
+def asof_forward(left: DataFrame, right: DataFrame, keys: list[str], left_on: str, right_on: str, value: str, size: int = BUCKET) -> DataFrame:
+    """``left`` with the right value at the first ``right_on`` that is at least ``left_on`` in the same keys.
+
+    In two levels: within buckets of positions from the last row to the first, each row takes what was last
+    seen; a row with nothing after it in its bucket takes the first of the next bucket that has one. No
+    window spans a key, and none looks forward, which Spark does from each row anew.
+    """
+    kind = dict(right.dtypes)[value]
+    seen = F.struct(F.col(value).alias("v")).alias("__v")
+    r = right.select(*keys, F.lit(1).alias("__o"), F.col(right_on).alias("__x"), seen).dropna(subset=[*keys, "__x"])
+    both = left.select("*", F.lit(0).alias("__o"), F.col(left_on).alias("__x"), F.lit(None).cast(f"struct<v:{kind}>").alias("__v")).unionByName(r, allowMissingColumns=True)
+    bucket = F.floor(F.col("__x") / size).alias("__b")
+    w = Window.partitionBy(*keys, "__b").orderBy(F.desc("__x"), F.desc("__o")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.select("*", bucket).withColumn("__v", F.last("__v", ignorenulls=True).over(w)).where("__o = 0")
+    # the first right value of each bucket, and which bucket with one comes next
+    first = r.select("*", bucket).groupBy(*keys, "__b").agg(F.min_by("__v", "__x").alias("__first"))
+    at = left.select(*keys, F.floor(F.col(left_on) / size).alias("__b")).where("__b is not null").distinct()
+    all_ = at.join(first.hint("merge"), [*keys, "__b"], "full")
+    after = Window.partitionBy(*keys).orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
+    later = all_.select(*keys, "__b", F.last("__first", ignorenulls=True).over(after).alias("__next")).where("__next is not null")
+    out = found.join(small(later), [*keys, "__b"], "left")
+    return out.select(*[F.col(c) for c in left.columns if c != value], F.coalesce("__v", "__next")["v"].alias(value))
 
 
 def list_members(df: DataFrame, column: str, out: str, sep: str = ",") -> DataFrame:

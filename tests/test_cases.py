@@ -310,6 +310,18 @@ def test_edges_of_crowded_places_are_as_many_as_rows(spark):
     assert values(graph.connected_components(edges), "node", "component") == values(graph.connected_components(pairs), "node", "component")
 
 
+@pytest.mark.parametrize("size", [1, 10, joins.BUCKET])
+def test_asof_forward_in_buckets(spark, size):
+    r = random.Random(size)
+    left = [(i, r.choice(["a", "b", None]), r.choice([None, *range(-50, 90)])) for i in range(200)]
+    right = [(k, p, v) for k in ("a", "c", None) for p, v in [(-20, 1), (-3, None), (0, 2), (7, 3), (40, 4)]]
+    got = joins.asof_forward(spark.createDataFrame(left, "id int, k string, p long"), spark.createDataFrame(right, "k string, q long, v int"), ["k"], "p", "q", "v", size)
+    want = {i: next((v for rk, q, v in right if rk == k == "a" and p is not None and q >= p), None) for i, k, p in left}
+    assert {x.id: x.v for x in got.collect()} == want and got.columns == ["id", "k", "p", "v"]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedfollowing" not in plan.lower()
+
+
 def test_adapters_match_a_plain_regression(spark):
     from pyspark.sql import functions as F
 
