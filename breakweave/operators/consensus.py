@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.analysis import base_rows
+from .aggregates import families
 from .ordered import downsample_per_group
 
 #: Codes of sets of bases, in the order of the sums of A = 1, C = 2, G = 4, T = 8.
@@ -54,13 +55,13 @@ def strand_consensus_codes(reads: DataFrame, keys: list[str], seq: str, whole: f
 
     Reads are counted by sequence before anything else, so a family of very many reads is a few rows.
     """
-    n = reads.groupBy(*keys, seq).agg(F.count("*").alias("n"))
+    n = families(reads.groupBy(*keys, seq).agg(F.count("*").alias("n")), reads.count(), keys)
     top = F.min(F.struct((-F.col("n")).alias("m"), F.col(seq).alias("s"))).alias("t")
     family = n.groupBy(*keys).agg(F.sum("n").alias("n_reads"), F.count("*").alias("k"), top)
     is_whole = ~F.contains(F.col("t.s"), F.lit("-")) & ((F.col("k") == 1) | (F.col("n_reads") > 2) & (-F.col("t.m") >= whole * F.col("n_reads")))
     family = family.withColumn("whole", is_whole)
     split = family.where("not whole").select(*keys, "n_reads")
-    bases = base_rows(n.join(split, keys), [*keys, "n", "n_reads"], seq)
+    bases = base_rows(n.join(split.hint("merge"), keys), [*keys, "n", "n_reads"], seq)
     votes = bases.groupBy(*keys, "n_reads", "base_pos", "base").agg(F.sum("n").alias("n"))
     vote = F.col("base") != "-"
     place = votes.groupBy(*keys, "n_reads", "base_pos").agg(
@@ -71,7 +72,7 @@ def strand_consensus_codes(reads: DataFrame, keys: list[str], seq: str, whole: f
     wins = (F.col("n_reads") > 2) & (-F.col("t.m") >= each * F.col("all"))
     place = place.select(*keys, F.struct("base_pos", F.when(wins, F.col("t.b")).otherwise(code_of(F.col("set"))).alias("b")).alias("p"))
     built = place.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["b"]), "").alias("built"))
-    x = family.join(built, keys, "left")
+    x = family.join(built.hint("merge"), keys, "left")
     return x.select(*keys, F.when(F.col("whole"), F.col("t.s")).otherwise(F.coalesce("built", F.lit(""))).alias("consensus"), "n_reads")
 
 

@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from breakweave.operators import consensus
+from breakweave.operators import aggregates, consensus
 
 SETS = {"A": "A", "C": "C", "G": "G", "T": "T", "M": "AC", "R": "AG", "W": "AT", "S": "CG", "Y": "CT", "K": "GT", "V": "ACG", "H": "ACT", "D": "AGT", "B": "CGT", "N": "ACGT", "-": ""}
 OF = {frozenset(v): k for k, v in SETS.items() if v} | {frozenset(): "N"}
@@ -64,3 +64,15 @@ def test_a_large_family_is_a_few_rows(spark):
     few = consensus.duplex_consensus(df, "mol", "strand", "s", most_reads=11, read_id="id").collect()[0]
     assert few.n_reads0 == 11 and few.consensus.startswith("ACG")
     assert consensus.duplex_consensus(df.where("1 = 0"), "mol", "strand", "s").collect() == []
+
+
+def test_tasks_grow_with_the_reads(spark, monkeypatch):
+    """Bases become rows in tasks of bounded reads, whatever the session's number of partitions; results stay."""
+    df = spark.range(900).selectExpr("id % 90 as mol", "cast(id % 2 as int) as strand", "substr('ACGTTGCA', cast(id % 4 + 1 as int), 4) as s")
+    calls = (lambda: aggregates.strand_consensus(df, ["mol"], "s"), lambda: consensus.duplex_consensus(df, "mol", "strand", "s"))
+    whole = [sorted(map(tuple, f().collect())) for f in calls]
+    monkeypatch.setattr(aggregates, "READS_A_TASK", 90)
+    for f, want in zip(calls, whole):
+        got = f()
+        assert "RepartitionByExpression" in got._jdf.queryExecution().optimizedPlan().toString() and sorted(map(tuple, got.collect())) == want
+    assert aggregates.families(df, 900, ["mol"]).rdd.getNumPartitions() == 10
