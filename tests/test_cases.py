@@ -331,6 +331,15 @@ def test_fewest_alignments_by_a_given_order(spark):
     assert {r.k: (r.id, r.n) for r in got.collect()} == {1: (2, 1), 2: (None, None)}
 
 
+def test_seeds_meet_only_what_is_near_at_both_ends(spark):
+    """The first ends are at one locus, the second ones far from each other: cells of both keep them apart."""
+    df = spark.range(40).selectExpr("id", "id % 2 = 0 as is_split", "'k' as k", "'L' as side1", "id % 3 as pos1", "'R' as side2", "id * 10000 as pos2")
+    found = joins.seed_match(df, df, ["k"], 5, 762)
+    assert values(found, "seed_id", "id") == [(i, i) for i in range(40)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "__c2" in next(line for line in plan.splitlines() if "Join" in line)
+
+
 def test_adapters_match_a_plain_regression(spark):
     from pyspark.sql import functions as F
 
