@@ -586,6 +586,22 @@ def test_long_items_are_searched_by_windows(spark):
     assert [i.answer is None for _, i in parts] == [True] * (len(parts) - 1) + [False]
 
 
+def test_leaks_do_not_depend_on_which_documents_an_id_hash_draws(spark):
+    """More documents than a sample of the basis once held, under two numberings: equal leaks and cosines."""
+    r = random.Random(5)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(400)]
+    say = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    bench = spark.createDataFrame([(i, say(20)) for i in range(12)], "item_id long, text string")
+    items = [x.text for x in bench.orderBy("item_id").collect()]
+    texts = [say(20) if i % 100 else f"{say(5)} {items[i // 100 % 12]} {say(5)}" for i in range(3000)]
+    found = []
+    for shift in (0, 1_000_003):
+        docs = spark.createDataFrame([(i + shift, t) for i, t in enumerate(texts)], "doc_id long, text string")
+        found.append(sorted((x.doc_id - shift, x.item_id, round(x.cosine, 4)) for x in decontaminate.find_leaks(docs, bench).collect()))
+    assert found[0] == found[1] and {(d, i) for d, i, _ in found[0]} >= {(100 * k, k % 12) for k in range(30)}
+
+
+
 def test_leaks_match_brute_force(spark):
     """Every pair of document and item by the plain subsequence, at every place of the document."""
     r = random.Random(10)
