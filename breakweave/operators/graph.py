@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.scratch import materialize, scratch_tables
-from .joins import BROADCAST_ROWS, distance_join, small
+from .joins import BROADCAST_ROWS, near_places, small
 from .ordered import dense_ids
 
 #: Sequences are paired by what deletions leave of them where these are so many at most, else by pieces.
@@ -72,28 +72,34 @@ def finalize_clusters(rows: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
     return rows.join(keys.join(ids.hint("merge"), "component").select(key, "cluster_n").hint("merge"), key)
 
 
+def ranked(df: DataFrame, order: list[Column], id_col: str) -> DataFrame:
+    """``df`` with ``__rank``, by the columns of ``order`` and then by id, and ``n_collapsed`` of 1, for :func:`combined`."""
+    rank = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.col(id_col).alias("i"))
+    return df.withColumns({"__rank": rank, "n_collapsed": F.lit(1).cast("long")})
+
+
+def combined(df: DataFrame, group: list[str], counts: list[str]) -> DataFrame:
+    """Of each group the row of least ``__rank``, with the counts and ``n_collapsed`` of all summed."""
+    sums = [*counts, "n_collapsed"]
+    kept = [c for c in df.columns if c not in sums and c not in group and c != "__rank"]
+    x = df.groupBy(*group).agg(F.min_by(F.struct(*kept), "__rank").alias("__best"), F.min("__rank").alias("__rank"), *[F.sum(c).alias(c) for c in sums])
+    return x.select(*group, "__best.*", "__rank", *sums)
+
+
+def purge_ranked(df: DataFrame, keys: list[str], most: float, counts: list[str]) -> DataFrame:
+    """:func:`purge_duplicates` of rows that have ``__rank`` and ``n_collapsed``, best with few rows a place."""
+    columns = [c for c in df.columns if c not in ("__rank", "n_collapsed")]
+    return combined(near_places(df, keys, "out_pos1", "out_pos2", most), [*keys, "__x", "__y"], counts).select(*columns, "n_collapsed")
+
+
 def purge_duplicates(df: DataFrame, id_col: str, keys: list[str], most: float, order: list[Column], counts: list[str]) -> DataFrame:
     """One row of each set of colliding molecules (outer ends within ``most`` in the same keys, chained):
     the least by the columns of ``order``, then by id, with the counts of all summed and ``n_collapsed``.
 
-    Molecules at one place are one place before pairs are formed, so a pile-up makes no pairs. Places
-    without a neighbour, which most are, need no component, and their molecules are combined before they move.
+    Molecules at one place are one row before places are chained, so a pile-up makes no pairs.
     """
-    place = [*keys, "out_pos1", "out_pos2"]
-    with scratch_tables(df.sparkSession):
-        places = materialize(df.groupBy(*place).agg(F.min(id_col).alias("__place")), "places")
-        pairs = distance_join(places, "__place", keys, "out_pos1", "out_pos2", most).select(F.col("id1").alias("a"), F.col("id2").alias("b"))
-        labels = connected_components(pairs).select(F.col("node").alias("__place"), F.col("component").alias("__c"))
-        near = materialize(places.join(labels, "__place").select(*place, "__c"), "near-places", result=True)
-    x = df.join(near, place, "left")
-    alone = F.col("__c").isNull()
-    group = [*keys, F.when(alone, F.col("out_pos1")).alias("__p1"), F.when(alone, F.col("out_pos2")).alias("__p2"), "__c"]
-    rank = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.col(id_col).alias("i"))
-    kept = [c for c in df.columns if c not in counts and c not in keys]
-    best = F.min_by(F.struct(*kept), rank).alias("__best")
-    sums = x.groupBy(*group).agg(best, *[F.sum(c).alias(f"__sum_{c}") for c in counts], F.count("*").alias("n_collapsed"))
-    of = {c: F.col(f"__sum_{c}").alias(c) for c in counts} | {c: F.col(c) for c in keys}
-    return sums.select(*[of.get(c, F.col("__best")[c].alias(c)) for c in df.columns], "n_collapsed")
+    places = combined(ranked(df, order, id_col), [*keys, "out_pos1", "out_pos2"], counts)
+    return purge_ranked(places, keys, most, counts).select(*df.columns, "n_collapsed")
 
 
 def discover_amplicons(pairs: DataFrame, most: int, reject: int, keep: int) -> DataFrame:

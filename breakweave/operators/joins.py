@@ -7,13 +7,20 @@ later deduplication. Adaptive execution may split a crowded bucket.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..plans.scratch import materialize
 
 #: Bases of a bucket; intervals of about this length fall into one or two.
 BUCKET = 16_384
+#: Sides of a tile of places, in steps.
+TILE_STEPS = 64
 #: Tables are broadcast up to so many rows, counted before.
 BROADCAST_ROWS = 100_000
 
@@ -139,6 +146,84 @@ def near_edges(df: DataFrame, id_col: str, keys: list[str], x: str, y: str, most
     return copies.unionByName(pairs.select(F.col("id1").alias("a"), F.col("id2").alias("b")))
 
 
+def _chained(tile: np.ndarray, x: np.ndarray, y: np.ndarray, most: float) -> np.ndarray:
+    """For each row the first row of its chain: rows of one tile, each step within ``most``. Null places are NaN."""
+    order = np.lexsort((y, x, tile))
+    t, px, py = tile[order], x[order], y[order]
+    fresh = np.ones(len(t), bool)
+    fresh[1:] = ~((t[1:] == t[:-1]) & (px[1:] == px[:-1]) & (py[1:] == py[:-1]))
+    place, first = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
+    t, px, py = t[first], px[first], py[first]
+    root, i, k = np.arange(len(first)), np.arange(len(first)), 0
+    while len(i):
+        k += 1
+        i = i[i + k < len(first)]
+        i = i[(t[i + k] == t[i]) & (px[i + k] - px[i] <= most)]
+        dx, dy = px[i + k] - px[i], py[i + k] - py[i]
+        a = i[np.sqrt(dx * dx + dy * dy) <= most]
+        b = a + k
+        while len(a):  # the greater root goes below the lesser, until all pairs are of one root
+            low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+            np.minimum.at(root, high, low)
+            while not np.array_equal(root, root[root]):
+                root = root[root]
+            a, b = a[root[a] != root[b]], b[root[a] != root[b]]
+    out = np.empty(len(tile), np.int64)
+    out[order] = order[first[root[place]]]
+    return out
+
+
+def near_places(rows: DataFrame, keys: list[str], x: str, y: str, most: float, steps: int = TILE_STEPS) -> DataFrame:
+    """``rows`` with ``__x, __y``: one place (x, y) for all that steps of at most ``most`` reach in the same keys.
+
+    Rows are dealt to square tiles and chained within them, many tiles to a task; only chains that have places
+    within a step of a tile's edge are then paired and contracted as a graph. A row with a null in its key or
+    place stands for itself.
+    """
+    from .graph import connected_components
+
+    size, tile = most * steps, [*keys, "__tx", "__ty"]
+    kinds = {f.name: f.dataType for f in rows.schema}
+    schema = StructType([*rows.schema.fields, StructField("__x", kinds[x]), StructField("__y", kinds[y])])
+    dealt = rows.withColumns({"__tx": F.floor(F.col(x) / size), "__ty": F.floor(F.col(y) / size)})
+    own = rows.columns
+
+    def chained(part: pa.Table, number: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at = [part.column(c).cast(pa.float64()).to_numpy() for c in (x, y)]
+        first = pa.array(_chained(number, *at, most))
+        columns = [*(part.column(c) for c in own), *(part.column(c).take(first) for c in (x, y))]
+        yield from pa.table(columns, names=[*own, "__x", "__y"]).combine_chunks().to_batches()
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Tiles come one after another; the last one of a batch may go on in the next."""
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch]).combine_chunks()
+            fresh = np.zeros(part.num_rows, bool)
+            for c in tile:
+                codes = part.column(c).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+                fresh[1:] |= codes[1:] != codes[:-1]
+            number = np.cumsum(fresh)
+            last = int(np.searchsorted(number, number[-1]))
+            if last:
+                yield from chained(part.slice(0, last).combine_chunks(), number[:last])
+            held = part.slice(last)
+        if held is not None:
+            yield from chained(held.combine_chunks(), np.zeros(held.num_rows, np.int64))
+
+    known = materialize(dealt.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(label, schema), "near-places")
+    apart = lambda v: F.floor((F.col(v) - most) / size) != F.floor((F.col(v) + most) / size)
+    edge = known.where(apart(x) | apart(y)).select(*keys, x, y, F.struct(*keys, "__x", "__y").alias("__node")).distinct()
+    pairs = distance_join(edge, "__node", keys, x, y, most).select(F.col("id1").alias("a"), F.col("id2").alias("b"))
+    joined = connected_components(pairs).where("node <> component")
+    to = joined.select(*[F.col("node")[c].alias(c) for c in (*keys, "__x", "__y")], F.col("component")["__x"].alias("__x2"), F.col("component")["__y"].alias("__y2"))
+    out = known.join(small(to), [*keys, "__x", "__y"], "left")
+    moved = F.col("__x2").isNotNull()
+    return out.select(*own, F.when(moved, F.col("__x2")).otherwise(F.col("__x")).alias("__x"), F.when(moved, F.col("__y2")).otherwise(F.col("__y")).alias("__y"))
+
+
 def neighbours_within(df: DataFrame, id_col: str, keys: list[str], pos: str, most: int) -> DataFrame:
     """``id1, id2``: ordered pairs of rows of equal keys whose positions lie within ``most``."""
     cell = F.floor(F.col(pos) / most)

@@ -193,8 +193,16 @@ def _assign_tiled(types: DataFrame, group: str, purge: int, tlen: int, most: int
 def parse_continuity_groups(df: DataFrame, group: str, purge: int = 5, max_tlen: int = 762, most: int = MOST_TYPES) -> DataFrame:
     """``df`` with ``sv_n`` and ``is_ambiguous``: junction molecules of a group assigned to SVs.
 
-    Molecules are counted by junction type first. A molecule of several SVs has a row in each and is
-    ambiguous. Groups of more than ``most`` types are seeded in tiles (see the module).
+    A molecule of several SVs has a row in each and is ambiguous. See :func:`assign_types`.
+    """
+    return df.join(assign_types(df, group, purge, max_tlen, most), [group, *TYPE_COLUMNS])
+
+
+def assign_types(df: DataFrame, group: str, purge: int = 5, max_tlen: int = 762, most: int = MOST_TYPES) -> DataFrame:
+    """``group``, the type's columns, ``sv_n`` and ``is_ambiguous``: a row for each SV that a junction type is in.
+
+    Molecules are counted by junction type first. Groups of more than ``most`` types are seeded in tiles
+    (see the module).
     """
     with scratch_tables(df.sparkSession):
         counted = df.groupBy(group, *TYPE_COLUMNS).agg(F.count("*").alias("n"), F.max(F.col("mapq1") + F.col("mapq2")).alias("mapq"))
@@ -234,4 +242,4 @@ def parse_continuity_groups(df: DataFrame, group: str, purge: int = 5, max_tlen:
             svs = svs.unionByName(_assign_tiled(types.join(small(large), group, "left_semi"), group, purge, max_tlen, most))
         many = F.count("*").over(Window.partitionBy(*columns)) > 1
         svs = materialize(svs.withColumn("is_ambiguous", many), "junction-svs", result=True)
-    return df.join(svs, columns)
+    return svs

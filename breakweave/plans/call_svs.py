@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.junctions import breakend_fields, junction_structure, junction_type
 from ..operators.aggregates import characterize_sv
 from ..operators.filters import sv_evidence, sv_size
-from ..operators.graph import purge_duplicates
+from ..operators.graph import combined, purge_ranked, ranked
 from ..operators.joins import outer_clip_evidence
 from ..operators.ordered import continuity_groups, dense_ids, downsample_per_group
-from ..operators.seeding import parse_continuity_groups
-from .scratch import materialize
+from ..operators.seeding import TYPE_COLUMNS, assign_types
+from .scratch import materialize, scratch_tables
 
 KEYS = ["chrom1", "chrom2", "side1", "side2"]
 
@@ -28,28 +28,33 @@ def sv_molecules(
     """``molecules`` of calls with ``jxn_type, group_id, sv_n, sv_id, is_ambiguous, n_collapsed``: one row for each
     call and unique molecule.
 
-    Molecules are typed and filtered by size before the first shuffle, grouped by continuity, kept by
-    the group's evidence, assigned to SVs within their groups, and purged of duplicates within each
-    call and sample. With ``purge_limit`` a call takes at most so many molecules of a sample, in an order
-    hashed from their ids: a pile-up then lengthens no list of a call.
+    Molecules are typed and filtered by size before the first shuffle, grouped by continuity, and kept by
+    the group's evidence. Junction types are assigned to SVs within their groups; molecules of one type, sample
+    and outer ends, which are duplicates in every call, become one row before rows are multiplied by calls, and
+    the rest is purged of duplicates within each call and sample. With ``purge_limit`` a call takes at most so
+    many molecules of a sample, in an order hashed from their ids: a pile-up then lengthens no list of a call.
     """
     kind = junction_type(*[F.col(c) for c in ("chrom1", "side1", "pos1", "chrom2", "side2", "pos2", "node_class")], max_tlen, read_len)
     typed = sv_size(molecules.withColumn("jxn_type", kind).where("jxn_type <> 'P'"), min_size)
-    grouped = materialize(continuity_groups(typed, KEYS, max_tlen, min_coverage), "sv-grouped")
-    grouped = sv_evidence(grouped, "group_id", min_coverage, min_mapq_both, min_mapq_one)
-    parsed = parse_continuity_groups(grouped.withColumn("is_split", F.col("node_class") == 1), "group_id", purge, max_tlen)
-    parsed = materialize(parsed, "sv-parsed")
-    ids = dense_ids(parsed.select("group_id", "sv_n").distinct(), ["group_id", "sv_n"], "sv_id")
-    placed = parsed.join(ids, ["group_id", "sv_n"])
-    if purge_limit is not None:
-        placed = downsample_per_group(placed, ["sample", "sv_id"], purge_limit, "mol_id")
     order = [-F.col("node_class"), -(F.col("strand_count1") + F.col("strand_count2")), -(F.col("mapq1") + F.col("mapq2")), F.col("mol_id")]
-    placed = placed.withColumn("row_id", F.struct("sv_id", "mol_id"))
-    unique = purge_duplicates(placed, "row_id", ["sample", "sv_id"], float(purge), order, ["strand_count1", "strand_count2"])
-    if min_coverage > 1:
-        enough = unique.groupBy("sv_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_coverage)
-        unique = unique.join(enough.select("sv_id"), "sv_id", "left_semi")
-    return unique.drop("row_id")
+    counts, of_type, ends = ["strand_count1", "strand_count2"], ["group_id", *TYPE_COLUMNS], ["sample", "out_pos1", "out_pos2"]
+    with scratch_tables(molecules.sparkSession):
+        grouped = materialize(continuity_groups(typed, KEYS, max_tlen, min_coverage), "sv-grouped")
+        grouped = sv_evidence(grouped, "group_id", min_coverage, min_mapq_both, min_mapq_one).withColumn("is_split", F.col("node_class") == 1)
+        svs = assign_types(grouped, "group_id", purge, max_tlen)
+        ids = dense_ids(svs.select("group_id", "sv_n").distinct(), ["group_id", "sv_n"], "sv_id")
+        svs = materialize(svs.join(ids, ["group_id", "sv_n"]), "sv-types")
+        if purge_limit is None:
+            placed = combined(ranked(grouped, order, "mol_id"), [*of_type, *ends], counts).join(svs, of_type)
+        else:
+            placed = downsample_per_group(grouped.join(svs, of_type), ["sample", "sv_id"], purge_limit, "mol_id")
+            placed = combined(ranked(placed, order, "mol_id"), ["sv_id", *ends], counts)
+        unique = purge_ranked(placed, ["sample", "sv_id"], float(purge), counts)
+        if min_coverage > 1:
+            unique = materialize(unique, "sv-unique")
+            enough = unique.groupBy("sv_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_coverage)
+            unique = unique.join(enough.select("sv_id"), "sv_id", "left_semi")
+        return materialize(unique, "sv-molecules", result=True)
 
 
 def call_svs(
@@ -72,7 +77,7 @@ def call_svs(
     ``clips`` (node, mol_id, sample, clip_len) that end at a clipped node of it, and are no evidence
     of the call yet, are counted as outer clips.
     """
-    unique = materialize(sv_molecules(molecules, max_tlen, read_len, min_size, min_coverage, min_mapq_both, min_mapq_one, purge, purge_limit), "sv-molecules")
+    unique = sv_molecules(molecules, max_tlen, read_len, min_size, min_coverage, min_mapq_both, min_mapq_one, purge, purge_limit)
     split = F.col("node_class") == 1
     scored = unique.withColumns(
         {"ref_clip": F.when(split, F.least("clip_len1", "clip_len2")).otherwise(F.greatest("clip_len1", "clip_len2")), "ref_tie": -F.col("mol_id")}
