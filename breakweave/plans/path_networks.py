@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.aggregates import collapse_segments, segment_cluster_summary
 from ..operators.graph import connected_components, finalize_clusters
-from ..operators.joins import distance_join, shared_member_pairs
+from ..operators.joins import place_pairs, shared_member_pairs
 from ..operators.ordered import split_to_segments
 from .scratch import materialize
 
@@ -17,7 +17,7 @@ def junction_clusters(junctions: DataFrame, id_col: str, keys: list[str], most:
     of equal ends taken as one."""
     place = [*keys, "pos1", "pos2"]
     places = materialize(junctions.groupBy(*place).agg(F.min(id_col).alias("__place")), "junction-places")
-    pairs = distance_join(places, "__place", keys, "pos1", "pos2", most).select(F.col("id1").alias("a"), F.col("id2").alias("b"))
+    pairs = place_pairs(places, "__place", keys, "pos1", "pos2", most).select(F.col("id1").alias("a"), F.col("id2").alias("b"))
     clusters = finalize_clusters(places, "__place", pairs).select(*place, "cluster_n")
     return junctions.join(clusters, place)
 

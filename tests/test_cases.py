@@ -425,3 +425,24 @@ def test_scratch_tables_go_with_their_scope(spark):
         assert kept.count() == 4 and not any(os.path.exists(f.removeprefix("file://")) for f in inner)
         files = kept.inputFiles()
     assert not any(os.path.exists(f.removeprefix("file://")) for f in files)
+
+
+@pytest.mark.parametrize("block, pairs", [(3, 10), (joins.BLOCK_ROWS, joins.PAIRS_A_TASK)])
+@pytest.mark.parametrize("metric", ["euclid", "manhattan"])
+def test_rows_are_paired_by_places(spark, monkeypatch, block, pairs, metric):
+    """All pairs come out, as often as rows repeat; rows meet only those of places that were found near."""
+    monkeypatch.setattr(joins, "BLOCK_ROWS", block)
+    monkeypatch.setattr(joins, "PAIRS_A_TASK", pairs)
+    r = random.Random(8)
+    at = [None, math.nan, -0.0, 0.0, 12.5, -7.5, 19.9, 20.0, 33.0, -40.0]
+    rows = [(r.choice([None, *range(120)]), r.choice([1, 2, None]), r.choice(at), r.choice(at)) for _ in range(250)]
+    rows += [(1000 + i, 1, 500.5, -3.0) for i in range(20)] + [(2000 + i, 1, 515.5, 12.0) for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, k int, x double, y double")
+    apart = lambda a, b: math.hypot(a[2] - b[2], a[3] - b[3]) if metric == "euclid" else abs(a[2] - b[2]) + abs(a[3] - b[3])
+    whole = [v for v in rows if None not in v]
+    want = [(a[1], a[0], b[0], round(apart(a, b), 6)) for a in whole for b in whole if a[1] == b[1] and a[0] < b[0] and apart(a, b) <= 20]
+    got = joins.distance_join(df, "id", ["k"], "x", "y", 20.0, metric, digits=6)
+    assert got.columns == ["k", "id1", "id2", "distance"] and values(got, *got.columns) == sorted(want)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    last = next(line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line)
+    assert "__block" in last and "__p2" in last and "SQRT" not in last and "abs" not in last
