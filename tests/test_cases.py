@@ -446,3 +446,19 @@ def test_rows_are_paired_by_places(spark, monkeypatch, block, pairs, metric):
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
     last = next(line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line)
     assert "__block" in last and "__p2" in last and "SQRT" not in last and "abs" not in last
+
+
+@pytest.mark.parametrize("most", [0, 3])
+def test_neighbours_are_paired_by_places(spark, monkeypatch, most):
+    """Crowded positions are compared once, and their rows go in blocks; with no reach, rows of one position are left."""
+    monkeypatch.setattr(joins, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(joins, "PAIRS_A_TASK", 10)
+    r = random.Random(23)
+    rows = [(r.choice([None, *range(200)]), r.choice(["a", "b", None]), r.choice([None, *range(-9, 9)])) for _ in range(150)]
+    df = spark.createDataFrame(rows, "id long, k string, pos long")
+    whole = [v for v in rows if None not in v]
+    want = [(a[1], a[0], b[0]) for a in whole for b in whole if a[1] == b[1] and a[0] < b[0] and abs(a[2] - b[2]) <= most]
+    got = joins.neighbours_within(df, "id", ["k"], "pos", most)
+    assert got.columns == ["k", "id1", "id2"] and values(got, *got.columns) == sorted(want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "__block" in next(line for line in plan.splitlines() if "Join" in line)
