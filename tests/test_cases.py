@@ -462,3 +462,24 @@ def test_neighbours_are_paired_by_places(spark, monkeypatch, most):
     assert got.columns == ["k", "id1", "id2"] and values(got, *got.columns) == sorted(want)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "__block" in next(line for line in plan.splitlines() if "Join" in line)
+
+
+def test_shuffle_files_go_when_a_table_is_written(spark):
+    """They stayed until the driver collected its garbage, so the disk of a long query held all of them."""
+    import time
+    from pathlib import Path
+
+    from breakweave.plans.scratch import FILE_CLEANUP, materialize
+
+    def shuffled():
+        return {p.name for p in Path(spark.conf.get("spark.local.dir")).rglob("shuffle_*.data")}
+
+    before, setting = shuffled(), spark.conf.get(FILE_CLEANUP, "false")
+    out = materialize(spark.range(100_000).repartition(4, "id").groupBy((F.col("id") % 7).alias("k")).count(), "test-shuffles")
+    for _ in range(40):
+        if not shuffled() - before:
+            break
+        time.sleep(0.25)
+    assert not shuffled() - before
+    assert spark.conf.get(FILE_CLEANUP, "false") == setting
+    assert out.count() == 7
