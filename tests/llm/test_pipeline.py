@@ -142,3 +142,18 @@ def test_leaks_go_with_or_without_an_id(spark):
     docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], schema)
     kept = sorted(((r.doc_id, r.text) for r in corpus_pipeline.decontamination(spark, docs, SF).collect()), key=str)
     assert kept == sorted([(1, clean), (None, clean), (3, None), (4, "")], key=str)
+
+
+def test_tables_of_stages_go_once_the_next_is_written(spark):
+    from pathlib import Path
+
+    from breakweave.llm.common import shared_dir
+
+    def tables():
+        return {p.name for p in Path(shared_dir(spark).removeprefix("file:")).iterdir()}
+
+    before = tables()
+    out = corpus_pipeline.run(spark, SF)
+    left = {n.rsplit("-", 1)[0] for n in tables() - before}
+    assert {n for n in left if n.startswith(("stage-", "near-", "jaccard-"))} == {"stage-mixing"}
+    assert out.count() > 0
