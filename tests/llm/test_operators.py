@@ -600,6 +600,27 @@ def test_leaks_do_not_depend_on_which_documents_an_id_hash_draws(spark):
         found.append(sorted((x.doc_id - shift, x.item_id, round(x.cosine, 4)) for x in decontaminate.find_leaks(docs, bench).collect()))
     assert found[0] == found[1] and {(d, i) for d, i, _ in found[0]} >= {(100 * k, k % 12) for k in range(30)}
 
+def test_every_passage_of_every_document_takes_part_in_the_latent_basis(spark):
+    """A topic that only documents have, and in their last words, spans a direction of the basis."""
+    r = random.Random(12)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    say = lambda words, n: " ".join(r.choice(words) for _ in range(n))
+    topic = vocabulary[:30]
+    texts = [f"{say(vocabulary[1000:], r.randrange(1, 400) // 32 * 32)} {' '.join(r.sample(topic, 30))}" for _ in range(2500)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None, ""])], "doc_id long, text string")
+    n, df, sketch = decontaminate.corpus_statistics(docs.repartition(5))
+    held = [{int(b) for b in decontaminate.bucket(decontaminate.words(t))} for t in texts]
+    assert n == 2502 and df.sum() == sum(map(len, held))
+    at = sorted({int(b) for b in decontaminate.bucket(decontaminate.words(" ".join(topic)))})
+    assert all(df[b] == sum(b in h for h in held) for b in at)
+    assert abs((sketch[:, at] ** 2).sum(axis=0).mean() / np.mean(df[at]) - 1) < 0.2
+    idf = np.log1p((n + 1.0) / (df + 0.5)).astype(np.float32)
+    items = [decontaminate.words(say(vocabulary[1000:], 20)) for _ in range(40)]
+    basis = decontaminate.latent_basis(items, idf, sketch)
+    own = np.zeros(decontaminate.D)
+    own[at] = idf[at] / np.linalg.norm(idf[at])
+    assert np.linalg.norm(basis.T @ own) > 0.9
+    assert np.linalg.norm(decontaminate.latent_basis(items, idf, np.zeros_like(sketch)).T @ own) < 0.3
 
 
 def test_leaks_match_brute_force(spark):
