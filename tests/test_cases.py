@@ -483,3 +483,33 @@ def test_shuffle_files_go_when_a_table_is_written(spark):
     assert not shuffled() - before
     assert spark.conf.get(FILE_CLEANUP, "false") == setting
     assert out.count() == 7
+
+
+def test_seeds_are_dealt_only_to_cells_that_hold_others(spark, monkeypatch):
+    """Nine copies of every seed went through the shuffle. Here most cells around are empty, and a full one has blocks."""
+    monkeypatch.setattr(joins, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(joins, "PAIRS_A_TASK", 500)
+    r = random.Random(3)
+    schema = "id long, is_split boolean, k string, side1 string, pos1 long, side2 string, pos2 long"
+    draw = lambda i: (i, r.random() < 0.4, "k", r.choice("LR"), 762 * 50 + r.randrange(40), r.choice("LR"), 762 * 90 + r.randrange(800))
+    rows = [draw(i) for i in range(120)] + [(999, None, "k", None, 762 * 50, "L", 762 * 90), (1000, True, "k", "L", None, "L", 5)]
+    df = spark.createDataFrame(rows, schema)
+    found = joins.seed_match(df, df, ["k"], 5, 762)
+
+    def half(split, o_split, side, a, b):
+        if split and o_split:
+            return abs(a - b) <= 5
+        if not split and not o_split:
+            return abs(a - b) <= 762
+        e = a - b if split else b - a
+        return -5 <= e <= 762 if side == "L" else -762 <= e <= 5
+
+    full = rows[:120]
+    want = [(s[0], o[0]) for s in full for o in full if (s[1] or not o[1]) and abs(s[4] - o[4]) + abs(s[6] - o[6]) <= 762 and half(s[1], o[1], s[3], s[4], o[4]) and half(s[1], o[1], s[5], s[6], o[6])]
+    known = {x[0] for x in full}
+    got = [tuple(x) for x in found.collect()]
+    assert sorted(x for x in got if set(x) <= known) == sorted(want) and len(want) > 1000
+    assert not any(1000 in x for x in got)
+    found.write.format("noop").mode("overwrite").save()
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(array" not in plan  # rows are not multiplied by nine
