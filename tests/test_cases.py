@@ -513,3 +513,26 @@ def test_seeds_are_dealt_only_to_cells_that_hold_others(spark, monkeypatch):
     found.write.format("noop").mode("overwrite").save()
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "explode(array" not in plan  # rows are not multiplied by nine
+
+
+def test_rows_of_a_place_are_joined_as_lists(spark, monkeypatch):
+    """One row a block of a place meets those of near places, where every row did; blocks of a place meet once."""
+    monkeypatch.setattr(joins, "BLOCK_ROWS", 5)
+    counts, write = {}, joins.materialize
+
+    def spy(df, name, **more):
+        out = write(df, name, **more)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(joins, "materialize", spy)
+    r = random.Random(9)
+    rows = [(i, r.choice("ab"), float(r.randrange(3)), float(r.randrange(4)) * 2) for i in range(400)]
+    df = spark.createDataFrame([*rows, rows[7], rows[7]], "id long, k string, x double, y double")
+    got = sorted(tuple(x) for x in joins.distance_join(df, "id", ["k"], "x", "y", 2.0).select("id1", "id2", "distance").collect())
+    both = [*rows, rows[7], rows[7]]
+    want = [(a[0], b[0], math.dist(a[2:], b[2:])) for a in both for b in both if a[0] < b[0] and a[1] == b[1] and math.dist(a[2:], b[2:]) <= 2]
+    assert got == sorted(want) and len(want) > 10_000
+    assert counts["pair-places"] == 24 and counts["pair-rows"] <= 150
+    got = sorted(tuple(x) for x in joins.neighbours_within(df, "id", ["k"], "x", 1).select("id1", "id2").collect())
+    assert got == sorted((a[0], b[0]) for a in both for b in both if a[0] < b[0] and a[1] == b[1] and abs(a[2] - b[2]) <= 1)
